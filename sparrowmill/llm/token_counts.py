@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ BATCH_CHARS = 4 << 20
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each has about so many bytes of text, or one row."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         lo = total = 0
         for hi, n in enumerate(sizes):
             if total and total + n > chars:
@@ -42,7 +43,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFra
         fst = transducer(path)
         for batch in text_slices(batches):
             texts = batch.column("text").to_pylist()
-            n_bytes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).cast(pa.int64())
+            n_bytes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             n_tokens = fst.counts(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), n_bytes, pa.array(n_tokens), pa.array(n_tokens > limit)],
