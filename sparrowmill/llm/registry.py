@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparrowmill.llm import packing, simhash, token_counts
+from sparrowmill.llm import packing, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op7_simhash_groups": simhash.query,
+    "op4_hash_tree_shards": sharding.query,
     "op6_token_counts": token_counts.query,
 }
 
