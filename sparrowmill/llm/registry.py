@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparrowmill.llm import packing, sharding, simhash, token_counts
+from sparrowmill.llm import packing, quality_rules, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op7_simhash_groups": simhash.query,
     "op4_hash_tree_shards": sharding.query,
     "op6_token_counts": token_counts.query,
+    "op10_quality_rules": quality_rules.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_quality_rules": quality_rules.ORACLE}
