@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sparrowmill.llm import packing, quality_classifier, quality_rules, sharding, simhash, token_counts
+from sparrowmill.llm import packing, quality_classifier, quality_rules, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op7_simhash_groups": simhash.query,
     "op4_hash_tree_shards": sharding.query,
+    "op5_toxicity": toxicity.query,
     "op6_token_counts": token_counts.query,
     "op9_quality_classifier": quality_classifier.query,
     "op10_quality_rules": quality_rules.query,
