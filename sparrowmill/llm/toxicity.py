@@ -4,9 +4,8 @@ Voters are words of a fixed lexicon and patterns (whole words and word
 beginnings of 4 to 6 bytes) that the labelled training rows suggest. A
 generative label model then forgets those labels: a hidden class and, given it,
 each voter's rate of firing are estimated by expectation-maximisation; voters
-whose firing stays correlated given the class (a word and its own beginning) are
-gathered, and each one's evidence counts in inverse proportion to the
-correlation that it shares. The posteriors train a sparse linear classifier on all
+whose firing stays correlated given the class (a word and its own beginning)
+share their evidence. The posteriors train a sparse linear classifier on all
 hashed words and word beginnings, which scores every document.
 """
 
@@ -34,7 +33,7 @@ MIN_PRECISION = 0.98
 #: Features in a larger share of the training rows than this aren't learnt.
 MAX_SHARE = 0.1
 EM_ROUNDS = 40
-EPOCHS = 4
+EPOCHS = 8
 THRESHOLD = 0.7
 HELD_OUT = (3, 1)
 
@@ -139,7 +138,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS
     seen = np.zeros(1 << BITS)
     for index in examples:
         seen[index] += 1
-    model = Ftrl(1 << BITS, alpha=0.3, beta=1.0, l1=4.0, l2=0.5)
+    model = Ftrl(1 << BITS, alpha=0.5, beta=1.0, l1=4.0, l2=0.1)
     usual = (seen >= MIN_FIRED) & (seen <= MAX_SHARE * len(examples))
     kept = [index[usual[index]] for index in examples]
     for _ in range(EPOCHS):
