@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparrowmill.llm import packing, quality_classifier, quality_rules, sharding, simhash, token_counts, toxicity
+from sparrowmill.llm import packing, quality_classifier, quality_rules, secrets, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -10,8 +10,9 @@ QUERIES = {
     "op4_hash_tree_shards": sharding.query,
     "op5_toxicity": toxicity.query,
     "op6_token_counts": token_counts.query,
+    "op8_secret_scan": secrets.query,
     "op9_quality_classifier": quality_classifier.query,
     "op10_quality_rules": quality_rules.query,
 }
 
-ORACLES: dict[str, str] = {"op10_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op8_secret_scan": secrets.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
