@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparrowmill.llm import packing, quality_classifier, quality_rules, secrets, sharding, simhash, token_counts, toxicity
+from sparrowmill.llm import decontamination, packing, quality_classifier, quality_rules, secrets, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op2_decontamination": decontamination.query,
     "op7_simhash_groups": simhash.query,
     "op4_hash_tree_shards": sharding.query,
     "op5_toxicity": toxicity.query,
