@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sparrowmill.llm import decontamination, packing, quality_classifier, quality_rules, secrets, sharding, simhash, token_counts, toxicity
+from sparrowmill.llm import decontamination, packing, quality_classifier, quality_rules, secrets, sharding, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_decontamination": decontamination.query,
     "op7_simhash_groups": simhash.query,
+    "op3_substring_dedup": substring_dedup.query,
     "op4_hash_tree_shards": sharding.query,
     "op5_toxicity": toxicity.query,
     "op6_token_counts": token_counts.query,
