@@ -28,6 +28,7 @@ WIDTH = 3
 SEED = 42
 MAX_BITS = 3
 HALF = 0xFFFFFFFF
+NULL_ID = (1 << 63) - 1
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -50,16 +51,17 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long), one row for each input row; null text: no words."""
+def fingerprints(documents: DataFrame, width: int = WIDTH, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """doc_id, the long columns keep and fp (the fingerprint's bits as a signed long) of each row; null text: no words."""
+    keep = list(keep)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             fps = np.fromiter((fingerprint(t, width) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["doc_id", *keep]), pa.array(fps.view(np.int64))], ["doc_id", *keep, "fp"])
 
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(sign, "doc_id long, fp long")
+    rows = documents.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string"))
+    return rows.mapInArrow(sign, "doc_id long, " + "".join(f"{c} long, " for c in keep) + "fp long")
 
 
 
@@ -81,12 +83,12 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def groups(signed: DataFrame) -> DataFrame:
-    """fp, component_id: for each fingerprint of signed (doc_id, fp) the smallest doc_id that it reaches."""
+    """fp, root (the smallest linked fingerprint) and component_id (the smallest doc_id) for each fingerprint of signed (doc_id, fp)."""
     prints = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     found = components(links(prints.select("fp")))
     rooted = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def simhash_groups(documents: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -101,5 +103,21 @@ def simhash_groups(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(documents: DataFrame, width: int = WIDTH) -> DataFrame:
+    """documents with one row of each group: one with the group's smallest doc_id (null ids come last).
+
+    Of different texts that share that doc_id the one with the smaller hash stays,
+    of wholly repeated rows one.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("hash")]
+    boxed = documents.select(*key, F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    signed = written(fingerprints(documents.select(*key, "text"), width, ["hash"]), "fingerprints")
+    stays = signed.join(groups(signed), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("key")).select("key.*")
+    once = boxed.groupBy("doc_id", "hash").agg(F.first("row").alias("row"))
+    kept = once.join(stays, ["doc_id", "hash"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))

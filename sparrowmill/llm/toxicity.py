@@ -147,6 +147,15 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS
     return model.weights()
 
 
+def _probabilities(texts: list[str | None], known: np.ndarray, used: np.ndarray, value: np.ndarray, bias: float) -> np.ndarray:
+    """known: which features have a weight; used and value: their numbers, ascending, and weights."""
+    index, owner = features(texts)
+    hit = known[index]
+    key = np.unique(owner[hit] << BITS | index[hit])
+    w = value[np.searchsorted(used, key & (1 << BITS) - 1)] if len(used) else np.zeros(0)
+    return sigmoid(bias + np.bincount(key >> BITS, w, minlength=len(texts)))
+
+
 def scored(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     """doc_id, held_out, score, predicted for each input row; a feature counts once however often it occurs."""
     used = np.flatnonzero(weights)
@@ -156,11 +165,7 @@ def scored(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
         known = np.zeros(1 << BITS, bool)
         known[used] = True
         for batch in text_slices(batches):
-            index, owner = features(batch.column("text").to_pylist())
-            hit = known[index]
-            key = np.unique(owner[hit] << BITS | index[hit])
-            w = value[np.searchsorted(used, key & (1 << BITS) - 1)] if len(used) else np.zeros(0)
-            p = sigmoid(bias + np.bincount(key >> BITS, w, minlength=batch.num_rows))
+            p = _probabilities(batch.column("text").to_pylist(), known, used, value, bias)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"],
@@ -182,5 +187,21 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, most: int = MAX_TRA
     return scored(documents, *train(documents, labels, most))
 
 
+def accepted(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """documents less those predicted toxic, all columns as they are; null and empty texts stay."""
+    weights, bias = train(documents, labels, most)
+    used = np.flatnonzero(weights)
+    value = weights[used]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(1 << BITS, bool)
+        known[used] = True
+        for batch in text_slices(batches):
+            p = _probabilities(batch.column("text").to_pylist(), known, used, value, bias)
+            yield batch.filter(pa.array(p < THRESHOLD))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
