@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -31,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write to the shared folder and read again: a lost executor costs a read, not a recomputation.
 
+    Shuffle files of the writing job go when it ends, as nothing reads them again.
     The table goes when the application ends.
     """
     spark = df.sparkSession
@@ -38,7 +40,15 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
