@@ -151,6 +151,7 @@ def duplicate_windows(documents: DataFrame) -> DataFrame:
     """doc, mark, start and count: runs of windows (count, from the word start on) that occurred earlier."""
     texts = _keyed(documents)
     repeated = texts.select("text").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    repeated = written(repeated, "repeated")  # stored tables, as a join can split a hot anchor only if no aggregate stands on its side
     found = texts.mapInArrow(_places, "anchor long, cell long, doc long, place long").join(repeated, "anchor", "left_semi")
     found = written(found, "cells")
     firsts = written(found.groupBy("anchor", "cell").agg(F.min(F.struct("doc", "place")).alias("first")), "firsts")
@@ -159,11 +160,13 @@ def duplicate_windows(documents: DataFrame) -> DataFrame:
     later = (F.col("doc") > F.col("first.doc")) | (word > F.shiftright("first.place", 36))
     copied = again.where(later).select("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), word.alias("start"), (F.shiftright("place", 32).bitwiseAND(F.lit(15)) + 1).alias("count"))
     differ = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    differ = written(differ, "differ")
     wanted = again.where(~later).join(differ, "anchor", "left_semi")
     wanted = wanted.groupBy("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark")).agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))
     checked = texts.join(wanted, ["doc", "mark"]).mapInArrow(_windows, "anchor long, window long, doc long, start long, mark long")
     checked = written(checked, "windows")
-    least = checked.groupBy("anchor", "window").agg(F.min(F.struct("doc", "start")).alias("first"))
+    least = checked.groupBy("anchor", "window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    least = written(least, "least")
     ends = checked.join(least, ["anchor", "window"]).where((F.col("doc") > F.col("first.doc")) | (F.col("start") > F.col("first.start")))
     return copied.unionByName(ends.select("doc", "mark", "start", F.lit(1).cast("long").alias("count")))
 
