@@ -27,7 +27,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -65,15 +65,20 @@ def _class_table() -> np.ndarray:
     return table
 
 
+def _entry(node: int, last: int, rel: int) -> int:
+    """A suffix's node, the last token before it (-1: none) and the count there, in one number."""
+    return node << 36 | last + 1 << 16 | rel + 32768
+
+
+def _parts(entry: int) -> tuple[int, int, int]:
+    return entry >> 36, (entry >> 16 & 0xFFFFF) - 1, (entry & 0xFFFF) - 32768
+
+
 class BpeTransducer:
     """Counts and ids as ``Tokenizer.from_file(path)`` gives them, without added special tokens."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -108,9 +113,19 @@ class BpeTransducer:
         self.escape = re.compile(f"{solid}(?:{'|'.join([odd, *special])}){solid}")
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.classes = _class_table()
-        self._valid = lru_cache(maxsize=1 << 18)(self._pair_stands)
+        self._valid = lru_cache(maxsize=1 << 16)(self._pair_stands)
         self._clear()
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's own tokenizer, loaded once a text needs it."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     # -- compilation -------------------------------------------------------
 
     def _insert(self, spelled: tuple[int, ...], token: int) -> None:
@@ -145,23 +160,23 @@ class BpeTransducer:
         return self._merged(self.spelling[a] + self.spelling[b]) == [a, b]
 
     def _clear(self) -> None:
-        start = ((0, -1, 0),)
+        start = (_entry(0, -1, 0),)
         self.states = [start]
         self.number = {start: 0}
         self.symbols = np.full(SPACE + 1, -1, np.int32)
         self.symbol_list: list[int] = []
-        #: next state, or at a word's end its last token, times 256, plus the count's change plus 128
-        self.table = np.full((1024, 64), -1, np.int32)
-        self.last_token = np.full(1024, -1, np.int32)
+        #: next state, or at a word's end its last token, times 256, plus the count's change plus 128; 0: not made yet
+        self.table = np.zeros((MAX_STATES * 5 // 4, 128), np.int32)
+        self.last_token = np.full(MAX_STATES * 5 // 4, -1, np.int32)
 
     def _grow(self, rows: int, cols: int) -> None:
         r, c = self.table.shape
         shape = (max(r, rows), max(c, cols))
-        new = np.full(shape, -1, np.int32)
+        new = np.zeros(shape, np.int32)
         new[:r, :c] = self.table
         self.table = new
         last = np.full(shape[0], -1, np.int32)
-        last[:r] = self.last_token
+        last[: len(self.last_token)] = self.last_token
         self.last_token = last
 
     def _dense(self, raw: np.ndarray) -> np.ndarray:
@@ -171,7 +186,7 @@ class BpeTransducer:
                 self.symbols[s] = len(self.symbol_list)
                 self.symbol_list.append(int(s))
         if len(self.symbol_list) > self.table.shape[1]:
-            self._grow(0, max(len(self.symbol_list), self.table.shape[1] * 3 // 2))
+            self._grow(0, len(self.symbol_list) + 16)
         return self.symbols[raw]
 
     def _make(self, q: int, dense: int) -> None:
@@ -180,7 +195,7 @@ class BpeTransducer:
             self.table[q, dense] = 128
             return
         byte, ends = raw & 255, raw >= 256
-        entries, delta, token = self.states[q], None, -1
+        entries, delta, token = [_parts(e) for e in self.states[q]], None, -1
         for node, last, rel in entries:
             child = self.children[node].get(byte)
             if child is not None and ends:
@@ -196,26 +211,26 @@ class BpeTransducer:
         if ends:
             self.table[q, dense] = token << 8 | delta + 128
             return
-        new = [(0, token, 0)]
+        new = [_entry(0, token, 0)]
         for node, last, rel in entries:
             child = self.children[node].get(byte)
             if child is not None and self.children[child]:
-                new.append((child, last, rel - delta))
+                new.append(_entry(child, last, rel - delta))
         key = tuple(new)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
             if to >= self.table.shape[0]:
-                self._grow(self.table.shape[0] * 3 // 2, 0)
+                self._grow(self.table.shape[0] * 5 // 4, 0)
             self.last_token[to] = token
         self.table[q, dense] = to << 8 | delta + 128
 
     def _look(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         width = self.table.shape[1]
         out = self.table.ravel().take(state * width + symbol)
-        if out.min(initial=0) < 0:
-            missing = out < 0
+        if not out.all():
+            missing = out == 0
             for code in np.unique(state[missing].astype(np.int64) * width + symbol[missing]):
                 self._make(int(code) // width, int(code) % width)
             out = self.table.ravel().take(state * self.table.shape[1] + symbol)

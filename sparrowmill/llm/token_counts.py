@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparrowmill.storage import table
 
 LIMIT = 2048
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 2 << 20
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
