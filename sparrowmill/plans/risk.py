@@ -21,25 +21,30 @@ def latest_aggregate(spark: SparkSession, d: str, district: int = DISTRICT, comm
     return quarters(own).orderBy(F.desc("quarter")).limit(1)
 
 
-_EVENT = ("order_id", "contaminant_id", "part_id", "lab_id", F.col("test_date").cast("string").alias("test_date"), "ppb", "pass_fail", F.col("confidence_score").cast("double").alias("confidence_score"))
-_ORDER = (F.col("test_date").desc_nulls_last(), "order_id", "contaminant_id", "part_id", "lab_id")
+def _event() -> list:
+    return ["order_id", "contaminant_id", "part_id", "lab_id", F.col("test_date").cast("string").alias("test_date"), "ppb", "pass_fail", F.col("confidence_score").cast("double").alias("confidence_score")]
+
+
+def _latest() -> list:
+    """Newest first, then by key."""
+    return [F.col("test_date").desc_nulls_last(), "order_id", "contaminant_id", "part_id", "lab_id"]
 
 
 def district_events_topk(spark: SparkSession, d: str, district: int = DISTRICT, commodity: str = COMMODITY, limit: int = 50) -> DataFrame:
     own = facts(spark, d).where(usable() & since(24) & (F.col("district_id") == district) & (F.col("commodity") == commodity))
     labs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("lab_id"), F.col("s_name").alias("lab_name"))
-    return own.join(labs, "lab_id", "left").orderBy(*_ORDER).limit(limit).select(*_EVENT, "lab_name")
+    return own.join(labs, "lab_id", "left").orderBy(*_latest()).limit(limit).select(*_event(), "lab_name")
 
 
 def brand_events_topk(spark: SparkSession, d: str, brand: str = BRAND, limit: int = 30) -> DataFrame:
     own = facts(spark, d).where(usable() & (F.col("brand") == brand))
     labs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("lab_id"), F.col("s_name").alias("lab_name"))
-    return own.join(labs, "lab_id", "left").orderBy(*_ORDER).limit(limit).select(*_EVENT, "lab_name", "district")
+    return own.join(labs, "lab_id", "left").orderBy(*_latest()).limit(limit).select(*_event(), "lab_name", "district")
 
 
 def alerts_topk(spark: SparkSession, d: str, limit: int = 20) -> DataFrame:
     failed = facts(spark, d).where(usable() & (F.col("pass_fail") == F.lit(False)))
-    return failed.orderBy(*_ORDER).limit(limit).select(*_EVENT, "district", "commodity", "brand")
+    return failed.orderBy(*_latest()).limit(limit).select(*_event(), "district", "commodity", "brand")
 
 
 def heatmap_latest(spark: SparkSession, d: str, commodity: str = COMMODITY) -> DataFrame:
