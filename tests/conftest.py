@@ -35,7 +35,7 @@ def _plain(value):
 
     import pandas as pd
 
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, (pd.Timestamp, datetime.date)):
         return str(pd.Timestamp(value))
