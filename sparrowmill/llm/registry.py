@@ -17,4 +17,9 @@ QUERIES = {
     "op10_quality_rules": quality_rules.query,
 }
 
-ORACLES: dict[str, str] = {"op8_secret_scan": secrets.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_substring_dedup": substring_dedup.ORACLE,
+    "op4_hash_tree_shards": sharding.ORACLE,
+    "op8_secret_scan": secrets.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
+}

@@ -92,3 +92,39 @@ def hash_tree_shards(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree_shards(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """The same tree in DuckDB, which has no crc32: its usual byte-wise table is made from the polynomial."""
+    table_ = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table_.append(n)
+    draw = lambda name, w: f"{{'d': -ln((('0x' || substr(md5(k || ':{name}'), 1, 8))::bigint + 0.5) / 4294967296.0) / {float(w)}, 'n': '{name}'}}"
+    best = lambda weights: f"list_sort([{', '.join(draw(n, w) for n, w in sorted(weights.items()))}])[1].n"
+
+    def tree(shards: int) -> str:
+        regions: dict[str, dict[str, dict[int, float]]] = {}
+        for s in layout(shards):
+            regions.setdefault(s.region, {}).setdefault(s.rack, {})[s.number] = s.weight
+        weight = {r: sum(sum(x.values()) for x in racks.values()) for r, racks in regions.items()}
+        out = f"case {best(weight)}"
+        for region, racks in regions.items():
+            out += f" when '{region}' then case {best({k: sum(v.values()) for k, v in racks.items()})}"
+            for rack, inner in racks.items():
+                out += f" when '{rack}' then substr({best({f'shard{n}': w for n, w in inner.items()})}, 6)::int"
+            out += " end"
+        return out + " end"
+
+    return f"""
+with t as (select {table_}::bigint[] as crc_table),
+b as (select doc_id, coalesce(doc_id::varchar, 'null') as k, (octet_length(encode(coalesce(text, ''))) + 1)::bigint as size,
+  list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint)) as bytes from documents),
+c as (select doc_id, k, size, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, crc_table[(xor(a, x) & 255) + 1])), 4294967295::bigint)::bigint as text_crc32 from b, t),
+s as (select *, ('0x' || substr(md5(k || ':slot'), 1, 3))::int as bucket, {tree(SHARDS)} as shard, {tree(SHARDS + 1)} as grown_shard from c)
+select doc_id, size, text_crc32, 'key' as law, shard, (row_number() over (partition by shard order by bucket, doc_id, size, text_crc32) - 1)::bigint as slot, grown_shard from s
+"""
+
+
+ORACLE = oracle()

@@ -188,3 +188,16 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("factors")
+
+
+#: The same result by the definition alone: every window of every text, first one stays.
+ORACLE = f"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + {WIDTH - 1}], ' ') as t from (select doc_id, w, unnest(range(1, len(w) - {WIDTH - 2})) as i from d where len(w) >= {WIDTH})),
+again as (select doc_id, i from win qualify row_number() over (partition by t order by doc_id, i) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + {WIDTH})) as p from again),
+each_word as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select doc_id, string_agg(word, ' ' order by p) as t from each_word anti join gone using (doc_id, p) group by doc_id),
+n as (select doc_id, count(*) as n_removed from gone group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id) left join n using (doc_id)
+"""

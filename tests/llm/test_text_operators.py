@@ -250,3 +250,8 @@ def test_classifiers_with_odd_rows(spark, module):
         got = score(rows, labels).collect()
         assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
     assert score(documents(spark, []), some).count() == 0
+
+
+@pytest.mark.parametrize("module", [substring_dedup, sharding])
+def test_against_sql(module, same_as_sql):
+    same_as_sql(module.query, module.ORACLE)
