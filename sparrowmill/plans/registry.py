@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparrowmill.plans import chain, fraud, inputs, risk, standard
+from sparrowmill.plans import chain, fraud, inputs, risk, runs, standard
 
-_PARTS = (risk, standard, fraud, chain, inputs)
+_PARTS = (risk, standard, fraud, chain, inputs, runs)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

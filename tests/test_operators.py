@@ -93,3 +93,33 @@ def test_stream_runs_to_its_end(spark, small):
     from sparrowmill.streaming.ingest import event_windows
 
     assert event_windows(spark, small).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_facts_are_appended_by_year_and_pruned(spark, tmp_path):
+    import datetime
+
+    from sparrowmill.operators import ingest
+
+    day = datetime.date
+    rows = [("rice", "lead", 1.0, day(2024, 5, 1)), ("rice", "lead", 2.0, None), (None, "lead", 3.0, day(2023, 1, 1)), ("rice", "lead", None, day(2023, 1, 1)), ("dal", "lead", 4.0, day(2025, 2, 1))]
+    df = spark.createDataFrame(rows, "commodity string, contaminant string, ppb double, test_date date")
+    assert ingest.append_facts(df, str(tmp_path / "facts"), "2026-06-30") == (3, 2)
+    assert ingest.append_facts(df.limit(0), str(tmp_path / "facts"), "2026-06-30") == (0, 0)
+    stored = spark.read.parquet(str(tmp_path / "facts"))
+    assert sorted(r["ppb"] for r in ingest.facts_since(stored, "2025-02-01").collect()) == [2.0, 4.0]
+    assert "test_year" in ingest.facts_since(stored, "2025-02-01")._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:80]
+
+
+def test_a_batch_run_twice_is_all_duplicates(spark):
+    import datetime
+
+    from sparrowmill.operators import ingest
+
+    a, b, c = ((n, datetime.date(2024, 1, n), "lab", "rice", "lead", float(n), "") for n in (1, 2, 3))
+    schema = "n int, test_date date, lab string, commodity string, contaminant string, ppb double, district string"
+    batch = spark.createDataFrame([a, b, (4, *a[1:]), c], schema)
+    none = spark.createDataFrame([], "hash string")
+    history = ingest.flag_duplicates(spark.createDataFrame([c], schema), none, ["n"])
+    once = ingest.flag_duplicates(batch, history, ["n"])
+    assert [r["is_duplicate"] for r in once.orderBy("n").collect()] == [False, False, True, True]
+    assert all(r["is_duplicate"] for r in ingest.flag_duplicates(batch, once, ["n"]).collect())
