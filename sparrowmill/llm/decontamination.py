@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.token_counts import text_slices
+from sparrowmill.llm.token_counts import map_texts, text_slices
 from sparrowmill.llm.wordhash import mix, words_of
 from sparrowmill.storage import table
 
@@ -153,7 +153,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, block_words: int =
                 cols = list(zip(*((names[t], *rest) for t, *rest in hits))) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "start_word", "n_words", "n_matched"])
 
-        found = rows.mapInArrow(find, SCHEMA)
+        found = map_texts(rows, find, SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 

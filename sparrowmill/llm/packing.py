@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.token_counts import text_slices
+from sparrowmill.llm.token_counts import map_texts, text_slices
 from sparrowmill.storage import table, written
 
 CAPACITY = 2048
@@ -58,7 +58,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_
             yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(out, kinds)], list(out))
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(cut, PIECES + ", ids array<int>" * keep_ids)
+    return map_texts(rows, cut, PIECES + ", ids array<int>" * keep_ids)
 
 
 # -- the plan, on the driver ------------------------------------------------
@@ -203,7 +203,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(place, schema + ", sequence_id long, offset long")
+    return map_texts(ranked, place, schema + ", sequence_id long, offset long")
 
 
 def best_fit_packing(documents: DataFrame, path: str, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:

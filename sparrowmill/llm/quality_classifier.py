@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowmill.llm.linear import MAX_TRAINING_ROWS, Ftrl, remainder, sigmoid, training_rows
-from sparrowmill.llm.token_counts import text_slices
+from sparrowmill.llm.token_counts import map_texts, text_slices
 from sparrowmill.llm.wordhash import LOWER, Words, mix, span_hashes, words_of
 from sparrowmill.storage import table
 
@@ -83,7 +83,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS
                 ["doc_id", "label", "n", "index", "count"],
             )
 
-    found = rows.mapInArrow(extract, "doc_id long, label int, n long, index binary, count binary").toPandas()
+    found = map_texts(rows, extract, "doc_id long, label int, n long, index binary, count binary").toPandas()
     found = found.assign(h=found["doc_id"].map(lambda d: d * 0x9E3779B97F4A7C15 & 0xFFFFFFFF)).sort_values(["h", "doc_id"])
     model = Ftrl(1 << BITS, alpha=2.0, beta=0.05, l1=0.02, l2=0.001)
     examples = [(np.frombuffer(r.index, np.int32), np.frombuffer(r.count, np.float32) / max(1, r.n), float(r.label)) for r in found.itertuples(index=False)] if len(found) else []
@@ -109,7 +109,7 @@ def scored(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     modulus, held = HELD_OUT
     out = F.coalesce(remainder(F.col("doc_id"), modulus) == held, F.lit(False))
     rows = documents.select(F.col("doc_id").cast("long"), out.alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return map_texts(rows, score, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:

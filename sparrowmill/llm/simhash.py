@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowmill.llm.components import components
-from sparrowmill.llm.token_counts import text_slices
+from sparrowmill.llm.token_counts import map_texts, text_slices
 from sparrowmill.storage import table, written
 
 WIDTH = 3
@@ -61,7 +61,7 @@ def fingerprints(documents: DataFrame, width: int = WIDTH, keep: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["doc_id", *keep]), pa.array(fps.view(np.int64))], ["doc_id", *keep, "fp"])
 
     rows = documents.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string"))
-    return rows.mapInArrow(sign, "doc_id long, " + "".join(f"{c} long, " for c in keep) + "fp long")
+    return map_texts(rows, sign, "doc_id long, " + "".join(f"{c} long, " for c in keep) + "fp long")
 
 
 

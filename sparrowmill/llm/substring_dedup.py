@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowmill.llm.token_counts import text_slices
+from sparrowmill.llm.token_counts import map_texts, text_slices
 from sparrowmill.llm.wordhash import Words, _power, mix, windows, words_of
 from sparrowmill.storage import table, written
 
@@ -150,9 +150,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def duplicate_windows(documents: DataFrame) -> DataFrame:
     """doc, mark, start and count: runs of windows (count, from the word start on) that occurred earlier."""
     texts = _keyed(documents)
-    repeated = texts.select("text").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    repeated = map_texts(texts.select("text"), _anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     repeated = written(repeated, "repeated")  # stored tables, as a join can split a hot anchor only if no aggregate stands on its side
-    found = texts.mapInArrow(_places, "anchor long, cell long, doc long, place long").join(repeated, "anchor", "left_semi")
+    found = map_texts(texts, _places, "anchor long, cell long, doc long, place long").join(repeated, "anchor", "left_semi")
     found = written(found, "cells")
     firsts = written(found.groupBy("anchor", "cell").agg(F.min(F.struct("doc", "place")).alias("first")), "firsts")
     again = found.join(firsts, ["anchor", "cell"])
@@ -183,7 +183,7 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     runs = duplicate_windows(documents).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     texts = _keyed(documents).join(runs, ["doc", "mark"], "left")
     texts = texts.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), "text", "runs")
-    return texts.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start: long, n_words: long>>")
+    return map_texts(texts, _cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start: long, n_words: long>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

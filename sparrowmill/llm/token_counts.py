@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparrowmill.storage import table
 
 LIMIT = 2048
 BATCH_CHARS = 2 << 20
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
@@ -29,6 +32,18 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars:
             yield batch.slice(lo)
 
 
+def map_texts(rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """rows.mapInArrow with batches of BATCH_ROWS rows in this session, unless it has a number of its own.
+
+    Texts make rows large: the usual 10000 of them in one batch cost each task
+    tens of megabytes on either side of the pipe to Python.
+    """
+    spark = rows.sparkSession
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return rows.mapInArrow(function, schema)
+
+
 def token_counts(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -51,7 +66,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFra
             )
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_texts(rows, count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowmill.llm.linear import MAX_TRAINING_ROWS, Ftrl, remainder, sigmoid, training_rows
-from sparrowmill.llm.token_counts import text_slices
+from sparrowmill.llm.token_counts import map_texts, text_slices
 from sparrowmill.llm.wordhash import mix, span_hashes, words_of
 from sparrowmill.storage import table
 
@@ -70,7 +70,7 @@ def _sample(documents: DataFrame, labels: DataFrame, most: int) -> tuple[list[np
             packed = [(key[a:b] & (1 << BITS) - 1).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "index"])
 
-    found = rows.mapInArrow(extract, "doc_id long, label int, index binary").toPandas()
+    found = map_texts(rows, extract, "doc_id long, label int, index binary").toPandas()
     if not len(found):
         return [], np.zeros(0)
     found = found.assign(h=found["doc_id"].map(lambda d: d * 0x9E3779B97F4A7C15 & 0xFFFFFFFF)).sort_values(["h", "doc_id"])
@@ -174,7 +174,7 @@ def scored(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     modulus, held = HELD_OUT
     out = F.coalesce(remainder(F.col("doc_id"), modulus) == held, F.lit(False))
     rows = documents.select(F.col("doc_id").cast("long"), out.alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return map_texts(rows, score, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
@@ -200,7 +200,7 @@ def accepted(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_R
             p = _probabilities(batch.column("text").to_pylist(), known, used, value, bias)
             yield batch.filter(pa.array(p < THRESHOLD))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return map_texts(documents, keep, documents.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
