@@ -2,12 +2,15 @@
 
 Only the histogram (at most ``capacity`` numbers) comes to the driver. There the
 covering program "use configurations so that every length occurs as often as
-wanted" is solved by multiplicative weights; one knapsack dynamic program prices
-all configurations of a round, and every length takes part with the best one
-that contains it. The fractional solution is rounded down and what is left is
-packed by best fit decreasing, on runs of equal bins, so the work doesn't depend
-on how many pieces there are. The plan says where the r-th piece of each length
-goes; pieces learn r from counts per (length, hash bucket).
+wanted" is solved by multiplicative weights: knapsack dynamic programs price all
+configurations of a round, none with more of a length than there is, and every
+length takes part with one of the best that contain it. The fractional solution
+is rounded, and the program is solved again for the pieces left, up to PHASES
+times; best fit decreasing, on runs of equal bins, packs what is left then. Of the
+states after each phase (and best fit decreasing alone) the one with the fewest
+sequences is the plan, the latest of equals. The work doesn't depend on how many
+pieces there are. The plan says where the r-th piece of each length goes; pieces
+learn r from counts per (length, hash bucket).
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ CAPACITY = 2048
 ROUNDS = 60
 STEP = 0.25
 NEAR = 0.03
+TIE = 0.001
+PHASES = 8
 BUCKETS = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -64,56 +69,114 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_
 # -- the plan, on the driver ------------------------------------------------
 
 
-def _priced(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Knapsack with repetition: best value of each room, and which length to take first there (-1: none)."""
-    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for room in range(1, capacity + 1):
-        k = fits[room]
-        if k:
-            value = best[room - lengths[:k]] + price[:k]
-            j = int(value.argmax())
-            best[room], take[room] = value[j], j
-    return best, take
-
-
-def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple[int, ...], float], float]:
-    """Configurations (indexes of lengths, with repetition) with amounts that cover no length more than counts; a lower bound on sequences."""
-    weight, covered = np.ones(len(lengths)), np.zeros(len(lengths))
-    amounts: dict[tuple[int, ...], float] = defaultdict(float)
-    bound = float((lengths * counts).sum()) / capacity
-    for _ in range(rounds):
-        price = weight / counts
-        best, take = _priced(lengths, price, capacity)
-        bound = max(bound, float(weight.sum()) / best[capacity])
-        value = price + best[capacity - lengths]
-        gained = np.zeros(len(lengths))
-        for j in np.flatnonzero(value >= (1 - NEAR) * best[capacity]):
-            parts, room = [int(j)], capacity - int(lengths[j])
-            while take[room] >= 0:
-                parts.append(int(take[room]))
-                room -= int(lengths[take[room]])
-            kinds, times = np.unique(parts, return_counts=True)
-            amount = STEP * float((counts[kinds] / times).min()) / (1 + gained[kinds].max())
-            amounts[tuple(sorted(parts, reverse=True))] += amount
-            gained[kinds] += times * amount / counts[kinds]
-        covered += gained
-        weight *= np.exp(-gained)
-        weight /= weight.max()
-        weight = np.maximum(weight, 1e-12)
-    most = max(1.0, float(covered.max()))
-    return {k: v / most for k, v in amounts.items()}, bound
-
-
-def _rounded(amounts: dict[tuple[int, ...], float], counts: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
-    left, chosen = counts.copy(), []
-    for parts, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0])):
-        kinds, times = np.unique(parts, return_counts=True)
-        n = min(int(amount), int((left[kinds] // times).min()))
-        if n > 0:
-            chosen.append((parts, n))
-            left[kinds] -= times * n
-    return chosen, left
+def _knapsack(lengths: np.ndarray, price: np.ndarray, limit: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row i: the best value in each room of the first i lengths, each at most limit times, and the last length in it (-1: none)."""
+    best, last = np.zeros((len(lengths) + 1, capacity + 1)), np.full((len(lengths) + 1, capacity + 1), -1, np.int32)
+    for i, (size, value, n) in enumerate(zip(lengths.tolist(), price.tolist(), limit.tolist())):
+        row, step = best[i + 1], 1
+        row[:] = best[i]
+        while n > 0:
+            k = min(step, n)
+            np.maximum(row[k * size :], row[: capacity + 1 - k * size] + k * value, out=row[k * size :])
+            n, step = n - k, step * 2
+        last[i + 1] = np.where(row > best[i], i, last[i])
+    return best, last
+
+
+def _walk(found: tuple[np.ndarray, np.ndarray], lengths: np.ndarray, price: np.ndarray, limit: np.ndarray, i: int, room: int) -> dict[int, int]:
+    """What the best value in row i and that room consists of: index of length, times."""
+    (best, last), parts = found, {}
+    while (j := int(last[i, room])) >= 0:
+        times = np.arange(1, min(int(limit[j]), room // int(lengths[j])) + 1)
+        parts[j] = int(times[(best[j, room - times * lengths[j]] + times * price[j]).argmax()])
+        room, i = room - parts[j] * int(lengths[j]), j
+    return parts
+
+
+def _priced(lengths: np.ndarray, price: np.ndarray, limit: np.ndarray, capacity: int, rng: np.random.Generator) -> tuple[float, list[tuple[tuple[int, int], ...]]]:
+    """The best value of a configuration, and for each length one near the best that contains it: ((index, times), ...).
+
+    No length is repeated beyond limit. Knapsacks over the lengths before and from
+    a length on meet in it; which of them meet is drawn among the near best, or all
+    lengths would ask for the same few to fill up with.
+    """
+    m, turned = len(lengths), (lengths[::-1], price[::-1], limit[::-1])
+    fore, back = _knapsack(lengths, price, limit, capacity), _knapsack(*turned, capacity)
+    top, out = float(fore[0][m, capacity]), []
+
+    def joined(j: int, times: int, others: int) -> dict[int, int] | None:
+        room = capacity - times * int(lengths[j])
+        both = fore[0][j, : room + 1] + back[0][others, room::-1]
+        if both.max() + times * price[j] < (1 - NEAR) * top:
+            return None
+        near = np.flatnonzero(both >= both.max() - TIE * top)
+        a = int(near[rng.integers(len(near))])
+        parts = _walk(fore, lengths, price, limit, j, a)
+        for i, k in _walk(back, *turned, others, room - a).items():
+            parts[m - 1 - i] = k
+        parts[j] = parts.get(j, 0) + times
+        return parts
+
+    for j in range(m):
+        parts = joined(j, 1, m - j)
+        if parts and parts[j] > limit[j]:
+            parts = joined(j, int(limit[j]), m - j - 1)
+        if parts:
+            out.append(tuple(sorted(parts.items(), reverse=True)))
+    return top, out
+
+
+def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple[tuple[int, int], ...], float], np.ndarray, float]:
+    """Amounts of configurations ((index of length, times), ...); the share of each length's pieces that they hold; a lower bound on sequences.
+
+    Weights start where prices are in proportion to lengths, the optimum if full
+    sequences can hold all. Amounts are means over the second half of the rounds, in
+    which the weights have settled, and hold all tokens once.
+    """
+    limit, tokens = np.minimum(counts, capacity // lengths), (lengths * counts).astype(float)
+    weight, covered, rng = tokens / tokens.max(), np.zeros(len(lengths)), np.random.default_rng(0)
+    amounts: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
+    bound = float(tokens.sum()) / capacity
+    for r in range(rounds):
+        best, found = _priced(lengths, weight / counts, limit, capacity, rng)
+        bound = max(bound, float(weight.sum()) / best)
+        owner = np.repeat(np.arange(len(found)), [len(parts) for parts in found])
+        kind, times = np.asarray([x for parts in found for x in parts]).T
+        share, most, load = times / counts[kind], np.zeros(len(found)), np.zeros(len(found))
+        np.maximum.at(most, owner, share)
+        wanted = np.bincount(kind, share / most[owner], len(lengths))
+        np.maximum.at(load, owner, wanted[kind])
+        amount = STEP / most / np.maximum(1, load)
+        gained = np.bincount(kind, share * amount[owner], len(lengths))
+        weight = weight * np.exp(-gained)
+        weight = np.maximum(weight / weight.max(), 1e-12)
+        if 2 * r >= rounds:
+            covered += gained
+            for parts, x in zip(found, amount.tolist()):
+                amounts[parts] += x
+    scale = float(np.average(covered, weights=tokens)) if amounts else 1.0
+    return {k: v / scale for k, v in amounts.items()}, covered / scale, bound
+
+
+def _rounded(amounts: dict[tuple[tuple[int, int], ...], float], lengths: np.ndarray, counts: np.ndarray, capacity: int, spare: float) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], np.ndarray]:
+    """Whole parts of amounts, then one more of each as far as pieces are left, with at most spare empty places.
+
+    The fullest come first, of them those without short pieces, which fill what is left later.
+    """
+    left, chosen = counts.copy(), defaultdict(int)
+    full = {parts: sum(k * int(lengths[j]) for j, k in parts) for parts in amounts}
+    order = sorted(amounts, key=lambda parts: (-full[parts], -parts[-1][0], parts))
+    for up in (0, 1):
+        for parts in order:
+            n = min([up or int(amounts[parts]), *(int(left[j]) // k for j, k in parts)])
+            if full[parts] < capacity:
+                n = int(min(n, spare // (capacity - full[parts])))
+            if n > 0:
+                chosen[parts] += n
+                spare -= n * (capacity - full[parts])
+                for j, k in parts:
+                    left[j] -= n * k
+    return list(chosen.items()), left
 
 
 def best_fit_runs(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -150,6 +213,7 @@ class Plan:
     offset: np.ndarray
     sequences: int
     bound: float
+    from_lp: int
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = np.searchsorted(self.length << 44 | self.lo, length << 44 | rank, "right") - 1
@@ -158,15 +222,31 @@ class Plan:
 
 
 def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
-    """histogram: how often each length from 1 to capacity occurs; its size bounds all work here."""
+    """histogram: how often each length from 1 to capacity occurs; its size bounds all work here. from_lp: sequences that the program gave."""
     lengths = np.asarray(sorted(histogram), np.int64)
     counts = np.asarray([histogram[k] for k in lengths.tolist()], np.int64)
-    chosen, left, bound = [], counts, 0.0
-    if len(lengths):
-        amounts, bound = configuration_lp(lengths, counts, capacity, rounds)
-        chosen, left = _rounded(amounts, counts)
-    runs = [(tuple((int(lengths[j]), parts.count(j)) for j in dict.fromkeys(parts)), n) for parts, n in chosen]
-    runs += best_fit_runs(lengths[left > 0], left[left > 0], capacity)
+    dealt, left, bound = [], counts, 0.0
+    runs, from_lp = best_fit_runs(lengths, counts, capacity), 0
+    fewest, tokens, empty = sum(n for _, n in runs), int((lengths * counts).sum()), 0
+    for phase in range(PHASES):
+        live = np.flatnonzero(left)
+        if not len(live):
+            break
+        amounts, _, low = configuration_lp(lengths[live], left[live], capacity, rounds)
+        bound = bound if phase else low
+        spare = max(0.0, np.ceil(bound - 1e-6) * capacity - tokens - empty) / 4
+        chosen, rest = _rounded(amounts, lengths[live], left[live], capacity, spare)
+        if not chosen:
+            chosen, rest = _rounded(amounts, lengths[live], left[live], capacity, np.inf)
+        dealt += [(tuple((int(lengths[live[j]]), k) for j, k in parts), n) for parts, n in chosen]
+        left = left.copy()
+        left[live] = rest
+        empty = sum(n for _, n in dealt) * capacity - (tokens - int((lengths * left).sum()))
+        others = best_fit_runs(lengths[left > 0], left[left > 0], capacity)
+        bins = sum(n for _, n in dealt)
+        total = bins + sum(n for _, n in others)
+        if total <= fewest:
+            runs, from_lp, fewest = dealt + others, bins, total
     used: dict[int, int] = defaultdict(int)
     rows, first = [], 0
     for inside, n in runs:
@@ -177,7 +257,7 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: in
             offset += size * each
         first += n
     cols = np.asarray(sorted(rows), np.int64).reshape(-1, 5).T.copy()
-    return Plan(*cols, first, bound)
+    return Plan(*cols, first, bound, from_lp)
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:

@@ -100,3 +100,14 @@ def test_plan_places_every_piece_once(histogram):
     for s, o, n in zip(sequence, offset, length):
         used[s, o : o + n] += 1
     assert used.max() == 1 and (np.diff(used, axis=1) <= 0).all() and plan.sequences >= plan.bound - 1e-6
+
+
+def test_the_sequences_come_from_the_configuration_program():
+    rng = np.random.default_rng(5)
+    lengths, counts = np.unique(np.minimum(rng.lognormal(4, 0.9, 1500).astype(int) + 1, 256), return_counts=True)
+    amounts, _, bound = packing.configuration_lp(lengths, counts, 256)
+    assert all(sum(k * lengths[j] for j, k in parts) <= 256 and all(k <= counts[j] for j, k in parts) for parts in amounts)
+    assert bound <= sum(amounts.values()) <= 1.02 * bound
+    plan = packing.packing_plan(dict(zip(lengths.tolist(), counts.tolist())), 256)
+    assert plan.from_lp >= 0.9 * plan.sequences
+    assert plan.bound - 1e-6 <= plan.sequences <= sum(n for _, n in packing.best_fit_runs(lengths, counts, 256))
