@@ -4,8 +4,9 @@ Words (runs of letters and digits, lower-cased) of benchmark items are hashed
 under fixed masks that ignore some positions, so that words exchanged there do no
 harm. Documents' windows under the same masks are looked up among the items'
 seeds; each hit fixes an alignment of item and document, which is verified word
-by word: its best stretch must have MIN_WORDS equal words (of shorter items, 80
-percent of theirs) and no more than one word in five exchanged.
+by word: some stretch must have MIN_WORDS equal words (of shorter items, 80
+percent of theirs) and no more than one word in five exchanged. The one with the
+most equal words is reported.
 
 Masks: every stretch of 12 words with two exchanged at any places has a window
 that one of them finds.
@@ -107,20 +108,25 @@ class SeedIndex:
         for t, w, shift in keys:
             lo, hi = max(self.first[w], words.first[t] - shift), min(self.first[w + 1], words.first[t + 1] - shift)
             same = self.hashes[lo:hi] == words.hashes[lo + shift : hi + shift]
+            least = min(MIN_WORDS, -(-4 * int(self.first[w + 1] - self.first[w]) // 5))
+            if np.count_nonzero(same) < least:
+                continue
             a, b = _stretch(same)
-            n, least = int(same[a:b].sum()), self.first[w + 1] - self.first[w]
-            if n >= min(MIN_WORDS, -(-4 * least // 5)):
+            n = int(same[a:b].sum())
+            if n >= least:
                 new = (n, int(lo + shift + a - words.first[t]), b - a)
                 best[t, w] = max(best.get((t, w), new), new)
         return [(int(t), int(self.ids[w]), start, size, n) for (t, w), (n, start, size) in sorted(best.items())]
 
 
 def _stretch(same: np.ndarray) -> tuple[int, int]:
-    """The stretch with the most equal words, less PENALTY for each other word."""
+    """The stretch with the most equal words of those with no more than one word in PENALTY + 1 exchanged; it begins and ends with equal ones."""
     total = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
-    low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
-    return int(total[: end + 1].argmin()) if end else 0, end
+    equal = np.concatenate([[0], np.cumsum(same)])
+    first = np.searchsorted(-np.minimum.accumulate(total), -total, "left")  # for each end the first begin with no greater total
+    end = int((equal - equal[first]).argmax())
+    inside = first[end] + np.flatnonzero(same[first[end] : end])
+    return (int(inside[0]), int(inside[-1]) + 1) if len(inside) else (0, 0)
 
 
 @lru_cache(maxsize=1)

@@ -221,6 +221,34 @@ def test_decontamination(spark, block):
         assert decontamination.contaminated(documents(spark, []), bench).count() == 0
 
 
+def most_equal_by_hand(gone, n):
+    equal = [sum(k not in gone for k in range(e)) for e in range(n + 1)]
+    most = max(equal[b] - equal[a] for a in range(n) for b in range(a + 1, n + 1) if 5 * (b - a - equal[b] + equal[a]) <= b - a)
+    return most if most >= min(12, -(-4 * n // 5)) else None
+
+
+@pytest.mark.parametrize("n", [15, 16, 20, 25])
+def test_every_overlap_within_the_rule_is_found(n):
+    from itertools import combinations
+
+    item = [f"w{k}" for k in range(n)]
+    index = decontamination.SeedIndex([(7, " ".join(item))])
+    places = [set(c) for x in (2, 3) for c in combinations(range(n), x)]
+    texts = [" ".join(["before", "it", *("other" if k in gone else w for k, w in enumerate(item)), "after"]) for gone in places]
+    got = {t: rest for t, _, *rest in index.search(texts)}
+    for t, gone in enumerate(places):
+        assert (got[t][2] if t in got else None) == most_equal_by_hand(gone, n), gone
+
+
+def test_every_fifth_word_may_be_exchanged():
+    item = [f"w{k}" for k in range(100)]
+    index = decontamination.SeedIndex([(7, " ".join(item))])
+    fifth, third = (" ".join("other" if k % m == 2 else w for k, w in enumerate(item)) for m in (5, 3))
+    ((_, found, _, size, equal),) = index.search([fifth])
+    assert found == 7 and size - equal <= size / 5 and equal == 80
+    assert index.search([third]) == []
+
+
 # -- classifiers -----------------------------------------------------------------
 
 
