@@ -30,8 +30,6 @@ PREFIXES = (4, 5, 6)
 MAX_VOTERS = 256
 MIN_FIRED = 5
 MIN_PRECISION = 0.98
-#: Features in a larger share of the training rows than this aren't learnt.
-MAX_SHARE = 0.1
 EM_ROUNDS = 40
 EPOCHS = 8
 THRESHOLD = 0.7
@@ -59,6 +57,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sample(documents: DataFrame, labels: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and label of each labelled text; texts with equal features, copies above all, count once, with their mean label."""
     modulus, held = HELD_OUT
     rows = training_rows(documents, labels, "toxic", remainder(F.col("doc_id"), modulus) != held, most)
 
@@ -74,7 +73,8 @@ def _sample(documents: DataFrame, labels: DataFrame, most: int) -> tuple[list[np
     if not len(found):
         return [], np.zeros(0)
     found = found.assign(h=found["doc_id"].map(lambda d: d * 0x9E3779B97F4A7C15 & 0xFFFFFFFF)).sort_values(["h", "doc_id"])
-    return [np.frombuffer(x, np.int32) for x in found["index"]], found["label"].to_numpy(float)
+    found = found.groupby("index", sort=False)["label"].mean()
+    return [np.frombuffer(x, np.int32) for x in found.index], found.to_numpy(float)
 
 
 def choose_voters(examples: list[np.ndarray], target: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS
     for index in examples:
         seen[index] += 1
     model = Ftrl(1 << BITS, alpha=0.5, beta=1.0, l1=4.0, l2=0.1)
-    usual = (seen >= MIN_FIRED) & (seen <= MAX_SHARE * len(examples))
+    usual = seen >= MIN_FIRED
     kept = [index[usual[index]] for index in examples]
     for _ in range(EPOCHS):
         for index, p in zip(kept, posterior):

@@ -280,6 +280,22 @@ def test_classifiers_with_odd_rows(spark, module):
     assert score(documents(spark, []), some).count() == 0
 
 
+@pytest.mark.parametrize("copies", [0, 400])
+def test_toxic_words_of_many_rows_count(spark, copies):
+    rng = random.Random(11)
+    plain, bad = [f"plain{chr(97 + k)}word" for k in range(26)], ["trash", "moron", "gruk", "vosh"]
+    text = lambda n, *more: " ".join(rng.sample([*(rng.choice(plain) for _ in range(n)), *more], n + len(more)))
+    hot = text(12, *bad)
+    rows = [(hot, 1)] * copies + [(text(30, *rng.sample(bad, 2)), 1) for _ in range(300)] + [(text(30), 0) for _ in range(500)]
+    rng.shuffle(rows)
+    labels = spark.createDataFrame([(k, 1, y) for k, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    new = [(5000, hot, 1), (5001, "trash gruk", 1)] + [(5100 + k, text(30, *rng.sample(bad, 2)), 1) for k in range(50)] + [(5200 + k, text(30), 0) for k in range(50)] + [(5300, " ".join(w for w in hot.split() if w not in bad), 0)]
+    docs = documents(spark, [(k, t, None) for k, (t, _) in enumerate(rows)] + [(d, t, None) for d, t, _ in new])
+    predicted = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert {d: predicted[d] for d, _, _ in new} == {d: y for d, _, y in new}
+    assert all(predicted[k] == y for k, (_, y) in enumerate(rows))
+
+
 @pytest.mark.parametrize("module", [substring_dedup, sharding])
 def test_against_sql(module, same_as_sql):
     same_as_sql(module.query, module.ORACLE)
