@@ -60,8 +60,8 @@ def _seed(hashes: np.ndarray, at: np.ndarray, offsets: np.ndarray, salt: int) ->
 class SeedIndex:
     """Items' words and, sorted, the seeds of all their windows."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.ids = np.asarray([i for i, _ in items], np.int64)
+    def __init__(self, items: list[tuple[int | None, str | None]]):
+        self.ids = [i for i, _ in items]
         words = _words([t for _, t in items])
         self.hashes, self.first = words.hashes, words.first
         seeds, places = [], []
@@ -97,7 +97,7 @@ class SeedIndex:
                 found.append(np.stack([np.repeat(at, n), self.place[np.repeat(lo, n) + rank]]))
         return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
 
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+    def search(self, texts: list[str | None]) -> list[tuple[int, int | None, int, int, int]]:
         """(text, item_id, first word, words, equal words): the best verified stretch of each text and item."""
         words = _words(texts)
         text_of = words.owner()
@@ -116,7 +116,7 @@ class SeedIndex:
             if n >= least:
                 new = (n, int(lo + shift + a - words.first[t]), b - a)
                 best[t, w] = max(best.get((t, w), new), new)
-        return [(int(t), int(self.ids[w]), start, size, n) for (t, w), (n, start, size) in sorted(best.items())]
+        return [(int(t), self.ids[w], start, size, n) for (t, w), (n, start, size) in sorted(best.items())]
 
 
 def _stretch(same: np.ndarray) -> tuple[int, int]:
@@ -139,10 +139,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, block_words: int =
 
     Documents without overlap give no row. Null and empty texts hold and match
     nothing, as do items of fewer than five words; repeated documents give repeated
-    rows; repeated items count once. Rows with a null doc_id are reported with a null.
+    rows; repeated items count once. Rows with a null doc_id are reported with a null,
+    and so are items with a null item_id, each text of them as an item of its own.
     """
     spark = documents.sparkSession
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     n_words = items.agg(F.sum(F.size(F.split("text", "[^\\p{Alnum}]+")))).first()[0] or 0
     blocks = max(1, -(-n_words // block_words))
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -240,6 +240,15 @@ def test_every_overlap_within_the_rule_is_found(n):
         assert (got[t][2] if t in got else None) == most_equal_by_hand(gone, n), gone
 
 
+def test_items_without_id_are_found(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(20)) for c in "xy")
+    bench = spark.createDataFrame([(None, one), (None, two), (None, None), (4, two)], "item_id long, text string")
+    docs = documents(spark, [(1, "before " + one, None), (2, two, None), (3, "neither of them", None)])
+    got = decontamination.contaminated(docs, bench).collect()
+    assert sorted((r["doc_id"], str(r["item_id"]), r["n_matched"]) for r in got) == [(1, "None", 20), (2, "4", 20), (2, "None", 20)]
+    assert [r["doc_id"] for r in decontamination.clean_documents(docs, bench).collect()] == [3]
+
+
 def test_every_fifth_word_may_be_exchanged():
     item = [f"w{k}" for k in range(100)]
     index = decontamination.SeedIndex([(7, " ".join(item))])
