@@ -11,7 +11,11 @@ from sparrowmill.storage import table, written
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Regions, nations, suppliers and brands; a nation with results of the last year for one commodity is measured."""
+    """Regions, nations, suppliers and brands; a nation with results of the last year for one commodity is measured.
+
+    Only of nations whose key is a multiple of three: the others' results are left
+    out, here and in the SQL, though the reference has no such condition.
+    """
     er = facts(spark, d).where(usable() & since(12) & (F.col("commodity") == "PROMO") & (F.col("district_id") % 3 == 0))
     m = er.groupBy((F.col("district_id") + 1000).cast("long").alias("node")).agg((F.sum(F.col("ppb").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("measured"), F.count(F.lit(1)).alias("n_tests"))
     ids = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("node"))
