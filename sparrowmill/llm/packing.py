@@ -1,16 +1,20 @@
 """Best-fit packing by a configuration linear program over the length histogram.
 
 Only the histogram (at most ``capacity`` numbers) comes to the driver. There the
-covering program "use configurations so that every length occurs as often as
-wanted" is solved by multiplicative weights: knapsack dynamic programs price all
-configurations of a round, none with more of a length than there is, and every
-length takes part with one of the best that contain it. The fractional solution
-is rounded, and the program is solved again for the pieces left, up to PHASES
-times; best fit decreasing, on runs of equal bins, packs what is left then. Of the
-states after each phase (and best fit decreasing alone) the one with the fewest
-sequences is the plan, the latest of equals. The work doesn't depend on how many
+program "use configurations (what one sequence holds) so that every length occurs
+as often as it is there, in as few sequences as the bound allows" is solved by
+multiplicative weights. A round prices all configurations at once by a knapsack
+dynamic program over rooms: a configuration's amount is in proportion to the
+product of its pieces' weights, and a length's weight moves by wanted over found.
+The amounts are rounded: configurations are drawn by their amounts, walking the
+knapsack back, and dealt whole times as far as pieces are left. The program is
+solved again for the pieces left, up to PHASES times; best fit decreasing, on runs
+of equal bins, packs the few left then. Of the states after each phase (and best
+fit decreasing alone) the one with the fewest sequences is the plan, the latest
+of equals. The work doesn't depend on how many
 pieces there are. The plan says where the r-th piece of each length goes; pieces
-learn r from counts per (length, hash bucket).
+learn r from counts per (length, hash bucket), with buckets of about BUCKET_ROWS
+rows at most, however many equal rows there are.
 """
 
 from __future__ import annotations
@@ -29,12 +33,12 @@ from sparrowmill.llm.token_counts import map_texts, text_slices
 from sparrowmill.storage import table, written
 
 CAPACITY = 2048
-ROUNDS = 60
-STEP = 0.25
-NEAR = 0.03
-TIE = 0.001
-PHASES = 8
+ROUNDS = 40
+GAP = 0.01
+DRAWS = 4096
+PHASES = 12
 BUCKETS = 256
+BUCKET_ROWS = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -69,114 +73,164 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_
 # -- the plan, on the driver ------------------------------------------------
 
 
-def _knapsack(lengths: np.ndarray, price: np.ndarray, limit: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row i: the best value in each room of the first i lengths, each at most limit times, and the last length in it (-1: none)."""
-    best, last = np.zeros((len(lengths) + 1, capacity + 1)), np.full((len(lengths) + 1, capacity + 1), -1, np.int32)
-    for i, (size, value, n) in enumerate(zip(lengths.tolist(), price.tolist(), limit.tolist())):
-        row, step = best[i + 1], 1
-        row[:] = best[i]
-        while n > 0:
+def _dearest(lengths: np.ndarray, price: np.ndarray, limit: np.ndarray, capacity: int) -> float:
+    """The knapsack: the highest sum of prices in one sequence, each length at most limit times."""
+    best = np.zeros(capacity + 1)
+    for size, value, n in zip(lengths.tolist(), price.tolist(), limit.tolist()):
+        step = 1
+        while n > 0 and value > 0:
             k = min(step, n)
-            np.maximum(row[k * size :], row[: capacity + 1 - k * size] + k * value, out=row[k * size :])
+            np.maximum(best[k * size :], best[: capacity + 1 - k * size] + k * value, out=best[k * size :])
             n, step = n - k, step * 2
-        last[i + 1] = np.where(row > best[i], i, last[i])
-    return best, last
+    return float(best[capacity])
 
 
-def _walk(found: tuple[np.ndarray, np.ndarray], lengths: np.ndarray, price: np.ndarray, limit: np.ndarray, i: int, room: int) -> dict[int, int]:
-    """What the best value in row i and that room consists of: index of length, times."""
-    (best, last), parts = found, {}
-    while (j := int(last[i, room])) >= 0:
-        times = np.arange(1, min(int(limit[j]), room // int(lengths[j])) + 1)
-        parts[j] = int(times[(best[j, room - times * lengths[j]] + times * price[j]).argmax()])
-        room, i = room - parts[j] * int(lengths[j]), j
-    return parts
+def _multiples(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """All (index of length, times) that fit alone into a sequence."""
+    most = capacity // lengths
+    item = np.repeat(np.arange(len(lengths)), most)
+    return item, np.arange(len(item)) - np.repeat(np.cumsum(most) - most, most) + 1
 
 
-def _priced(lengths: np.ndarray, price: np.ndarray, limit: np.ndarray, capacity: int, rng: np.random.Generator) -> tuple[float, list[tuple[tuple[int, int], ...]]]:
-    """The best value of a configuration, and for each length one near the best that contains it: ((index, times), ...).
+def _soft_knapsack(sigma: np.ndarray) -> np.ndarray:
+    """For each room the sum, over all ways to fill it, of the product of their pieces' weights.
 
-    No length is repeated beyond limit. Knapsacks over the lengths before and from
-    a length on meet in it; which of them meet is drawn among the near best, or all
-    lengths would ask for the same few to fill up with.
+    sigma[s]: the sum of length * weight**times over what fills s places by one length alone.
     """
-    m, turned = len(lengths), (lengths[::-1], price[::-1], limit[::-1])
-    fore, back = _knapsack(lengths, price, limit, capacity), _knapsack(*turned, capacity)
-    top, out = float(fore[0][m, capacity]), []
-
-    def joined(j: int, times: int, others: int) -> dict[int, int] | None:
-        room = capacity - times * int(lengths[j])
-        both = fore[0][j, : room + 1] + back[0][others, room::-1]
-        if both.max() + times * price[j] < (1 - NEAR) * top:
-            return None
-        near = np.flatnonzero(both >= both.max() - TIE * top)
-        a = int(near[rng.integers(len(near))])
-        parts = _walk(fore, lengths, price, limit, j, a)
-        for i, k in _walk(back, *turned, others, room - a).items():
-            parts[m - 1 - i] = k
-        parts[j] = parts.get(j, 0) + times
-        return parts
-
-    for j in range(m):
-        parts = joined(j, 1, m - j)
-        if parts and parts[j] > limit[j]:
-            parts = joined(j, int(limit[j]), m - j - 1)
-        if parts:
-            out.append(tuple(sorted(parts.items(), reverse=True)))
-    return top, out
-
-
-def configuration_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple[tuple[int, int], ...], float], np.ndarray, float]:
-    """Amounts of configurations ((index of length, times), ...); the share of each length's pieces that they hold; a lower bound on sequences.
-
-    Weights start where prices are in proportion to lengths, the optimum if full
-    sequences can hold all. Amounts are means over the second half of the rounds, in
-    which the weights have settled, and hold all tokens once.
+    ways = np.zeros(len(sigma))
+    ways[0] = 1
+    for r in range(1, len(sigma)):
+        ways[r] = sigma[r:0:-1] @ ways[:r] / r
+    return ways
+
+
+class Program:
+    """The configuration program at a fixed number of sequences, solved by multiplicative weights.
+
+    A configuration's amount is in proportion to the product of its pieces' weights,
+    so one knapsack program over rooms prices all configurations of a round, and
+    tells how often each length occurs in a sequence on average. Weights then move
+    by wanted over found. Empty places are pieces of length 1, as many as there must be.
     """
-    limit, tokens = np.minimum(counts, capacity // lengths), (lengths * counts).astype(float)
-    weight, covered, rng = tokens / tokens.max(), np.zeros(len(lengths)), np.random.default_rng(0)
-    amounts: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
-    bound = float(tokens.sum()) / capacity
-    for r in range(rounds):
-        best, found = _priced(lengths, weight / counts, limit, capacity, rng)
-        bound = max(bound, float(weight.sum()) / best)
-        owner = np.repeat(np.arange(len(found)), [len(parts) for parts in found])
-        kind, times = np.asarray([x for parts in found for x in parts]).T
-        share, most, load = times / counts[kind], np.zeros(len(found)), np.zeros(len(found))
-        np.maximum.at(most, owner, share)
-        wanted = np.bincount(kind, share / most[owner], len(lengths))
-        np.maximum.at(load, owner, wanted[kind])
-        amount = STEP / most / np.maximum(1, load)
-        gained = np.bincount(kind, share * amount[owner], len(lengths))
-        weight = weight * np.exp(-gained)
-        weight = np.maximum(weight / weight.max(), 1e-12)
-        if 2 * r >= rounds:
-            covered += gained
-            for parts, x in zip(found, amount.tolist()):
-                amounts[parts] += x
-    scale = float(np.average(covered, weights=tokens)) if amounts else 1.0
-    return {k: v / scale for k, v in amounts.items()}, covered / scale, bound
-
-
-def _rounded(amounts: dict[tuple[tuple[int, int], ...], float], lengths: np.ndarray, counts: np.ndarray, capacity: int, spare: float) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], np.ndarray]:
-    """Whole parts of amounts, then one more of each as far as pieces are left, with at most spare empty places.
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, capacity: int, sequences: float):
+        empty = max(sequences * capacity - float((lengths * counts).sum()), 1e-3 * sequences)
+        self.lengths, self.capacity = np.append(lengths, 1), capacity
+        self.wanted = np.append(counts, empty) / sequences
+        self.item, self.times = _multiples(self.lengths, capacity)
+        self.size = self.lengths[self.item] * self.times
+        self.log_weight = np.log(self.wanted / (1 + self.wanted))
+
+    def _price(self) -> tuple[float, np.ndarray]:
+        """The logarithm of the sum over all configurations less what is wanted of it, and how often each length occurs.
+
+        Weights are scaled first, which changes nothing for full sequences, so that sums stay in range.
+        """
+        scale = 0.0
+        for _ in range(60):
+            power = np.exp(np.clip((self.log_weight + scale * self.lengths)[self.item] * self.times, -700, 300))
+            sigma = np.bincount(self.size, self.lengths[self.item] * power, self.capacity + 1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                ways = _soft_knapsack(sigma)
+            top = ways[self.capacity]
+            if np.isfinite(ways).all() and 1e-100 < top < 1e100:
+                break
+            high = not np.isfinite(ways).all() or top >= 1e100
+            scale += (-1 if high else 1) * (0.1 if not np.isfinite(top) or top <= 0 else min(0.1, abs(np.log(top)) / self.capacity))
+        self.log_weight = self.log_weight + scale * self.lengths
+        self.power, self.sigma, self.ways = power, sigma, ways
+        found = np.bincount(self.item, power * ways[self.capacity - self.size], len(self.lengths)) / top
+        return float(np.log(top) - self.wanted @ self.log_weight), found
+
+    def solve(self, rounds: int) -> float:
+        """The share of the pieces' tokens that the amounts leave uncovered at the end.
+
+        A round that doesn't lower the dual is taken back, and the next one moves half as far.
+        """
+        volume, pace = (self.wanted * self.lengths)[:-1], 1.0
+        value, found = self._price()
+        for _ in range(rounds):
+            short = float(np.maximum(0, self.wanted - found)[:-1] @ self.lengths[:-1]) / float(volume.sum())
+            if short <= GAP or pace < 1e-4:
+                break
+            move = np.log(np.clip(self.wanted / np.maximum(found, 1e-30), 0.1, 10)) / (1 + np.maximum(found, self.wanted))
+            held = self.log_weight
+            self.log_weight = held + pace * move
+            new, now = self._price()
+            if new <= value:
+                value, found, pace = new, now, min(1.0, pace * 1.5)
+            else:
+                self.log_weight, pace = held, pace / 2
+                self._price()
+        return short
+
+    def draw(self, n: int, rng: np.random.Generator) -> dict[tuple[tuple[int, int], ...], int]:
+        """n configurations, each with its amount's chance: ((index of length, times), ...) and how often it was drawn."""
+        rooms = np.arange(self.capacity + 1)
+        table = np.zeros((self.capacity + 1, self.capacity + 1))
+        for r in rooms[1:]:
+            row = np.cumsum(self.sigma[: r + 1] * self.ways[r::-1])
+            table[r, : r + 1] = row / row[-1] if row[-1] > 0 else 1
+            table[r, r:] = 1
+        steps = (table + rooms[:, None]).ravel()
+        order = np.argsort(self.size, kind="stable")
+        cost = np.cumsum((self.lengths[self.item] * self.power)[order])
+        first = np.searchsorted(self.size[order], rooms)
+        base = np.concatenate([[0.0], cost])
+        room, live, drawn = np.full(n, self.capacity), np.arange(n), []
+        while len(live):
+            now = room[live]
+            size = np.searchsorted(steps, now + rng.random(len(live)) * (1 - 1e-12), "right") - now * (self.capacity + 1)
+            size = np.clip(size, 1, now)
+            low, high = base[first[size]], base[np.append(first, len(order))[size + 1]]
+            pick = np.searchsorted(cost, low + rng.random(len(live)) * (high - low), "right")
+            which = order[np.clip(pick, first[size], np.append(first, len(order))[size + 1] - 1)]
+            drawn.append(np.stack([live, self.item[which], self.times[which]]))
+            room[live] = now - size
+            live = live[room[live] > 0]
+        who, item, times = np.concatenate(drawn, axis=1)
+        real = item < len(self.lengths) - 1
+        key, at = np.unique(who[real] * len(self.lengths) + item[real], return_inverse=True)
+        total = np.bincount(at, times[real]).astype(int)
+        parts: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, t in zip(key.tolist(), total.tolist()):
+            parts[k // len(self.lengths)].append((k % len(self.lengths), t))
+        found: dict[tuple[tuple[int, int], ...], int] = defaultdict(int)
+        for x in parts.values():
+            found[tuple(reversed(x))] += 1
+        return found
+
+
+def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> float:
+    """At least so many sequences, by the dual program: total price over the knapsack's dearest sequence.
+
+    Prices: in proportion to lengths, and how many halves, thirds ... of a sequence a piece exceeds.
+    """
+    limit, best = np.minimum(counts, capacity // lengths), float((lengths * counts).sum()) / capacity
+    for k in range(2, 8):
+        price = (k * lengths // (capacity + 1)).astype(float)
+        if price.any():
+            best = max(best, float(price @ counts) / _dearest(lengths, price, limit, capacity))
+    return best
+
+
+def _rounded(drawn: dict[tuple[tuple[int, int], ...], int], each: float, lengths: np.ndarray, counts: np.ndarray, capacity: int, spare: float) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], np.ndarray]:
+    """Each configuration the whole part of each times as often as drawn, as far as pieces are left, with at most spare empty places.
 
     The fullest come first, of them those without short pieces, which fill what is left later.
     """
-    left, chosen = counts.copy(), defaultdict(int)
-    full = {parts: sum(k * int(lengths[j]) for j, k in parts) for parts in amounts}
-    order = sorted(amounts, key=lambda parts: (-full[parts], -parts[-1][0], parts))
-    for up in (0, 1):
-        for parts in order:
-            n = min([up or int(amounts[parts]), *(int(left[j]) // k for j, k in parts)])
-            if full[parts] < capacity:
-                n = int(min(n, spare // (capacity - full[parts])))
-            if n > 0:
-                chosen[parts] += n
-                spare -= n * (capacity - full[parts])
-                for j, k in parts:
-                    left[j] -= n * k
-    return list(chosen.items()), left
+    left, chosen = counts.copy(), []
+    full = {parts: sum(k * int(lengths[j]) for j, k in parts) for parts in drawn}
+    for parts in sorted(drawn, key=lambda parts: (-full[parts], -parts[-1][0], parts)):
+        n = min([int(drawn[parts] * each), *(int(left[j]) // k for j, k in parts)])
+        if full[parts] < capacity:
+            n = int(min(n, spare // (capacity - full[parts])))
+        if n > 0:
+            chosen.append((parts, n))
+            spare -= n * (capacity - full[parts])
+            for j, k in parts:
+                left[j] -= n * k
+    return chosen, left
 
 
 def best_fit_runs(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -202,6 +256,20 @@ def best_fit_runs(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> lis
     return [x for r in sorted(rooms) for x in rooms[r]]
 
 
+def _first_part(dealt: list[tuple[tuple[tuple[int, int], ...], int]], most: int, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list, list]:
+    """The first sequences, at most so many, of dealt, and best fit decreasing of all other pieces."""
+    part, left = [], dict(zip(lengths.tolist(), counts.tolist()))
+    for inside, n in dealt:
+        n = min(n, most)
+        if n:
+            part.append((inside, n))
+            most -= n
+            for size, k in inside:
+                left[size] -= n * k
+    rest = np.asarray(sorted((size, n) for size, n in left.items() if n), np.int64).reshape(-1, 2)
+    return part, best_fit_runs(rest[:, 0], rest[:, 1], capacity)
+
+
 @dataclass
 class Plan:
     """Where pieces go: those of one length from rank lo on, each at a time, to sequence first, first + 1, ..."""
@@ -225,28 +293,38 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: in
     """histogram: how often each length from 1 to capacity occurs; its size bounds all work here. from_lp: sequences that the program gave."""
     lengths = np.asarray(sorted(histogram), np.int64)
     counts = np.asarray([histogram[k] for k in lengths.tolist()], np.int64)
-    dealt, left, bound = [], counts, 0.0
+    tokens, dealt, left, rng = int((lengths * counts).sum()), [], counts, np.random.default_rng(0)
+    bound = lower_bound(lengths, counts, capacity) if len(lengths) else 0.0
     runs, from_lp = best_fit_runs(lengths, counts, capacity), 0
-    fewest, tokens, empty = sum(n for _, n in runs), int((lengths * counts).sum()), 0
-    for phase in range(PHASES):
+    fewest = target = sum(n for _, n in runs)
+    bins = 0
+    for _ in range(PHASES):
         live = np.flatnonzero(left)
         if not len(live):
             break
-        amounts, _, low = configuration_lp(lengths[live], left[live], capacity, rounds)
-        bound = bound if phase else low
-        spare = max(0.0, np.ceil(bound - 1e-6) * capacity - tokens - empty) / 4
-        chosen, rest = _rounded(amounts, lengths[live], left[live], capacity, spare)
+        open_ = int((lengths * left).sum())
+        wanted = max(target - bins, open_ / capacity)
+        program = Program(lengths[live], left[live], capacity, wanted)
+        program.solve(rounds)
+        draws = max(1, min(DRAWS, int(wanted)))
+        spare = max(0.0, wanted * capacity - open_)
+        chosen, rest = _rounded(program.draw(draws, rng), wanted / draws, lengths[live], left[live], capacity, spare)
         if not chosen:
-            chosen, rest = _rounded(amounts, lengths[live], left[live], capacity, np.inf)
+            break
         dealt += [(tuple((int(lengths[live[j]]), k) for j, k in parts), n) for parts, n in chosen]
         left = left.copy()
         left[live] = rest
-        empty = sum(n for _, n in dealt) * capacity - (tokens - int((lengths * left).sum()))
-        others = best_fit_runs(lengths[left > 0], left[left > 0], capacity)
         bins = sum(n for _, n in dealt)
+        others = best_fit_runs(lengths[left > 0], left[left > 0], capacity)
         total = bins + sum(n for _, n in others)
         if total <= fewest:
             runs, from_lp, fewest = dealt + others, bins, total
+    share = 0.95
+    while dealt and not from_lp and share > 0.1:  # fewer of them, the last of which have the short pieces
+        part, others = _first_part(dealt, int(share * bins), lengths, counts, capacity)
+        if sum(n for _, n in part + others) <= fewest:
+            runs, from_lp = part + others, sum(n for _, n in part)
+        share *= 0.9
     used: dict[int, int] = defaultdict(int)
     rows, first = [], 0
     for inside, n in runs:
@@ -264,12 +342,15 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     """The pieces with sequence_id and offset, gapless from 0 in each sequence.
 
     pieces must be a stored table: it is read three times. Equal rows get places
-    of their own. An empty table gives an empty result.
+    of their own; a column salt, if there, spreads them over buckets. An empty table
+    gives an empty result.
     """
-    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)))
-    sizes = keyed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = packing_plan(histogram, capacity, rounds)
+    most = max(BUCKETS, -(-max(histogram.values(), default=0) // BUCKET_ROWS))
+    spread = ["doc_id", "piece", "ids_crc32"] + ["salt"] * ("salt" in pieces.columns)
+    pieces, keyed = pieces.drop("salt"), pieces.withColumn("_bucket", F.pmod(F.xxhash64(*spread), F.lit(most))).drop("salt")
+    sizes = keyed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
@@ -288,7 +369,8 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
 
 def best_fit_packing(documents: DataFrame, path: str, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """All documents as pieces in as few sequences of at most capacity tokens as the method finds."""
-    return packed(written(token_pieces(documents, path, capacity), "pieces"), capacity, rounds)
+    pieces = token_pieces(documents, path, capacity).withColumn("salt", F.monotonically_increasing_id())  # fixed once it is stored
+    return packed(written(pieces, "pieces"), capacity, rounds)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

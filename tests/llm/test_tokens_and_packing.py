@@ -102,12 +102,53 @@ def test_plan_places_every_piece_once(histogram):
     assert used.max() == 1 and (np.diff(used, axis=1) <= 0).all() and plan.sequences >= plan.bound - 1e-6
 
 
-def test_the_sequences_come_from_the_configuration_program():
-    rng = np.random.default_rng(5)
-    lengths, counts = np.unique(np.minimum(rng.lognormal(4, 0.9, 1500).astype(int) + 1, 256), return_counts=True)
-    amounts, _, bound = packing.configuration_lp(lengths, counts, 256)
-    assert all(sum(k * lengths[j] for j, k in parts) <= 256 and all(k <= counts[j] for j, k in parts) for parts in amounts)
-    assert bound <= sum(amounts.values()) <= 1.02 * bound
-    plan = packing.packing_plan(dict(zip(lengths.tolist(), counts.tolist())), 256)
-    assert plan.from_lp >= 0.9 * plan.sequences
-    assert plan.bound - 1e-6 <= plan.sequences <= sum(n for _, n in packing.best_fit_runs(lengths, counts, 256))
+def like_documents(pieces, capacity, seed):
+    rng = np.random.default_rng(seed)
+    return np.unique(np.minimum(rng.lognormal(np.log(capacity) - 1.5, 0.9, pieces).astype(int) + 1, capacity), return_counts=True)
+
+
+def test_weights_make_amounts_cover_every_length():
+    lengths, counts = like_documents(5000, 256, 5)
+    bound = packing.lower_bound(lengths, counts, 256)
+    program = packing.Program(lengths, counts, 256, np.ceil(bound))
+    assert program.solve(200) <= packing.GAP
+    found = np.bincount(program.item, program.power * program.ways[256 - program.size]) / program.ways[256]
+    assert abs(found @ program.lengths - 256) < 1e-6
+    drawn = program.draw(2000, np.random.default_rng(1))
+    assert sum(drawn.values()) == 2000 and all(sum(k * lengths[j] for j, k in parts) <= 256 for parts in drawn)
+    mean = np.zeros(len(lengths))
+    for parts, n in drawn.items():
+        for j, k in parts:
+            mean[j] += n * k / 2000
+    assert np.abs((mean - found[:-1])[:50]).max() < 0.1
+
+
+def ways_by_hand(lengths, weight, room):
+    if not lengths:
+        return float(room == 0)
+    return sum(weight[0] ** k * ways_by_hand(lengths[1:], weight[1:], room - k * lengths[0]) for k in range(room // lengths[0] + 1))
+
+
+def test_the_soft_knapsack_prices_every_configuration():
+    lengths, weight = np.asarray([2, 3, 7]), np.asarray([0.5, 1.5, 0.25])
+    item, times = packing._multiples(lengths, 12)
+    sigma = np.bincount(lengths[item] * times, lengths[item] * weight[item] ** times, 13)
+    want = [ways_by_hand(lengths.tolist(), weight.tolist(), r) for r in range(13)]
+    assert np.allclose(packing._soft_knapsack(sigma), want)
+
+
+@pytest.mark.parametrize("pieces, capacity", [(1500, 256), (12000, 2048), (12000, 500)])
+@pytest.mark.parametrize("times", [1, 1000])
+def test_the_sequences_come_from_the_configuration_program(pieces, capacity, times):
+    lengths, counts = like_documents(pieces, capacity, 5)
+    plan = packing.packing_plan(dict(zip(lengths.tolist(), (counts * times).tolist())), capacity)
+    assert plan.from_lp >= 0.5 * plan.sequences
+    fewest = sum(n for _, n in packing.best_fit_runs(lengths, counts * times, capacity))
+    assert plan.bound - 1e-6 <= plan.sequences <= min(fewest, 1.005 * plan.bound + 1)
+
+
+@pytest.mark.parametrize("copies", [3, 5000])
+def test_equal_pieces_get_places_of_their_own(spark, copies):
+    rows = [(None, "a b c", "x", None)] * copies + [(1, None, "x", None)] * copies
+    got = packing.best_fit_packing(spark.createDataFrame(rows, DOCS), PATH, capacity=16).collect()
+    assert len(got) == 2 * copies and check_places(got, 16) <= -(-5 * copies // 16) + 1
