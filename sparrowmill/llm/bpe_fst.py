@@ -7,19 +7,21 @@ still depend on: for each suffix of the current word that begins some token,
 the last token of the canonical encoding before that suffix and the count of
 tokens there, relative to the count now. States and transitions are made the
 first time that they are met and kept in one dense table (a lazy subset
-construction), which is cleared when it outgrows its bound.
+construction), which is cleared when it outgrows MAX_STATES.
 
 Text is cut into chunks of equal length that all advance in lockstep, one numpy
-gather a byte. What a chunk does is a map from entry state to exit state: the
-bytes up to the first place where the transducer is back in its start state
-depend on the entry state, all later ones don't. The maps are composed from left
-to right; a chunk whose map is already constant needs only its few head bytes
-run again.
-
-The alphabet is ASCII and the Latin letters below U+0180. Runs of other
-characters, and the strings of special tokens, go to the tokenizers library
-itself, one run between white space at a time: white space ends every word, so
-the rest of the text isn't touched by that.
+gather a byte. What a chunk does is a map from entry state to exit state. Runs
+between white space are shorter than a chunk, so in each chunk the transducer is
+back in its start state somewhere: the map's exit is the same for every entry, and
+only the bytes up to that place (the head) depend on the entry. Composing such
+maps gives the later one's exit; their prefix scan is therefore a shift by one
+chunk, after which all heads are run in lockstep, each from its own entry state.
+
+The alphabet is ASCII and the Latin letters below U+0180. These go to the tokenizers
+library itself, one run between white space at a time, as white space ends every
+word and the rest of the text isn't touched by that: runs with other characters or
+the strings of special tokens, and runs of LONG or more characters. So does a
+piece of text that asks for more than NEW_STATES states, such as one of random letters.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ import numpy as np
 END = 256
 SPACE = 512
 CHUNK = 256
+LONG = 64
 PIECE_BYTES = 3 << 19
 MAX_STATES = 150_000
+NEW_STATES = 50_000
 _WHITE = "\t\n\x0b\x0c\r \xa0"
 _PLAIN = re.compile("[\t-\r -~\xa0-įı-ž]*")
 _CLASS_SPACE, _CLASS_LETTER, _CLASS_NUMBER, _CLASS_OTHER = range(4)
@@ -74,6 +78,10 @@ def _parts(entry: int) -> tuple[int, int, int]:
     return entry >> 36, (entry >> 16 & 0xFFFFF) - 1, (entry & 0xFFFF) - 32768
 
 
+class _TooManyStates(Exception):
+    pass
+
+
 class BpeTransducer:
     """Counts and ids as ``Tokenizer.from_file(path)`` gives them, without added special tokens."""
 
@@ -110,7 +118,7 @@ class BpeTransducer:
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         odd = "[^\t-\r -~\xa0-įı-ž]"
         solid = f"[^{_WHITE}]*"
-        self.escape = re.compile(f"{solid}(?:{'|'.join([odd, *special])}){solid}")
+        self.escape = re.compile(f"{solid}(?:{'|'.join([odd, *special])}){solid}|[^{_WHITE}]{{{LONG},}}")
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.classes = _class_table()
         self._valid = lru_cache(maxsize=1 << 16)(self._pair_stands)
@@ -166,18 +174,14 @@ class BpeTransducer:
         self.symbols = np.full(SPACE + 1, -1, np.int32)
         self.symbol_list: list[int] = []
         #: next state, or at a word's end its last token, times 256, plus the count's change plus 128; 0: not made yet
-        self.table = np.zeros((MAX_STATES * 5 // 4, 128), np.int32)
-        self.last_token = np.full(MAX_STATES * 5 // 4, -1, np.int32)
-
-    def _grow(self, rows: int, cols: int) -> None:
-        r, c = self.table.shape
-        shape = (max(r, rows), max(c, cols))
-        new = np.zeros(shape, np.int32)
-        new[:r, :c] = self.table
+        self.table = np.zeros((MAX_STATES + NEW_STATES, 128), np.int32)
+        self.last_token = np.full(MAX_STATES + NEW_STATES, -1, np.int32)
+        self.most = len(self.table)
+
+    def _widen(self, cols: int) -> None:
+        new = np.zeros((len(self.table), cols), np.int32)
+        new[:, : self.table.shape[1]] = self.table
         self.table = new
-        last = np.full(shape[0], -1, np.int32)
-        last[: len(self.last_token)] = self.last_token
-        self.last_token = last
 
     def _dense(self, raw: np.ndarray) -> np.ndarray:
         """Symbols renumbered in order of appearance, so the table stays narrow."""
@@ -186,7 +190,7 @@ class BpeTransducer:
                 self.symbols[s] = len(self.symbol_list)
                 self.symbol_list.append(int(s))
         if len(self.symbol_list) > self.table.shape[1]:
-            self._grow(0, len(self.symbol_list) + 16)
+            self._widen(len(self.symbol_list) + 16)
         return self.symbols[raw]
 
     def _make(self, q: int, dense: int) -> None:
@@ -219,10 +223,11 @@ class BpeTransducer:
         key = tuple(new)
         to = self.number.get(key)
         if to is None:
-            to = self.number[key] = len(self.states)
+            to = len(self.states)
+            if to >= self.most:
+                raise _TooManyStates
+            self.number[key] = to
             self.states.append(key)
-            if to >= self.table.shape[0]:
-                self._grow(self.table.shape[0] * 5 // 4, 0)
             self.last_token[to] = token
         self.table[q, dense] = to << 8 | delta + 128
 
@@ -279,6 +284,7 @@ class BpeTransducer:
         """Count change at each byte, ids at the byte where their token ends (else -1)."""
         if len(self.states) > MAX_STATES:
             self._clear()
+        self.most = len(self.states) + NEW_STATES
         n = len(data)
         raw = self._symbols_of(data)
         resets = raw >= 256
@@ -291,8 +297,7 @@ class BpeTransducer:
         reset = np.ones(lanes * CHUNK, bool)
         reset[:n] = resets
         reset = reset.reshape(lanes, CHUNK)
-        has = reset.any(1)
-        head = np.where(has, reset.argmax(1) + 1, CHUNK)
+        head = reset.argmax(1) + 1  # every chunk has a reset
         head[0] = 0  # the first chunk starts in the start state
         own = sym.reshape(lanes, CHUNK)
         column = np.arange(CHUNK)
@@ -306,25 +311,16 @@ class BpeTransducer:
             v = self._look(state, masked[t])
             deltas[t] = (v & 255) - 128
             state = np.where(ends_word[masked[t]], 0, v >> 8)
-        leaves, known = state, has.copy()
-        known[0] = True
-        waiting = np.flatnonzero(head > 0)
-        while len(waiting):
-            now = waiting[known[waiting - 1]]
-            waiting = waiting[~known[waiting - 1]]
-            inner, lane, entry = head[now], now, leaves[now - 1].copy()
-            for t in range(int(inner.max())):
-                live = inner > t
-                lane, inner, entry = lane[live], inner[live], entry[live]
-                if want_ids:
-                    before[t, lane] = entry
-                v = self._look(entry, own[lane, t])
-                deltas[t, lane] = (v & 255) - 128
-                entry = np.where(ends_word[own[lane, t]], 0, v >> 8)
-                done = inner == t + 1
-                open_ = done & ~has[lane]
-                leaves[lane[open_]] = entry[open_]
-                known[lane[open_]] = True
+        lane = np.flatnonzero(head > 0)
+        entry = state[lane - 1]  # the prefix scan of the chunks' maps
+        for t in range(int(head.max(initial=0))):
+            live = head[lane] > t
+            lane, entry = lane[live], entry[live]
+            if want_ids:
+                before[t, lane] = entry
+            v = self._look(entry, own[lane, t])
+            deltas[t, lane] = (v & 255) - 128
+            entry = np.where(ends_word[own[lane, t]], 0, v >> 8)
         flat = deltas.T.reshape(-1)[:n]
         if not want_ids:
             return flat, None, raw
@@ -347,27 +343,37 @@ class BpeTransducer:
     def _items(self, texts: list[str | None]) -> tuple[list[bytes], list[int], list[tuple[int, int, str]]]:
         """Byte strings to run with their text's number, and runs for the library with their place."""
         items, owner, escapes = [], [], []
+
+        def run(text: str, k: int) -> None:
+            at = 0
+            while at < len(text):
+                end = at + PIECE_BYTES // 2
+                if end < len(text):  # a run between white space is shorter than LONG
+                    end = next(i + 1 for i in range(end, end - LONG - 1, -1) if text[i] in _WHITE)
+                items.append(text[at:end].lower().encode())
+                owner.append(k)
+                at = end
+
         for k, text in enumerate(texts):
             if not text:
                 continue
             if not text.isascii():
                 text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
-            if (_PLAIN.fullmatch(text) or (text.isascii() and not self._has_control(text))) and not any(s in text for s in self.special):
-                items.append(text.lower().encode())
-                owner.append(k)
+            plain = _PLAIN.fullmatch(text) or (text.isascii() and not self._has_control(text))
+            if plain and max(map(len, text.split()), default=0) < LONG and not any(s in text for s in self.special):
+                run(text, k)
                 continue
             at = 0
             for m in self.escape.finditer(text):
-                if m.start() > at:
-                    items.append(text[at : m.start()].lower().encode())
-                    owner.append(k)
+                run(text[at : m.start()], k)
                 escapes.append((len(items), k, m[0]))
                 at = m.end()
-            if at < len(text):
-                items.append(text[at:].lower().encode())
-                owner.append(k)
+            run(text[at:], k)
         return items, owner, escapes
 
+    def _library_ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+
     @staticmethod
     def _has_control(text: str) -> bool:
         return not _PLAIN.fullmatch(text)
@@ -388,11 +394,16 @@ class BpeTransducer:
         items, owner, escapes = self._items(texts)
         out = np.zeros(len(texts), np.int64)
         for lo, hi, data, ends in self._pieces(items):
-            deltas, _, _ = self._run(data, False)
-            totals = np.concatenate([[0], np.cumsum(deltas, dtype=np.int64)])
-            np.add.at(out, np.asarray(owner[lo:hi]), np.diff(totals[np.concatenate([[0], ends])]))
+            try:
+                deltas, _, _ = self._run(data, False)
+            except _TooManyStates:
+                own = [len(self._library_ids(x.decode())) for x in items[lo:hi]]
+            else:
+                totals = np.concatenate([[0], np.cumsum(deltas, dtype=np.int64)])
+                own = np.diff(totals[np.concatenate([[0], ends])])
+            np.add.at(out, np.asarray(owner[lo:hi]), own)
         for _, k, run in escapes:
-            out[k] += len(self.library.encode(run, add_special_tokens=False).ids)
+            out[k] += len(self._library_ids(run))
         return out
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -401,17 +412,20 @@ class BpeTransducer:
         waiting = iter([*escapes, (len(items) + 1, -1, "")])
         place, k, run = next(waiting)
         for lo, hi, data, ends in self._pieces(items):
-            _, at, _ = self._run(data, True)
+            try:
+                _, at, _ = self._run(data, True)
+            except _TooManyStates:
+                at = None
             begin = 0
             for j in range(lo, hi):
                 while place <= j:
-                    parts[k].append(np.asarray(self.library.encode(run, add_special_tokens=False).ids, np.int32))
+                    parts[k].append(self._library_ids(run))
                     place, k, run = next(waiting)
-                own = at[begin : ends[j - lo]]
+                own = at[begin : ends[j - lo]] if at is not None else self._library_ids(items[j].decode())
                 parts[owner[j]].append(own[own >= 0])
                 begin = ends[j - lo]
         while k >= 0:
-            parts[k].append(np.asarray(self.library.encode(run, add_special_tokens=False).ids, np.int32))
+            parts[k].append(self._library_ids(run))
             place, k, run = next(waiting)
         return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.zeros(0, np.int32) for p in parts]
 

@@ -40,14 +40,42 @@ def test_any_text(texts):
     assert fst.counts(texts).tolist() == [len(library(fst, t)) for t in texts]
 
 
-def test_a_full_table_is_cleared(fst, monkeypatch):
+def test_a_full_table_is_cleared(monkeypatch):
     import sparrowmill.llm.bpe_fst as module
 
     monkeypatch.setattr(module, "MAX_STATES", 50)
+    fst = BpeTransducer(PATH)
     texts = ["some words here", "and other ones there", "quite different spellings"]
     assert [fst.counts([t])[0] for t in texts * 2] == [len(library(fst, t)) for t in texts * 2]
 
 
+def letters(n, seed):
+    return "".join(np.random.default_rng(seed).choice(list("abcdefghijklmnopqrstuvwxyzé"), n))
+
+
+def test_long_words_and_random_letters_are_bounded(fst):
+    import time
+
+    import sparrowmill.llm.bpe_fst as module
+
+    before, began = len(fst.states), time.time()
+    word = letters(1_000_000, 1)
+    assert fst.counts([word, "x" + word[:100_000]]).tolist() == [len(library(fst, word)), len(library(fst, "x" + word[:100_000]))]
+    assert len(fst.states) == before and time.time() - began < 12
+    text = " ".join(letters(9, k) for k in range(40_000))
+    assert [x.tolist() for x in fst.ids([text, "some words"])] == [library(fst, text), library(fst, "some words")]
+    assert len(fst.states) <= module.MAX_STATES + module.NEW_STATES == len(fst.table)
+
+
+def test_texts_longer_than_a_piece_are_cut_at_white_space(fst, monkeypatch):
+    import sparrowmill.llm.bpe_fst as module
+
+    monkeypatch.setattr(module, "PIECE_BYTES", 300)
+    texts = ["\xa0".join(letters(k % 60 + 1, k) for k in range(90)), " ".join(["it's", "Ünïcode"] * 200) + " 日本 end " + "ab\n" * 500, "z" * 63 + " " + "y" * 64]
+    assert [x.tolist() for x in fst.ids(texts)] == [library(fst, t) for t in texts]
+    assert fst.counts(texts).tolist() == [len(library(fst, t)) for t in texts]
+
+
 DOCS = "doc_id long, text string, n_tokens string, lang string"
 
 
