@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
+_lock = threading.Lock()
+_writing: dict[int, tuple[int, str | None]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,17 +23,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (tests), a new local one, which is then set."""
+    """The folder named by spark.checkpoint.dir; where unset, a new local one, which is then set, if all runs on this machine (tests).
+
+    On a cluster every executor would write to a disk of its own, so an unset folder is an error there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or None
     if found is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+@contextmanager
+def _shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """Spark's setting by which a finished job's shuffle files go, while any thread of this session writes; then as it was."""
+    key = id(spark)
+    with _lock:
+        depth, before = _writing.get(key, (0, None))
+        if not depth:
+            before = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        _writing[key] = depth + 1, before
+    try:
+        yield
+    finally:
+        with _lock:
+            depth, before = _writing.pop(key)
+            if depth > 1:
+                _writing[key] = depth - 1, before
+            elif before is None:
+                spark.conf.unset(_CLEANUP)
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write to the shared folder and read again: a lost executor costs a read, not a recomputation.
 
@@ -40,15 +73,8 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _shuffle_files_go(spark):
         writer.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
