@@ -4,11 +4,12 @@ Fingerprints are first made distinct, so copies cost nothing afterwards. Two
 fingerprints that differ in at most 3 bits differ in at most 1 bit of their upper
 or of their lower 32 bits. Each fingerprint is entered in one table per half
 under that half, and looks up the half's whole Hamming ball of radius 1 (33
-values) there; the hits are verified on all 64 bits. Only the smaller of two
-probes' directions is kept, so no link is made twice from one table.
+values) there; the hits are verified on all 64 bits. Where the halves differ, only
+the side whose bit is 0 probes; fingerprints with equal halves find each other from
+both sides.
 
-Links become components by repeated hooking of neighbours on the smallest member,
-one stored table a round.
+Links become components by rounds of contraction (see components), so long chains
+take few rounds.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def groups(signed: DataFrame) -> DataFrame:
     prints = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     found = components(links(prints.select("fp")))
     rooted = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")  # stored, so that a giant component's rows can be split
     return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
@@ -107,14 +108,15 @@ def one_of_each(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """documents with one row of each group: one with the group's smallest doc_id (null ids come last).
 
     Of different texts that share that doc_id the one with the smaller hash stays,
-    of wholly repeated rows one.
+    of rows with equal doc_id and text the one whose columns have the smallest hash.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("hash")]
-    boxed = documents.select(*key, F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    boxed = documents.select(*key, F.xxhash64(*columns).alias("of_row"), F.struct(*columns).alias("row"))
     signed = written(fingerprints(documents.select(*key, "text"), width, ["hash"]), "fingerprints")
     stays = signed.join(groups(signed), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("key")).select("key.*")
-    once = boxed.groupBy("doc_id", "hash").agg(F.first("row").alias("row"))
+    once = boxed.groupBy("doc_id", "hash").agg(F.min_by("row", "of_row").alias("row"))
     kept = once.join(stays, ["doc_id", "hash"])
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
 
