@@ -6,6 +6,9 @@ grows can only win keys, one whose weight shrinks can only lose them, and what
 happens among the children of an unchanged node stays as it was: movement is
 confined to subtrees whose weights change. A shard beyond the base tree comes as
 a region of its own, so it takes rows only into itself.
+
+Equal rows (doc_id, size and crc32) are counted before anything else, so that a
+hot one is a number until its rows are dealt out again, RUN of them at a time.
 """
 
 from __future__ import annotations
@@ -15,10 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparrowmill.storage import table
+from sparrowmill.storage import table, written
 
 SHARDS = 16
-BUCKETS = 4096
+RUN = 10_000
 
 
 @dataclass(frozen=True)
@@ -75,19 +78,26 @@ def hash_tree_shards(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     doc_id alone decides the shard; rows with a null doc_id have the key "null"
     and stay together, as do repeated ids. A null text has size 1. Slots run from
-    0 without gaps in each shard, by a hash bucket of the key and then doc_id, size
+    0 without gaps in each shard, by a hash bucket of the row and then doc_id, size
     and crc32; equal rows get different slots. An empty table gives no rows.
     """
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sizes = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), name.alias("_key"))
-    bucket = F.conv(F.substring(F.md5(F.concat(F.col("_key"), F.lit(":slot"))), 1, 3), 16, 10).cast("int")
-    rows = sizes.select("doc_id", "size", "text_crc32", bucket.alias("_bucket"), shard_of(F.col("_key"), layout(shards)).alias("shard"), shard_of(F.col("_key"), layout(shards + 1)).alias("grown_shard"))
+    sizes = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    alike = sizes.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    bucket = F.conv(F.substring(F.md5(F.concat_ws(":", key, "size", "text_crc32", F.lit("slot"))), 1, 3), 16, 10).cast("int")
+    rows = written(alike.select("*", bucket.alias("_bucket"), shard_of(key, layout(shards)).alias("shard"), shard_of(key, layout(shards + 1)).alias("grown_shard")), "rows")
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n")).select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "size", "text_crc32")
-    slotted = rows.withColumn("_in", F.row_number().over(inside) - 1).join(starts, ["shard", "_bucket"])
-    return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + F.col("_in")).cast("long").alias("slot"), "grown_shard")
+    starts = rows.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_n")).select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, ["shard", "_bucket"])
+    first = F.col("_before") + F.col("_in")
+    out = lambda df, slot: df.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.cast("long").alias("slot"), "grown_shard")
+    placed = written(placed.select("doc_id", "size", "text_crc32", "shard", "grown_shard", "_n", first.alias("_first")), "placed")
+    few = placed.where(F.col("_n") <= RUN).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))
+    runs = placed.where(F.col("_n") > RUN).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(RUN))).alias("_run")).repartition("doc_id", "text_crc32", "_run")
+    many = runs.select("*", F.explode(F.sequence(F.col("_run"), F.least(F.col("_run") + RUN, "_n") - 1)).alias("_k"))
+    return out(few, F.col("_first") + F.col("_k")).unionByName(out(many, F.col("_first") + F.col("_k")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +132,7 @@ with t as (select {table_}::bigint[] as crc_table),
 b as (select doc_id, coalesce(doc_id::varchar, 'null') as k, (octet_length(encode(coalesce(text, ''))) + 1)::bigint as size,
   list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint)) as bytes from documents),
 c as (select doc_id, k, size, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, crc_table[(xor(a, x) & 255) + 1])), 4294967295::bigint)::bigint as text_crc32 from b, t),
-s as (select *, ('0x' || substr(md5(k || ':slot'), 1, 3))::int as bucket, {tree(SHARDS)} as shard, {tree(SHARDS + 1)} as grown_shard from c)
+s as (select *, ('0x' || substr(md5(k || ':' || size || ':' || text_crc32 || ':slot'), 1, 3))::int as bucket, {tree(SHARDS)} as shard, {tree(SHARDS + 1)} as grown_shard from c)
 select doc_id, size, text_crc32, 'key' as law, shard, (row_number() over (partition by shard order by bucket, doc_id, size, text_crc32) - 1)::bigint as slot, grown_shard from s
 """
 

@@ -308,3 +308,33 @@ def test_toxic_words_of_many_rows_count(spark, copies):
 @pytest.mark.parametrize("module", [substring_dedup, sharding])
 def test_against_sql(module, same_as_sql):
     same_as_sql(module.query, module.ORACLE)
+
+
+def test_equal_rows_of_a_hot_key_get_slots_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    rows = [(None, None, None)] * 60 + [(5, "x", None)] * 7 + [(5, "x", None), (5, "y", None), (6, "", None)]
+    got = sharding.hash_tree_shards(documents(spark, rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(rows) and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sum(r["doc_id"] is None and r["size"] == 1 for r in got) == 60 and sum(r["doc_id"] == 5 for r in got) == 9
+
+
+# -- components -------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("order", ["random", "sorted"])
+def test_components_of_a_long_path_take_few_rounds(spark, order, monkeypatch):
+    from sparrowmill.llm import components as module
+
+    names = list(range(16000))
+    if order == "random":
+        random.Random(3).shuffle(names)
+    rounds, store = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: (rounds.append(name), store(df, name))[1])
+    pairs = [*zip(names[:-1], names[1:]), (20001, 20000), (20001, 20002), (5, 5), (None, 3)]
+    got = {r["node"]: r["root"] for r in module.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(16000)} | {20000: 20000, 20001: 20000, 20002: 20000}
+    assert rounds.count("move") < 20
+    assert module.components(spark.createDataFrame([], "a long, b long")).count() == 0
