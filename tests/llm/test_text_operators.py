@@ -201,24 +201,82 @@ def test_masks_find_two_exchanged_words_among_twelve():
         assert any(not {p + o for o in decontamination._offsets(m)} & set(gone) for m in decontamination.MASKS for p in range(12 - len(m) + 1))
 
 
-@pytest.mark.parametrize("block", [1_000_000, 30])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("n", range(5, 15))
+def test_masks_find_what_short_items_allow(n):
+    from itertools import combinations
+
+    masks = decontamination.MASKS if n >= decontamination.LONG else decontamination.SHORT_MASKS
+    for gone in combinations(range(n), n - -(-4 * n // 5)):
+        assert any(not {p + o for o in decontamination._offsets(m)} & set(gone) for m in masks for p in range(n - len(m) + 1))
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_decontamination(spark, most):
     rng = random.Random(9)
     text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n))
-    items = [(k, text(rng.randint(15, 40))) for k in range(5)] + [(7, None), (8, ""), (None, "x y z")]
+    items = [(k, text(rng.randint(15, 40))) for k in range(5)] + [(7, None), (8, ""), (None, "x y z"), (10, "six words are a short item"), (11, "परीक्षा “का” प्रश्न – यह\u00a0है कि उत्तर")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     swapped = items[1][1].upper().split()
     swapped[4], swapped[9] = "OTHER", "WORDS"
     rows = [(1, text(50) + " " + items[0][1] + ", " + text(20), None), (2, ", ".join(swapped), None), (3, text(200), None), (4, None, None), (5, " ".join(items[2][1].split()[:6]) + " " + text(9), None), (6, items[0][1], None), (6, items[0][1], None), (None, items[3][1], None), (9, text(60000), None)]
-    got = decontamination.contaminated(documents(spark, rows), bench, block).collect()
-    assert sorted((str(r["doc_id"]), r["item_id"]) for r in got) == [("1", 0), ("2", 1), ("6", 0), ("6", 0), ("None", 3)]
+    rows += [(20, "x y z", None), (21, "x y z and more", None), (22, "here six OTHER are a short item ends", None), (23, "six OTHER are one short item", None), (24, f"{text(3)} {items[4][1]} {text(30)} {items[4][1]}", None), (25, "परीक्षा का प्रश्न यह है कि उत्तर", None)]
+    got = decontamination.contaminated(documents(spark, rows), bench, most).collect()
+    n = len(items[4][1].split())
+    assert sorted((str(r["doc_id"]), str(r["item_id"])) for r in got) == [("1", "0"), ("2", "1"), ("20", "None"), ("22", "10"), ("24", "4"), ("24", "4"), ("25", "11"), ("6", "0"), ("6", "0"), ("None", "3")]
     assert {(r["start_word"], r["n_words"]) for r in got if r["doc_id"] == 1} == {(50, len(items[0][1].split()))}
+    assert {(r["start_word"], r["n_words"]) for r in got if r["doc_id"] == 24} == {(3, n), (33 + n, n)}
     assert {r["n_matched"] for r in got if r["doc_id"] == 2} == {len(swapped) - 2}
-    if block > 100:
-        kept = decontamination.clean_documents(documents(spark, rows), bench)
-        assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 9] and kept.columns == documents(spark, rows).columns
-        assert decontamination.contaminated(documents(spark, rows), bench.where("false")).count() == 0
-        assert decontamination.contaminated(documents(spark, []), bench).count() == 0
+    kept = decontamination.clean_documents(documents(spark, rows), bench, most)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 9, 21, 23] and kept.columns == documents(spark, rows).columns
+    assert decontamination.contaminated(documents(spark, rows), bench.where("false")).count() == 0
+    assert decontamination.contaminated(documents(spark, []), bench, most).count() == 0
+
+
+def overlaps_by_hand(doc, item):
+    """For each shift with a stretch within the rule the most equal words of one."""
+    least = min(12, -(-4 * len(item) // 5))
+    out = {}
+    for shift in range(-len(item) + 1, len(doc)):
+        same = [0 <= k + shift < len(doc) and doc[k + shift] == w for k, w in enumerate(item)]
+        most = max((sum(same[a:b]) for a in range(len(item)) for b in range(a + 1, len(item) + 1) if 5 * (b - a - sum(same[a:b])) <= b - a), default=0)
+        if most >= least:
+            out[shift] = most
+    return out
+
+
+def test_recall_against_brute_force():
+    rng = random.Random(5)
+    found = wanted = 0
+    for _ in range(120):
+        item = [rng.choice("abcdefghijklmnop") + str(rng.randint(0, 3)) for _ in range(rng.choice([5, 7, 10, 13, 18, 26]))]
+        copy = [w if rng.random() > 0.15 else "zz" for w in item]
+        doc = [rng.choice("qrstuvwxyz") for _ in range(10)] + copy + [rng.choice("qrstuvwxyz") for _ in range(10)] + (item if rng.random() < 0.3 else [])
+        hand = overlaps_by_hand(doc, item)
+        got = {(start, n) for _, _, start, _, n in decontamination.SeedIndex([(1, " ".join(item))]).search([" ".join(doc)])}
+        assert {n for _, n in got} <= set(hand.values())
+        found, wanted = found + len(got), wanted + len(hand)
+    assert wanted > 60 and found >= 0.97 * wanted
+
+
+def test_repetitive_texts_form_no_pairs(monkeypatch):
+    import time
+    import tracemalloc
+
+    for word in ("a", "a b", "a a b"):
+        index = decontamination.SeedIndex([(1, " ".join([word] * 2000))])
+        tracemalloc.start()
+        began = time.time()
+        got = index.search([" ".join([word] * 8000)])
+        assert time.time() - began < 30 and tracemalloc.get_traced_memory()[1] < 300e6
+        tracemalloc.stop()
+        size = 2000 * len(word.split())
+        assert sum(n == size for *_, n in got) == 4 and len(got) == 4
+    one = decontamination.SeedIndex([(1, "a b " * 40 + "c")])
+    text = ["d " + "b a " * 60 + "c a b"]
+    want = one.search(text)
+    monkeypatch.setattr(decontamination, "HEAVY", 8)
+    monkeypatch.setattr(decontamination, "PAIRS", 3)
+    assert one.search(text) == want and want
 
 
 def most_equal_by_hand(gone, n):
