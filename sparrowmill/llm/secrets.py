@@ -4,11 +4,16 @@ Strong kinds (assign, access, hex) are always reported. Weak kinds are parts tha
 mean little alone: e-mail addresses and endpoints, and mixed strings of 20 or more
 letters, digits and signs. Parts have roles: access and mail identify, assign, hex
 and mixed are secrets, endpoint is one. An interval join inside each text pairs
-weak parts with parts that start at most SCOPE code points away: mail and endpoint
-are reported only near a secret, mixed only near an identifier or endpoint.
+weak parts with parts that lie at most SCOPE code points before or after them: mail
+and endpoint are reported only near a secret, mixed only near an identifier or
+endpoint. The join is a merge: with all parts in order of their starts, a running
+maximum tells where the last part of each role before one ended, and a running
+minimum from the end where the next one begins, so no part is compared with every
+other one.
 
 Matches' places come from what lies between them: splitting at a pattern gives
 the gaps, extracting gives the matches, and running sums of both lengths the spans.
+Running values are found by doubling: n parts take n log n steps.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from pyspark.sql import functions as F
 from sparrowmill.storage import table
 
 SCOPE = 200
+BLOCK = 2048
 
 
 def _any_case(word: str) -> str:
@@ -29,7 +35,8 @@ def _any_case(word: str) -> str:
 ASSIGN = "(" + "|".join(_any_case(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"
-MAIL = "[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,190}\\.[A-Za-z]{2,24}"
+#: 64, 253 and 63 characters are what RFC 5321 and 1035 allow in an address; they keep the pattern's search linear.
+MAIL = "[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}\\.[A-Za-z]{2,63}"
 ENDPOINT = "https?://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+"
 MIXED = "[A-Za-z0-9+/_=-]{20,}"
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "mail": MAIL, "endpoint": ENDPOINT, "mixed": MIXED}
@@ -39,21 +46,32 @@ HINTS = {"access": "AKIA", "mail": "@", "endpoint": "://"}
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """All matches of a kind as structs of start, kind's number and end, in order, less those that its own rule drops."""
-    pattern = F.lit(KINDS[kind])
-    whole, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, KINDS[kind])
-    value = F.regexp_extract_all(text, pattern, F.lit(2)) if kind == "assign" else whole
-    parts = F.arrays_zip(whole.alias("w"), F.slice(gaps, 1, F.size(whole)).alias("g"), value.alias("v"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind:int,end:int,v:string>>)").alias("spans"))
+def _running(values: Column, combine, start: int) -> Column:
+    """For each place the values up to there combined: each step adds what lies a power of two before."""
+    powers = F.expr("transform(sequence(0, 27), k -> shiftleft(1, k))")
+    before = lambda acc, p: F.slice(F.concat(F.array_repeat(F.lit(start), p), acc), F.lit(1), F.size(acc))
+    return F.aggregate(powers, values, lambda acc, p: F.when(p < F.size(acc), F.zip_with(acc, before(acc, p), combine)).otherwise(acc))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["w"])
-        span = F.struct(start.alias("start"), F.lit(ORDER[kind]).alias("kind"), end.alias("end"), x["v"].alias("v"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    found = F.aggregate(parts, zero, step, lambda acc: acc["spans"])
+def _matches(text: Column, kind: str) -> list[Column]:
+    """The columns _w (what matches the kind), _v (its value) and _g (what lies between matches), null where a quick test finds none."""
+    there = text.contains(HINTS[kind]) if kind in HINTS else text.rlike(KINDS[kind])
+    of = lambda group: F.regexp_extract_all(text, F.lit(KINDS[kind]), F.lit(group))
+    found = {"w": of(0), "g": F.split(text, KINDS[kind])} | ({"v": of(2)} if kind == "assign" else {})
+    return [F.when(there, c).alias(f"_{name}_{kind}") for name, c in found.items()]
+
+
+def _ends(kind: str) -> Column:
+    """Where each match ends: what lies before it and the matches so far, summed."""
+    sizes = F.zip_with(f"_w_{kind}", f"_g_{kind}", lambda w, g: F.length(w) + F.length(g))
+    return _running(sizes, lambda x, y: x + y, 0).alias(f"_e_{kind}")
+
+
+def _spans(kind: str) -> Column:
+    """Structs of start, kind's number and end of all matches, in order, less those that the kind's own rule drops."""
+    value = "_v_assign" if kind == "assign" else f"_w_{kind}"
+    zipped = F.filter(F.arrays_zip(F.col(f"_w_{kind}").alias("w"), F.col(f"_e_{kind}").alias("e"), F.col(value).alias("v")), lambda x: x["w"].isNotNull())
+    found = F.transform(zipped, lambda x: F.struct((x["e"] - F.length(x["w"])).alias("start"), F.lit(ORDER[kind]).alias("kind"), x["e"].alias("end"), x["v"].alias("v")))
     keep = {
         "assign": lambda s: F.length(s["v"]) >= 6,
         "access": lambda s: F.length(s["v"]) >= 20,
@@ -61,16 +79,37 @@ def _spans(text: Column, kind: str) -> Column:
     }.get(kind)
     found = F.filter(found, keep) if keep else found
     bare = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    there = text.contains(HINTS[kind]) if kind in HINTS else text.rlike(KINDS[kind])
-    return F.when(there, bare).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    return F.coalesce(bare, F.expr(f"cast(array() as {SPAN})")).alias(f"_{kind}")
+
+
+_FAR = 1 << 30
+
 
+def _is(x: Column, *kinds: str) -> Column:
+    return x["kind"].isin(*[ORDER[k] for k in kinds])
 
-def _near(parts: Column, x: Column) -> Column:
-    return F.exists(parts, lambda p: F.abs(p["start"] - x["start"]) <= SCOPE)
 
+def _last_end(parts: Column, kinds: tuple[str, ...]) -> Column:
+    """For each part where the last of the kinds that begins no later ends."""
+    return _running(F.transform(parts, lambda p: F.when(_is(p, *kinds), p["end"]).otherwise(F.lit(-_FAR))), lambda x, y: F.greatest(x, y), -_FAR)
 
-def _apart(parts: Column, x: Column) -> Column:
-    return ~F.exists(parts, lambda p: (p["start"] < x["end"]) & (x["start"] < p["end"]))
+
+def _next_start(parts: Column, kinds: tuple[str, ...]) -> Column:
+    """For each part where the first of the kinds that begins no earlier starts."""
+    return F.reverse(_running(F.transform(F.reverse(parts), lambda p: F.when(_is(p, *kinds), p["start"]).otherwise(F.lit(_FAR))), lambda x, y: F.least(x, y), _FAR))
+
+
+_SOLID = ("assign", "access", "hex", "mail", "endpoint")
+_ROLES = {"secret": ("assign", "hex", "mixed"), "other": ("access", "mail", "endpoint")}
+
+
+def _chosen(parts: Column, beside: dict[str, Column], keep) -> Column:
+    """Those parts for which keep(x) holds, x with the part as p and beside it what the other arrays have there.
+
+    The arrays are zipped, not looked up by place: what is named inside a lambda may be computed anew for each part.
+    """
+    zipped = F.arrays_zip(parts.alias("p"), *[c.alias(name) for name, c in beside.items()])
+    return F.transform(F.filter(zipped, keep), lambda x: x["p"])
 
 
 def with_spans(documents: DataFrame, keep: list[str]) -> DataFrame:
@@ -80,19 +119,24 @@ def with_spans(documents: DataFrame, keep: list[str]) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select(*keep, text.alias("_t"))
-    rows = rows.select(*keep, "_t", *[_spans(F.col("_t"), k).alias(f"_{k}") for k in ("assign", "access", "hex", "mail", "endpoint")])
-    base = F.concat("_assign", "_access", "_hex")
-    any_part = F.size(base) + F.size("_mail") + F.size("_endpoint") > 0
-    none = F.expr(f"cast(array() as {SPAN})")
-    rows = rows.select(*keep, "_t", base.alias("base"), "_mail", "_endpoint", F.concat("_assign", "_hex").alias("_secret"), "_access", F.when(any_part, _spans(F.col("_t"), "mixed")).otherwise(none).alias("_mixed"))
-    rows = rows.withColumn("_mixed", F.filter("_mixed", lambda x: _apart(F.col("base"), x) & _apart(F.concat("_mail", "_endpoint"), x)))
-    rows = rows.withColumn("_secret", F.concat("_secret", "_mixed"))
-    linked = [
-        F.filter("_mail", lambda x: _near(F.col("_secret"), x)),
-        F.filter("_endpoint", lambda x: _near(F.col("_secret"), x)),
-        F.filter("_mixed", lambda x: _near(F.concat("_access", "_mail", "_endpoint"), x)),
-    ]
-    return rows.select(*keep, "_t", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", *linked)).alias("all"))
+    plain = [k for k in KINDS if k != "mixed"]
+    rows = rows.select(*keep, "_t", *[c for k in plain for c in _matches(F.col("_t"), k)])
+    rows = rows.select("*", *[_ends(k) for k in plain])
+    rows = rows.select(*keep, "_t", *[_spans(k) for k in plain])
+    base, weak = F.concat("_assign", "_access", "_hex"), F.concat("_mail", "_endpoint")
+    text = F.when(F.size(base) + F.size(weak) > 0, F.col("_t"))  # a mixed string alone is nothing
+    rows = rows.select(*keep, "_t", F.array_sort(base).alias("base"), weak.alias("_weak"), *_matches(text, "mixed"))
+    rows = rows.select("*", _ends("mixed"))
+    rows = rows.select(*keep, "_t", "base", "_weak", _spans("mixed"))
+    rows = rows.select(*keep, "_t", "base", F.when(F.size("_weak") + F.size("_mixed") > 0, F.array_sort(F.concat("base", "_weak", "_mixed"))).alias("_parts"))
+    parts = F.col("_parts")
+    solid = {"last": _last_end(parts, _SOLID), "next": _next_start(parts, _SOLID)}
+    alone = _chosen(parts, solid, lambda x: ~_is(x["p"], "mixed") | ((x["last"] <= x["p"]["start"]) & (x["next"] >= x["p"]["end"])))
+    rows = rows.select(*keep, "_t", "base", alone.alias("_parts"))
+    edges = {f"{name}_{role}": edge(parts, kinds) for role, kinds in _ROLES.items() for name, edge in (("last", _last_end), ("next", _next_start))}
+    near = lambda x, role: (x["p"]["start"] - x[f"last_{role}"] <= SCOPE) | (x[f"next_{role}"] - x["p"]["end"] <= SCOPE)
+    linked = _chosen(parts, edges, lambda x: F.when(_is(x["p"], "mail", "endpoint"), near(x, "secret")).when(_is(x["p"], "mixed"), near(x, "other")).otherwise(F.lit(True)))
+    return rows.select(*keep, "_t", "base", F.coalesce(linked, "base").alias("all"))
 
 
 def _of_kind(spans: Column, kind: str) -> Column:
@@ -121,13 +165,18 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     names = [c for c in documents.columns if c != "text"]
     boxed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.col("text"))
     found = with_spans(boxed, ["_row"])
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.col("_t").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
-
-    clean = F.aggregate("all", zero, step, lambda acc: F.concat(acc["out"], F.col("_t").substr(acc["at"] + 1, F.length("_t"))))
+    found = found.select("_row", "_t", "all", _running(F.transform("all", lambda s: s["end"]), lambda x, y: F.greatest(x, y), 0).alias("_to"))
+    zipped = F.arrays_zip(F.col("all").alias("s"), F.concat(F.array(F.lit(0)), "_to").alias("at"))
+    blocks = F.transform(F.sequence(F.lit(0), (F.length("_t") / BLOCK).cast("int")), lambda k: F.col("_t").substr(k * BLOCK + 1, F.lit(BLOCK)))
+    found = found.withColumn("_blocks", F.when(F.size("all") > 0, blocks))  # a substring's time grows with its place, so it is taken from its block
+
+    def cut(a: Column, b: Column) -> Column:
+        k, n = (a / BLOCK).cast("int"), ((a % BLOCK + b - a) / BLOCK).cast("int") + 1
+        near = F.when(n == 1, F.get("_blocks", k)).otherwise(F.array_join(F.slice("_blocks", k + 1, n), ""))
+        return near.substr(a % BLOCK + 1, b - a)
+
+    parts = F.transform(zipped, lambda x: F.when(x["s"].isNull(), cut(x["at"], F.length("_t"))).when(x["s"]["start"] >= x["at"], F.concat(cut(x["at"], x["s"]["start"]), F.lit(mark))).otherwise(F.lit("")))
+    clean = F.array_join(parts, "")
     new = found.select("_row", F.when(F.size("all") > 0, clean).otherwise(F.col("_row.text")).alias("_new"))
     out = {c: F.col(f"_row.`{c}`") for c in names} | {"text": F.col("_new")}
     if "n_chars" in out:
@@ -144,7 +193,7 @@ def _sql(pattern: str) -> str:
 
 
 def oracle() -> str:
-    """The same scan in DuckDB: gaps and matches unnested, weak parts linked by joins on the distance of starts."""
+    """The same scan in DuckDB: gaps and matches unnested, weak parts linked by joins on the gap between them."""
     keep = {
         "assign": f"length(regexp_extract(w, {_sql(ASSIGN)}, 2)) >= 6",
         "access": "length(w) >= 20",
@@ -162,7 +211,7 @@ def oracle() -> str:
     found = "\nunion all\n".join(parts)
     names = " ".join(f"when {n} then '{k}'" for k, n in ORDER.items())
     digest = f"string_agg(case kind {names} end || ':' || start || ':' || stop, ',' order by start, kind)"
-    near = lambda kinds: f"exists (select 1 from p q where q.doc_id = p.doc_id and q.kind in ({kinds}) and abs(q.start - p.start) <= {SCOPE})"
+    near = lambda kinds: f"exists (select 1 from p q where q.doc_id = p.doc_id and q.kind in ({kinds}) and q.start - p.stop <= {SCOPE} and p.start - q.stop <= {SCOPE})"
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 f as ({found}),
