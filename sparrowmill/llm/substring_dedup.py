@@ -9,11 +9,18 @@ reference block at once, instead of one block after another. Neighbouring window
 with one anchor are a cell, about seven windows.
 
 1. Anchors that occur once drop out (a count with map-side sums).
-2. Of the other cells, all but the first of equal ones lie inside factors.
+2. Of the other cells, all but the first of equal ones are copies: each is given the
+   place of the first one in the reference.
 3. Where an anchor has different cells, which is at factor boundaries, the first
    ones are checked window by window: a window's first place is kept, later ones
-   lie inside factors.
-4. Each document's duplicate windows are joined into factors, which are cut.
+   are copies of it.
+4. Each document is parsed greedily: copies whose places go on in step extend each
+   other to matches as long as they go, at each word the match that reaches
+   furthest becomes the next factor, and the parse goes on at its end. What no match
+   of 20 words or more covers is literal. Factors are cut.
+
+A match ends where the reference's own text turns out to be a copy of something
+earlier, as places are always first ones; the next factor then starts there.
 
 Every hash that decides is compared together with its anchor, 128 bits in all.
 """
@@ -29,7 +36,7 @@ from pyspark.sql import functions as F
 
 from sparrowmill.llm.token_counts import map_texts, text_slices
 from sparrowmill.llm.wordhash import Words, _power, mix, windows, words_of
-from sparrowmill.storage import table, written
+from sparrowmill.storage import drop_written, table, written
 
 WIDTH = 20
 GRAM = 6
@@ -79,9 +86,10 @@ def cells(words: Words) -> tuple[np.ndarray, ...]:
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    """doc (doc_id, nulls as the largest long), mark (32 bits of the text's hash) and text."""
+    """doc_id, doc (the same, nulls as the largest long), mark (32 bits of the text's hash) and text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), text.alias("text"))
+    doc = F.col("doc_id").cast("long")
+    return documents.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), text.alias("text"))
 
 
 def _signed(h: np.ndarray) -> pa.Array:
@@ -121,25 +129,43 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["anchor", "window", "doc", "start", "mark"])
 
 
+def parse(start: np.ndarray, count: np.ndarray, from_doc: np.ndarray, from_start: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The greedy factors (start, words, document and word they are copied from) of a text, from copies (of count windows each)."""
+    order = np.lexsort((from_start, from_doc, start))
+    start, count, from_doc, from_start = (x[order] for x in (start, count, from_doc, from_start))
+    goes_on = (start[1:] <= start[:-1] + count[:-1]) & (from_doc[1:] == from_doc[:-1]) & (from_start[1:] - start[1:] == from_start[:-1] - start[:-1])
+    first = np.flatnonzero(np.append(True, ~goes_on))
+    end = np.maximum.reduceat(start + count - 1 + WIDTH, first)
+    out, at, k = [], 0, 0
+    begin, reach, doc, shift = start[first].tolist(), end.tolist(), from_doc[first].tolist(), (from_start - start)[first].tolist()
+    while k < len(begin):
+        best, at = k, max(at, begin[k])
+        while k < len(begin) and begin[k] <= at:  # of the matches that cover this word the one that reaches furthest
+            best = k if reach[k] > reach[best] else best
+            k += 1
+        if reach[best] > at:
+            out.append((at, reach[best] - at, doc[best], at + shift[best]))
+            at = reach[best]
+    return out
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64())]))
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "n_words", "from_doc", "from_start")]))
     for batch in text_slices(batches):
         n_words, kept, spans = [], [], []
         for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs")):
-            words = text.encode().split()
-            turn = np.zeros(len(words) + 1, np.int64)
+            words, factors = text.encode().split(), []
             if runs.is_valid and len(runs.values):
-                start, count = runs.values.field("start").to_numpy(), runs.values.field("count").to_numpy()
-                np.add.at(turn, start, 1)
-                np.add.at(turn, start + count - 1 + WIDTH, -1)
-            gone = np.append(np.cumsum(turn[:-1]) > 0, False)
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], gone])))
-            factors = list(zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist()))
+                factors = parse(*(runs.values.field(c).to_numpy() for c in ("start", "count", "from_doc", "from_start")))
+            at, left = 0, []
+            for start, n, *_ in factors:
+                left += words[at:start]
+                at = start + n
             n_words.append(len(words))
-            kept.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if factors else b" ".join(words)).hexdigest())
-            spans.append([{"start": s, "n_words": n} for s, n in factors])
+            kept.append(hashlib.sha256(b" ".join(left + words[at:] if factors else words)).hexdigest())
+            spans.append([{"start": s, "n_words": n, "from_doc": None if d == NULL_ID else d, "from_start": p} for s, n, d, p in factors])
         removed = [sum(f["n_words"] for f in s) for s in spans]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)],
@@ -147,43 +173,52 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def duplicate_windows(documents: DataFrame) -> DataFrame:
-    """doc, mark, start and count: runs of windows (count, from the word start on) that occurred earlier."""
-    texts = _keyed(documents)
+def copies(documents: DataFrame) -> DataFrame:
+    """doc, mark and copies: windows (count, from the word start on) that occurred earlier, and where they first did. A stored table."""
+    texts, made = _keyed(documents), []
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, name))
+        return made[-1]
+
     repeated = map_texts(texts.select("text"), _anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    repeated = written(repeated, "repeated")  # stored tables, as a join can split a hot anchor only if no aggregate stands on its side
-    found = map_texts(texts, _places, "anchor long, cell long, doc long, place long").join(repeated, "anchor", "left_semi")
-    found = written(found, "cells")
-    firsts = written(found.groupBy("anchor", "cell").agg(F.min(F.struct("doc", "place")).alias("first")), "firsts")
+    repeated = stored(repeated, "repeated")  # stored tables, as a join can split a hot anchor only if no aggregate stands on its side
+    found = map_texts(texts.select("doc", "mark", "text"), _places, "anchor long, cell long, doc long, place long").join(repeated, "anchor", "left_semi")
+    found = stored(found, "cells")
+    firsts = stored(found.groupBy("anchor", "cell").agg(F.min(F.struct("doc", "place")).alias("first")), "firsts")
     again = found.join(firsts, ["anchor", "cell"])
-    word = F.shiftright("place", 36)
-    later = (F.col("doc") > F.col("first.doc")) | (word > F.shiftright("first.place", 36))
-    copied = again.where(later).select("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark"), word.alias("start"), (F.shiftright("place", 32).bitwiseAND(F.lit(15)) + 1).alias("count"))
+    word, first_word = F.shiftright("place", 36), F.shiftright("first.place", 36)
+    later = (F.col("doc") > F.col("first.doc")) | (word > first_word)
+    mark = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark")
+    count = (F.shiftright("place", 32).bitwiseAND(F.lit(15)) + 1).alias("count")
+    copied = again.where(later).select("doc", mark, word.alias("start"), count, F.col("first.doc").alias("from_doc"), first_word.alias("from_start"))
     differ = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    differ = written(differ, "differ")
+    differ = stored(differ, "differ")
     wanted = again.where(~later).join(differ, "anchor", "left_semi")
-    wanted = wanted.groupBy("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("mark")).agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))
-    checked = texts.join(wanted, ["doc", "mark"]).mapInArrow(_windows, "anchor long, window long, doc long, start long, mark long")
-    checked = written(checked, "windows")
+    wanted = wanted.groupBy("doc", mark).agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))
+    checked = texts.select("doc", "mark", "text").join(wanted, ["doc", "mark"]).mapInArrow(_windows, "anchor long, window long, doc long, start long, mark long")
+    checked = stored(checked, "windows")
     least = checked.groupBy("anchor", "window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    least = written(least, "least")
+    least = stored(least, "least")
     ends = checked.join(least, ["anchor", "window"]).where((F.col("doc") > F.col("first.doc")) | (F.col("start") > F.col("first.start")))
-    return copied.unionByName(ends.select("doc", "mark", "start", F.lit(1).cast("long").alias("count")))
+    both = copied.unionByName(ends.select("doc", "mark", "start", F.lit(1).cast("long").alias("count"), F.col("first.doc").alias("from_doc"), F.col("first.start").alias("from_start")))
+    out = written(both.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "count", "from_doc", "from_start")).alias("copies")), "copies")
+    for t in made:
+        drop_written(t)
+    return out
 
 
 def substring_dedup(documents: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and factors (first word and length of what was cut).
+    """doc_id, n_words, n_removed, kept_sha256 and factors, which are cut: first word, length, and the document and word copied from.
 
     Words are runs of bytes other than ASCII white space; null texts have none.
     Windows are judged on the input. A window is cut if it also starts in a smaller
-    doc_id or earlier in the same one; null ids come last. Rows that share a
-    doc_id keep windows that start at the same word in both. Texts of fewer than
-    20 words lose nothing. Other columns aren't read.
+    doc_id or earlier in the same one; null ids come last, as one with the largest
+    long. Rows that share a doc_id keep windows that start at the same word in both.
+    Texts of fewer than 20 words lose nothing. Other columns aren't read.
     """
-    runs = duplicate_windows(documents).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
-    texts = _keyed(documents).join(runs, ["doc", "mark"], "left")
-    texts = texts.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), "text", "runs")
-    return map_texts(texts, _cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start: long, n_words: long>>")
+    texts = _keyed(documents).join(copies(documents), ["doc", "mark"], "left").select("doc_id", "text", F.col("copies").alias("runs"))
+    return map_texts(texts, _cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start: long, n_words: long, from_doc: long, from_start: long>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,46 @@ def test_substring_dedup_with_odd_ids(spark):
     assert substring_dedup.substring_dedup(documents(spark, [])).count() == 0
 
 
+def longest_by_hand(w, i, earlier):
+    """The most words from word i on that stand anywhere in the texts before, or earlier in the same one."""
+    best = 0
+    for other, limit in earlier:
+        for p in range(limit):
+            n = 0
+            while i + n < len(w) and p + n < len(other) and other[p + n] == w[i + n]:
+                n += 1
+            best = max(best, n)
+    return best
+
+
+def test_factors_are_copies_and_as_long_as_they_can_be(spark):
+    rng = random.Random(8)
+    fresh = iter(range(10**6))
+    text = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    p, q, r = text(25), text(60), text(120)
+    rows = [(1, text(5) + p + text(9)), (2, text(7) + q), (3, r + text(3)), (4, p + text(30) + q[3:50] + r[:40]), (5, text(4) + r[60:] + text(2) + r[10:29] + p), (6, text(10) + q + text(1) + q), (7, ["z"] * 70), (8, r)]
+    got = {x["doc_id"]: [tuple(f) for f in x["factors"]] for x in substring_dedup.substring_dedup(documents(spark, [(d, " ".join(w), None) for d, w in rows])).collect()}
+    own = dict(rows)
+    assert {d: len(f) for d, f in got.items()} == {1: 0, 2: 0, 3: 0, 4: 3, 5: 2, 6: 2, 7: 4, 8: 1}
+    for d, factors in got.items():
+        earlier = [(w, len(w)) for k, w in rows if k < d]
+        for start, n, doc, at in factors:
+            assert own[doc][at : at + n] == own[d][start : start + n] and (doc, at) < (d, start)
+            if d == 7:  # one window over and over: its first place doesn't go on in step
+                continue
+            assert n == longest_by_hand(own[d], start, [*earlier, (own[d], start)])
+            assert start == 0 or longest_by_hand(own[d], start - 1, [*earlier, (own[d], start - 1)]) < 20 or any(s + m == start for s, m, *_ in factors)
+
+
+def test_matches_that_overlap_are_parsed_greedily():
+    import numpy as np
+
+    cols = lambda rows: [np.asarray(c, np.int64) for c in zip(*rows)]
+    # two matches cover word 24, where the first ends: the one that reaches further goes on there
+    assert substring_dedup.parse(*cols([(0, 3, 7, 100), (3, 3, 7, 103), (6, 3, 8, 40), (14, 1, 9, 0)])) == [(0, 25, 7, 100), (25, 9, 9, 11)]
+    assert substring_dedup.parse(*cols([(2, 1, 5, 9), (40, 1, 5, 47)])) == [(2, 20, 5, 9), (40, 20, 5, 47)]
+
+
 # -- SimHash -------------------------------------------------------------------
 
 
