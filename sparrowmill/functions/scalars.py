@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,17 +35,39 @@ def parse_number(value: Column) -> Column:
     return F.regexp_replace(F.trim(value), ",", "")
 
 
-def parse_date(raw: Column) -> Column:
-    """The date under the first of DATE_FORMATS that fits; two-digit years from 69 on are of the last century."""
+def date_shape(fmt: str) -> str:
+    """A pattern for texts of the shape of a date format: what doesn't fit it can't be such a date."""
+    parts = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]{3,}", "MMM": "[A-Za-z]{3}", "HH": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
+    return "^" + re.sub("yyyy|yy|MMMM|MMM|HH|mm|ss|M|d", lambda m: parts[m[0]], fmt) + "$"
+
+
+def _first_date(text: Column, formats: tuple[str, ...]) -> Column:
+    """The date under the first format that fits. A text is parsed only under formats of its own shape, as each vain attempt is dear."""
     tries = []
-    for fmt in L.DATE_FORMATS:
-        parsed = F.try_to_date(F.trim(raw), fmt)
+    for fmt in formats:
+        parsed = F.try_to_date(text, fmt)
         if fmt.endswith("yy") and not fmt.endswith("yyyy"):
             parsed = F.when(F.year(parsed) >= 2069, F.add_months(parsed, -1200)).otherwise(parsed)
-        tries.append(parsed)
+        tries.append(F.when(text.rlike(date_shape(fmt)), parsed))
     return F.coalesce(*tries)
 
 
+def parse_date(raw: Column) -> Column:
+    """The date under the first of DATE_FORMATS that fits; two-digit years from 69 on are of the last century."""
+    return _first_date(F.trim(raw), L.DATE_FORMATS)
+
+
+def parse_date_loosely(raw: Column) -> Column:
+    """A struct of day and ambiguous: as parse_date, else under LOOSE_DATE_FORMATS, when ambiguous is true.
+
+    A weekday before and a zone after such a date are passed over.
+    """
+    strict = parse_date(raw)
+    bare = F.regexp_replace(F.trim(raw), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+|\s+(GMT|UTC|[A-Z]{3}|[+-]\d{4})$", "")
+    loose = _first_date(bare, L.LOOSE_DATE_FORMATS)
+    return F.struct(F.coalesce(strict, loose).alias("day"), F.when(strict.isNotNull(), date_is_ambiguous(raw)).otherwise(loose.isNotNull()).alias("ambiguous"))
+
+
 def date_is_ambiguous(raw: Column) -> Column:
     """Day and month could be exchanged: both from 1 to 12, and different."""
     a = F.regexp_extract(F.coalesce(F.trim(raw), F.lit("")), r"^(\d{1,2})[/-](\d{1,2})[/-]", 1)
@@ -154,6 +178,22 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(100.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(200.0 * best / size)
 
 
+def field_patterns() -> dict[str, str]:
+    """Patterns of fields in running text, made of the vocabularies; the first group is the field, of a value the second its unit."""
+    flexible = lambda words: "|".join(re.sub(r"[\\ -]+", lambda _: r"[\s-]*", re.escape(w)) for w in sorted(set(words), key=lambda w: (-len(w), w)))
+    names = [n for n in L.CONTAMINANT_ALIASES if len(n) > 3 and n.isascii() and "(" not in n]
+    dates = sorted({date_shape(f)[1:-1].replace("[A-Za-z]{3,}", f"(?:{'|'.join(L.MONTHS)})").replace("[A-Za-z]{3}", f"(?:{'|'.join(m[:3] for m in L.MONTHS)})") for f in L.DATE_FORMATS}, key=lambda p: (-len(p), p))
+    units = "|".join(re.escape(u) for u in sorted(L.UNIT_TO_PPB, key=len, reverse=True))
+    return {
+        "contaminant": rf"\b({flexible([*names, *L.FINDING_WORDS])})",
+        "value_unit": rf"(\d+(?:\.\d+)?)\s*({units})",
+        "pass_fail": rf"\b({flexible(L.VERDICT_WORDS)})\b",
+        "date": rf"\b({'|'.join(dates)})\b",
+        "lab_id": rf"\b((?:{'|'.join(L.LAB_CODES)})[/-]?[A-Z0-9]{{4,20}})\b",
+        "state": rf"\b({'|'.join(L.STATES)})\b",
+    }
+
+
 def chi2_survival_8(x: Column) -> Column:
     """P(X > x) for chi-square with 8 degrees of freedom, in closed form."""
     h = x / 2

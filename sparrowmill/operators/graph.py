@@ -54,10 +54,23 @@ def ancestors(edges: DataFrame, node: int, depth: int | None = None) -> DataFram
         front = written(found.join(seen, "node", "left_anti").select("node", F.lit(step).alias("distance")), "front")
         if front.isEmpty():
             break
-        seen = written(seen.unionByName(front), "seen")
+        seen = seen.unionByName(front)  # a table a step, none of them written twice
     return seen.where("distance > 0")
 
 
+def upstream(edges: DataFrame, node: int, depth: int | None = None) -> DataFrame:
+    """The edges, with all their columns, among a node and its ancestors of at most depth steps."""
+    inside = ancestors(edges, node, depth).select("node").unionByName(edges.sparkSession.createDataFrame([(node,)], "node long"))
+    return edges.join(inside.withColumnRenamed("node", "source"), "source", "left_semi").join(inside.withColumnRenamed("node", "target"), "target", "left_semi").select(*edges.columns)
+
+
+def brand_estimates(estimates: DataFrame) -> DataFrame:
+    """node, estimate, confidence with inference_type and label of propagated estimates."""
+    kind = F.when(F.col("source") == "measured", "direct_test").when(F.col("source").isin("propagated", "mixed"), F.col("source")).otherwise("insufficient_data")
+    label = F.when(F.col("source") == "measured", "Tested: based on direct enforcement records").otherwise("Inferred from supply chain data, no direct test on this product")
+    return estimates.select("node", "estimate", "confidence", kind.alias("inference_type"), label.alias("label"))
+
+
 def propagate(nodes: DataFrame, edges: DataFrame, cap: float = 0.60) -> DataFrame:
     """node, estimate, confidence, source (measured, propagated or none).
 
@@ -94,6 +107,6 @@ def propagate(nodes: DataFrame, edges: DataFrame, cap: float = 0.60) -> DataFram
                 F.when(has, F.least(F.lit(cap), F.col("weight") / F.col("k"))).otherwise(F.lit(0.0)).alias("confidence"),
                 F.when(has, F.lit("propagated")).otherwise(F.lit("none")).alias("source"),
             )
-        now = measured.unionByName(rest)
-        done = written(now if done is None else done.unionByName(now), f"level{k}")
+        now = written(measured.unionByName(rest), f"level{k}")
+        done = now if done is None else done.unionByName(now)
     return done if done is not None else nodes.select("node", F.lit(None).cast("double").alias("estimate"), F.lit(0.0).alias("confidence"), F.lit("none").alias("source"))

@@ -11,12 +11,8 @@ from sparrowmill.storage import table, written
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Regions, nations, suppliers and brands; a nation with results of the last year for one commodity is measured.
-
-    Only of nations whose key is a multiple of three: the others' results are left
-    out, here and in the SQL, though the reference has no such condition.
-    """
-    er = facts(spark, d).where(usable() & since(12) & (F.col("commodity") == "PROMO") & (F.col("district_id") % 3 == 0))
+    """Regions, nations, suppliers and brands; a nation with results of the last year for one commodity is measured."""
+    er = facts(spark, d).where(usable() & since(12) & (F.col("commodity") == "PROMO"))
     m = er.groupBy((F.col("district_id") + 1000).cast("long").alias("node")).agg((F.sum(F.col("ppb").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("measured"), F.count(F.lit(1)).alias("n_tests"))
     ids = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("node"))
     ids = ids.union(table(spark, d, "nation").select((F.col("n_nationkey") + 1000).cast("long")))
@@ -78,7 +74,7 @@ QUERIES = {f.__name__: f for f in (graph_levels, graph_ancestors, graph_propagat
 _EDGES = """e0 as (select n_regionkey::bigint as source, (n_nationkey + 1000)::bigint as target from nation union all select (s_nationkey + 1000)::bigint, (s_suppkey + 10000)::bigint from supplier
   union all select distinct (l_suppkey + 10000)::bigint, split_part(p_brand, '#', 2)::bigint + 10000000 from lineitem join part on l_partkey = p_partkey),
 e as (select source, target, case when (source + target) % 5 > 0 then 1 - ((source + target) % 5) / 10 else 1 end as retention, case when (source * 3 + target) % 4 > 0 then ((source * 3 + target) % 4) / 4 else 0.5 end as link from e0)"""
-_NODES = f"""m as (select (district_id + 1000)::bigint as node, sum(ppb::decimal(18,2))::double / count(*) as measured, count(*) as n from ok where test_date >= {months_ago(12)} and commodity = 'PROMO' and district_id % 3 = 0 group by all),
+_NODES = f"""m as (select (district_id + 1000)::bigint as node, sum(ppb::decimal(18,2))::double / count(*) as measured, count(*) as n from ok where test_date >= {months_ago(12)} and commodity = 'PROMO' group by all),
 nd as (select node, measured, coalesce(n, 0) as n from (select r_regionkey::bigint as node from region union all select (n_nationkey + 1000)::bigint from nation union all select (s_suppkey + 10000)::bigint from supplier
   union all select distinct split_part(p_brand, '#', 2)::bigint + 10000000 from part) left join m using (node))"""
 _LEVEL = """lv as (select node, case when node < 1000 then 0 when node < 10000 then 1 when node < 10000000 then 2 when node in (select target from e) then 3 else 0 end as level from nd)"""
@@ -96,7 +92,7 @@ ORACLES = {
     "graph_levels": f"with {ER}, {_NODES}, {_EDGES}, {_LEVEL} select node, level from lv",
     "graph_ancestors": f"with recursive {_EDGES}, a as (select 10000011::bigint as node, 0 as distance union select source, distance + 1 from a join e on target = node) select node, min(distance) as distance from a where distance > 0 group by node",
     "graph_propagation": f"with {ER}, {_NODES}, {_EDGES}, {_LEVEL}, {', '.join(_step(k) for k in range(4))} select node, round(estimate, 6) as estimate, round(confidence, 6)::double as confidence, source from ({' union all '.join(f'select * from p{k}' for k in range(4))})",
-    "upsert_aggregate": f"""with {ER}, {AGG.replace('agg as', 'old as').replace('from ok', f'from ok where not test_date >= {months_ago(12)}')}, {AGG.replace('agg as', 'new as').replace('from ok', f'from ok where test_date >= {months_ago(15)}')}
+    "upsert_aggregate": f"""with {ER}, {AGG.replace('agg as', 'old as').replace('from ok where', f'from ok where not test_date >= {months_ago(12)} and')}, {AGG.replace('agg as', 'new as').replace('from ok where', f'from ok where test_date >= {months_ago(15)} and')}
 select coalesce(n.district_id, o.district_id) as district_id, coalesce(n.commodity, o.commodity) as commodity, coalesce(n.quarter, o.quarter) as quarter, coalesce(n.n_tests, o.n_tests) as n_tests, coalesce(n.fail_rate, o.fail_rate) as fail_rate,
 coalesce(n.risk_score, o.risk_score) as risk_score, coalesce(o.risk_score + 5, 0)::double as upper from old o full join new n on o.district_id = n.district_id and o.commodity = n.commodity and o.quarter = n.quarter""",
     "insert_absent_keys": """with o as (select distinct split_part(p_brand, '#', 2)::int as id, p_brand as name from part where p_size <= 1), f as (select distinct p_brand as name from part where p_brand not in (select name from o))

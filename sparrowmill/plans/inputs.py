@@ -57,7 +57,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return ingest.event_windows(spark, d)
 
 
-def rf_scores(spark: SparkSession, d: str, trees: int = 40) -> DataFrame:
+def rf_scores(spark: SparkSession, d: str, trees: int = 300) -> DataFrame:
     """Scores of all rows by a forest that hasn't seen two of the regions."""
     rows = written(risk.risk_features(spark, d), "features")
     states = [r[0] for r in table(spark, d, "region").select("r_name").orderBy("r_name").limit(2).collect()]
@@ -76,6 +76,6 @@ select page_id, count(distinct href) as n_links, min(title) as first_title from
     "market_json": "select c_custkey::varchar as source_url, c_mktsegment as product, '2024-01-01' as date, null::varchar as state, null::varchar as district, nullif(c_custkey::varchar, '0') as value from customer",
     "table_rows": f"with {RAW} select concat_ws('-', order_id, part_id, lab_id, line, day) as source_url, 0 as row_no, food as product_name, 'Lead' as contaminant, value, unit, nullif(verdict, '') as pass_fail, null::varchar as brand from raw",
     "regex_fields": f"""with {RAW} select order_id, part_id, lab_id as lab, line, day, 'Lead' as contaminant, quantity::int::varchar as value, 'mg/kg' as unit,
-nullif(regexp_extract(verdict, '(?i)\\b(pass(?:ed)?|fail(?:ed)?|satisfactory|unsatisfactory|conforming|non[\\s\\-]?conforming|not\\s+safe|safe)\\b', 1), '') as verdict, 'Kerala' as state, 'LAB/AB1234' as lab_code from raw""",
+case when line <= 5 then verdict end as verdict, 'Kerala' as state, 'LAB/AB1234' as lab_code from raw""",
     "stream_windows": "select ts::date::varchar as day, event_type, count(*) as n, sum(value::decimal(18,2))::double as total from events group by all",
 }

@@ -2,7 +2,8 @@
 
 A line item is a test result: the customer's nation is the district, its region the
 state, the supplier the laboratory, the part's type the commodity and its brand the
-brand; flags A and R are passed and failed, N is unknown. AS_OF stands for "now".
+brand; flags A and R are passed and failed, N is unknown; ten times the tax is the
+fraud score, which every third result has none of. AS_OF stands for "now".
 """
 
 from __future__ import annotations
@@ -50,6 +51,7 @@ def facts(spark: SparkSession, sf_dir: str, flags: bool = True) -> DataFrame:
         F.col("l_extendedprice").alias("amount"),
         F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False).alias("pass_fail"),
         (F.lit(0.80).cast("decimal(4,3)") - F.col("l_discount").cast("decimal(4,3)")).alias("confidence_score"),
+        F.when(F.col("l_linenumber") % 3 > 0, F.col("l_tax").cast("decimal(4,2)") * 10).alias("fraud_score"),
         *(["is_duplicate"] if flags else []),
     )
 
@@ -58,13 +60,18 @@ def usable() -> Column:
     return (F.col("confidence_score") >= L.USABLE) & ~F.col("is_duplicate")
 
 
+def unsuspected() -> Column:
+    """Not scored yet, or with a fraud score below SUSPECT."""
+    return F.col("fraud_score").isNull() | (F.col("fraud_score") < L.SUSPECT)
+
+
 def since(months: int) -> Column:
     return F.col("test_date") >= F.add_months(F.lit(AS_OF).cast("date"), -months)
 
 
 def quarters(er: DataFrame) -> DataFrame:
-    """Failure rate, tests and risk per district, commodity and quarter, from usable results."""
-    grouped = er.where(usable()).groupBy("district_id", "commodity", S.quarter_label(F.col("test_date")).alias("quarter"))
+    """Failure rate, tests and risk per district, commodity and quarter, from usable results that no fraud score excludes."""
+    grouped = er.where(usable() & unsuspected()).groupBy("district_id", "commodity", S.quarter_label(F.col("test_date")).alias("quarter"))
     counted = grouped.agg(F.count(F.lit(1)).alias("n_tests"), F.count_if(F.col("pass_fail") == F.lit(False)).alias("n_failed"))
     rate = F.round(F.col("n_failed").cast("decimal(18,0)") / F.col("n_tests").cast("decimal(18,0)"), 4)
     return counted.select("district_id", "commodity", "quarter", "n_tests", rate.cast("double").alias("fail_rate"), F.round(rate * 100, 2).cast("double").alias("risk_score"))
@@ -74,16 +81,17 @@ ER = f"""
 er as (select l_orderkey as order_id, l_linenumber as contaminant_id, l_partkey as part_id, l_suppkey as lab_id, c_nationkey as district_id, n_name as district, r_name as state,
   p_type as commodity, case when p_size % 5 <> 0 then p_brand end as brand, l_shipdate::date as test_date, l_quantity as ppb, l_extendedprice as amount,
   case l_returnflag when 'A' then true when 'R' then false end as pass_fail, 0.80::decimal(4,3) - l_discount::decimal(4,3) as confidence_score,
+  case when l_linenumber % 3 > 0 then l_tax::decimal(4,2) * 10 end as fraud_score,
   row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_shipdate, l_extendedprice) > 1 as is_duplicate
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
   join region on n_regionkey = r_regionkey join part on l_partkey = p_partkey),
 ok as (select * from er where confidence_score >= {L.USABLE} and not is_duplicate)"""
 
-AGG = """
+AGG = f"""
 agg as (select district_id, commodity, quarter, n_tests, fail_rate, round(fail_rate * 100, 2) as risk_score from (
   select district_id, commodity, year(test_date) || '-Q' || quarter(test_date) as quarter, count(*) as n_tests,
     round(count(*) filter (pass_fail = false)::decimal(18,0) / count(*)::decimal(18,0), 4)::double as fail_rate
-  from ok group by all))"""
+  from ok where (fraud_score is null or fraud_score < {L.SUSPECT}) group by all))"""
 
 
 def months_ago(n: int) -> str:

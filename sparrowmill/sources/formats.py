@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparrowmill.functions import lookups as L
@@ -15,10 +15,10 @@ from sparrowmill.functions import scalars as S
 def html_links(pages: DataFrame, extension: str = ".pdf") -> DataFrame:
     """page_id, url, title, state of each anchor whose address ends so (in either case), without its own page's repeats.
 
-    Relative addresses are resolved against the page; an empty title is the file's stem.
+    Relative addresses are resolved against the page; the title is the anchor's text, else its title attribute, else the file's stem.
     """
-    anchor = r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
-    found = F.arrays_zip(F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("inner"))
+    anchor = r"(?is)<a\s([^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*)>(.*?)</a>"
+    found = F.arrays_zip(*[F.regexp_extract_all("html", F.lit(anchor), F.lit(n)).alias(name) for n, name in ((1, "tag"), (2, "href"), (3, "inner"))])
     rows = pages.select("page_id", F.col("url").alias("base"), F.explode(found).alias("a"))
     href = F.col("a.href")
     rows = rows.where(F.lower(href).endswith(extension.lower()))
@@ -26,7 +26,8 @@ def html_links(pages: DataFrame, extension: str = ".pdf") -> DataFrame:
     url = F.when(href.rlike("^[a-zA-Z]+://"), href).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), href))
     text = F.trim(F.regexp_replace("a.inner", "<[^>]*>", ""))
     stem = F.regexp_extract(href, r"([^/]*?)(?:\.[^./]*)?$", 1)
-    title = F.coalesce(F.nullif(text, F.lit("")), stem)
+    named = F.trim(F.regexp_extract("a.tag", r"(?is)\btitle\s*=\s*[\"']([^\"']*)[\"']", 1))
+    title = F.coalesce(F.nullif(text, F.lit("")), F.nullif(named, F.lit("")), stem)
     return rows.select("page_id", url.alias("url"), title.alias("title"), S.state_in_title(title).alias("state")).dropDuplicates(["page_id", "url"])
 
 
@@ -78,14 +79,64 @@ def table_records(tables: DataFrame) -> DataFrame:
 
 def text_fields(texts: DataFrame, column: str) -> DataFrame:
     """texts with the first contaminant, value, unit, verdict, date, state and laboratory found in a column of running text."""
-    find = lambda name, group: F.nullif(F.regexp_extract(column, "(?iu)" + L.FIELD_PATTERNS[name], group), F.lit(""))
-    states = r"(?i)\b(" + "|".join(s for s in L.STATES if s not in ("Manipur", "Meghalaya", "Nagaland", "Sikkim", "Tripura", "Arunachal Pradesh", "Mizoram")) + r")\b"
+    patterns = S.field_patterns()
+    find = lambda name, group=1: F.nullif(F.regexp_extract(column, "(?iu)" + patterns[name], group), F.lit(""))
     return texts.select(
-        "*", find("contaminant", 0).alias("contaminant"), find("value_unit", 1).alias("value"), find("value_unit", 2).alias("unit"), find("pass_fail", 1).alias("verdict"),
-        find("date", 1).alias("date"), F.nullif(F.regexp_extract(column, states, 1), F.lit("")).alias("state"), find("lab_id", 1).alias("lab_id"),
+        "*", find("contaminant").alias("contaminant"), find("value_unit").alias("value"), find("value_unit", 2).alias("unit"), find("pass_fail").alias("verdict"),
+        find("date").alias("date"), find("state").alias("state"), find("lab_id").alias("lab_id"),
     )
 
 
+def routed_entities(texts: DataFrame, entities: str) -> DataFrame:
+    """texts with product, brand, state, district and date from a column of named entities, array<struct<label,text>> of a model outside Spark.
+
+    The first PRODUCT, ORG and DATE count; of places (GPE) the first is the state, the second the district.
+    """
+    nth = lambda label, n=0: F.get(F.transform(F.filter(entities, lambda e: e["label"] == label), lambda e: e["text"]), n)
+    return texts.select("*", nth("PRODUCT").alias("product"), nth("ORG").alias("brand"), nth("GPE").alias("state"), nth("GPE", 1).alias("district"), nth("DATE").alias("date"))
+
+
+def mean_confidence(words: DataFrame) -> DataFrame:
+    """source_url, page, text and conf of read words (source_url, page, position, word, conf): conf is the mean of those not below 0, which alone count."""
+    read = words.where(F.col("conf") >= 0).groupBy("source_url", "page")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "word"))), lambda w: w["word"]), " ")
+    return read.agg(joined.alias("text"), (F.sum(F.col("conf").cast("decimal(9,4)")).cast("double") / F.count(F.lit(1))).alias("conf"))
+
+
+def listed_links(pages: DataFrame, extension: str = ".pdf") -> DataFrame:
+    """page_no, url, title, state of the links of a listing (page_no, url, html), each address at its first page only.
+
+    The listing ends before the first page without a link that no earlier page has, or
+    that is missing: later pages count for nothing.
+    """
+    links = html_links(pages.select(F.col("page_no").alias("page_id"), "url", "html"), extension).withColumnRenamed("page_id", "page_no")
+    first = links.groupBy("url").agg(F.min(F.struct("page_no", "title", "state")).alias("f")).select("f.page_no", "url", "f.title", "f.state")
+    with_new = first.select("page_no").distinct()
+    # pages 1 to n all have new links if and only if the n-th such page has the number n: the first gap ends the listing
+    numbered = with_new.withColumn("n", F.row_number().over(Window.orderBy("page_no"))).where("page_no = n").select("page_no")
+    return first.join(numbered, "page_no", "left_semi")
+
+
+def of_country(items: DataFrame, country: str = "india") -> DataFrame:
+    """Those feed items whose link or state names the country, in either case."""
+    names = lambda c: F.coalesce(F.lower(F.col(c).cast("string")).contains(country), F.lit(False))
+    return items.where(names("link") | (names("state") if "state" in items.columns else F.lit(False)))
+
+
+def landed_path(source: Column, page_type: Column, url: Column, day: Column | None = None) -> Column:
+    """Where a downloaded file belongs: raw/source/page_type[/yyyy/MM/dd]/file, the file named by its address."""
+    stem = F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*/(?:[^?#]*/)?([^/?#]+)/*(?:[?#]|$)", 1)
+    parts = [F.lit("raw"), source, page_type, *([F.date_format(day, "yyyy/MM/dd")] if day is not None else []), F.coalesce(F.nullif(stem, F.lit("")), F.lit("report.pdf"))]
+    return F.concat_ws("/", *parts)
+
+
+def landed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Landed files as rows: path, source, page_type, size and content, read as needed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/raw")
+    place = F.split(F.regexp_extract("path", r"/raw/(.*)$", 1), "/")
+    return files.select("path", F.get(place, 0).alias("source"), F.get(place, 1).alias("page_type"), F.col("length").alias("size"), "content")
+
+
 def recognised(pages: DataFrame, primary: Callable[[bytes], tuple[str, float]], fallback: Callable[[bytes], tuple[str, float]]) -> DataFrame:
     """source_url, page, text, conf: the primary reader's text, or the fallback's where the first is less sure than OCR_LEAST.
 

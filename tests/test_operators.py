@@ -123,3 +123,79 @@ def test_a_batch_run_twice_is_all_duplicates(spark):
     once = ingest.flag_duplicates(batch, history, ["n"])
     assert [r["is_duplicate"] for r in once.orderBy("n").collect()] == [False, False, True, True]
     assert all(r["is_duplicate"] for r in ingest.flag_duplicates(batch, once, ["n"]).collect())
+
+
+def test_fetching_waits_and_gives_up():
+    from sparrowmill.sources.listing import Listing, fetched
+
+    waits = []
+    answers = iter([(429, ""), (503, ""), (200, "page")])
+    assert fetched("u", lambda _: next(answers), waits.append) == "page" and waits == [2.0, 60.0, 2.0, 10.0, 2.0]
+    assert fetched("u", lambda _: (0, ""), waits.append) is None
+    with pytest.raises(ValueError):
+        fetched("u", lambda _: (404, ""), waits.append)
+    reader = Listing({"url": "http://host/list", "pages": "3"}).reader(None)
+    assert [p.value for p in reader.partitions()] == [1, 2, 3]
+
+
+def test_a_listing_ends_at_a_page_without_new_links(spark):
+    page = lambda *names: "".join(f"<a href='{n}.pdf' title='T {n}'></a>" for n in names)
+    rows = [(1, "http://h/l", page("a", "b")), (2, "http://h/l", page("b", "c")), (3, "http://h/l", page("a", "c")), (4, "http://h/l", page("d"))]
+    got = formats.listed_links(spark.createDataFrame(rows, "page_no int, url string, html string")).collect()
+    assert sorted((r["page_no"], r["url"], r["title"]) for r in got) == [(1, "http://h/a.pdf", "T a"), (1, "http://h/b.pdf", "T b"), (2, "http://h/c.pdf", "T c")]
+
+
+def test_landed_files_are_read_with_their_place(spark, tmp_path):
+    place = spark.range(1).select(formats.landed_path(F.lit("fssai"), F.lit("list"), F.lit("http://h/a/b.pdf?x=1")).alias("p"), formats.landed_path(F.lit("s"), F.lit("t"), F.lit("http://h")).alias("q")).first()
+    assert tuple(place) == ("raw/fssai/list/b.pdf", "raw/s/t/report.pdf")
+    (tmp_path / place["p"]).parent.mkdir(parents=True)
+    (tmp_path / place["p"]).write_bytes(b"12345")
+    assert [tuple(r) for r in formats.landed_files(spark, str(tmp_path)).select("source", "page_type", "size", "content").collect()] == [("fssai", "list", 5, b"12345")]
+
+
+def test_districts_by_name(spark):
+    from sparrowmill.operators import places
+
+    dims = spark.createDataFrame([(1, "Ahmedabad", "Gujarat", None), (2, "Coimbatore", "Tamil Nadu", None), (3, "Bengaluru", "Karnataka", ["Blr"]), (4, "Blr", "Goa", None)], "id int, name string, state string, alternate_names array<string>")
+    rows = spark.createDataFrame([("ahmadabad", None), ("coimbatur", "Tamil Nadu"), ("coimbatur", "Goa"), ("bangalore", None), ("blr", "Karnataka"), (" BLR ", None), (None, "Goa"), ("", None)], "district string, state string")
+    got = [(r["district"], r["state"], r["district_id"], r["district_name"]) for r in places.resolve_districts(rows, dims).collect()]
+    want = [("ahmadabad", None, 1, "Ahmedabad"), ("coimbatur", "Tamil Nadu", 2, "Coimbatore"), ("coimbatur", "Goa", None, "coimbatur"), ("bangalore", None, None, "bangalore"), ("blr", "Karnataka", 3, "Bengaluru"), (" BLR ", None, 4, "Blr"), (None, "Goa", None, None), ("", None, None, "")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_write_back_and_audit_are_idempotent(spark):
+    from sparrowmill.operators import fraud_pass
+
+    flag = "array<struct<type:string,score:double>>"
+    schema = f"k int, fraud_flags {flag}, fraud_score double, geo_plausibility_ok boolean, value_is_round boolean, lab_flagged boolean"
+    facts = spark.createDataFrame([(1, None, 0.1, None, None, None), (2, None, 0.7, None, None, None)], schema)
+    scored = spark.createDataFrame([(1, [("lab", 0.25), ("cluster", 0.2)], 0.45, True, False, True)], schema)
+    once = fraud_pass.write_back(facts, scored, ["k"])
+    assert {(r["k"], r["fraud_score"], r["lab_flagged"]) for r in once.collect()} == {(1, 0.45, True), (2, 0.7, None)}
+    audit = fraud_pass.append_audit(spark.createDataFrame([], "k int, flag_type string, score double"), scored, ["k"])
+    assert fraud_pass.append_audit(audit, scored, ["k"]).count() == audit.count() == 2
+    none = spark.createDataFrame([], "k int")
+    assert fraud_pass.selected(facts, "k", none, "2024-01-01").count() == 0
+
+
+def test_trees_as_arrays_score_as_spark_does(spark, tmp_path):
+    import random
+
+    from pyspark.ml.functions import vector_to_array
+
+    from sparrowmill.operators import forest
+
+    rng = random.Random(1)
+    rows = []
+    for k in range(400):
+        x = [rng.random() for _ in range(7)]
+        rows.append((k, f"2020-Q{k % 4 + 1}" if k < 200 else f"2021-Q{k % 4 + 1}", "a" if k % 5 else "b", *x, int(x[0] + x[3] + rng.random() > 1.5)))
+    df = spark.createDataFrame(rows, "id int, quarter string, state string, " + ", ".join(f"{c} double" for c in forest.FEATURES) + ", label int")
+    model, held = forest.fit(df, ("b",), trees=15)
+    want = {r["id"]: r["p"] for r in model.transform(df).select("id", (100 * vector_to_array("probability")[1]).alias("p")).collect()}
+    got = {r["id"]: (r["lower"], r["risk"], r["upper"]) for r in forest.scores(model, df).collect()}
+    assert all(got[k][1] == pytest.approx(p) and got[k][0] <= got[k][1] + 1e-9 and got[k][1] <= got[k][2] + 1e-9 for k, p in want.items())
+    cv = forest.cross_validated(df, folds=3, trees=5)
+    assert len(cv["aucs"]) == 3 and 0.5 < cv["auc_mean"] <= 1 and held["auc"] > 0.6
+    forest.save(model, str(tmp_path / "m"))
+    assert forest.top_importances(forest.load(str(tmp_path / "m"))) == forest.top_importances(model)
