@@ -37,7 +37,7 @@ def parse_number(value: Column) -> Column:
 
 def date_shape(fmt: str) -> str:
     """A pattern for texts of the shape of a date format: what doesn't fit it can't be such a date."""
-    parts = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]{3,}", "MMM": "[A-Za-z]{3}", "HH": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
+    parts = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]{3,}", "MMM": "[A-Za-z]{3}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
     return "^" + re.sub("yyyy|yy|MMMM|MMM|HH|mm|ss|M|d", lambda m: parts[m[0]], fmt) + "$"
 
 
