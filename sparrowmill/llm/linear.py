@@ -6,8 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparrowmill.storage import written
+
 #: At most so many labelled rows train a classifier; those with the smallest hash of doc_id.
 MAX_TRAINING_ROWS = 8000
+#: And at most so many bytes of their texts; rows beyond, in the order of that hash, are left out.
+MAX_TRAINING_BYTES = 64 << 20
 
 
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
@@ -19,19 +23,28 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """label (0 or 1) and text of at most so many labelled documents.
+def training_rows(documents: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int = MAX_TRAINING_ROWS, most_bytes: int = MAX_TRAINING_BYTES) -> DataFrame:
+    """doc_id, label (0 or 1) and text of at most so many labelled documents and bytes of text; a stored table.
 
     allowed: a condition on labels' doc_id. Labels without doc_id or value are left
-    out; of repeated labels the larger value holds. The sample's keys are bounded
-    by most, hence broadcast.
+    out; of repeated labels the larger value holds, of rows that repeat a doc_id the
+    text with the smallest hash. The sample's keys are bounded by most, hence
+    broadcast; of its texts only the sizes come to the driver.
     """
     known = labels.where(allowed & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label)).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(F.broadcast(chosen), "doc_id")
-    return joined.select("doc_id", "label", "text")
+    once = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    stored = written(once, "training")
+    sizes = stored.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("h")).collect()
+    total, kept = 0, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        total += r["n"]
+        if total > most_bytes:
+            break
+        kept.append(r["doc_id"])
+    return stored if len(kept) == len(sizes) else stored.where(F.col("doc_id").isin(kept))
 
 
 class Ftrl:

@@ -95,14 +95,15 @@ def choose_voters(examples: list[np.ndarray], target: np.ndarray) -> np.ndarray:
 def label_model(votes: np.ndarray, prior: float, rounds: int = EM_ROUNDS) -> np.ndarray:
     """Posterior of the hidden class for each row of 0/1 votes (rows x voters), no labels used.
 
-    A voter that doesn't fire abstains, which is no evidence. One that fires adds
-    its log ratio of rates, divided by the sum of its correlations, given the class,
-    with all voters that fire with it: a group of like voters counts about once.
-    That no voter at all fires is evidence too, at its rate in either class.
+    A voter that fires adds its log ratio of rates, divided by the sum of its
+    correlations, given the class, with all voters that fire with it, so that a group
+    of like voters counts about once. One that doesn't adds the log ratio of not
+    firing, divided by its correlations with all voters. The first guess is that a row
+    in which any voter fires is toxic; voters that fire as often in either class
+    lose their say from round to round.
     """
-    n, m = votes.shape
-    silent = ~votes.any(1)
-    posterior = np.where(silent, 0.02, 0.9)
+    n, _ = votes.shape
+    posterior = np.where(votes.any(1), 0.9, 0.02)
     for _ in range(rounds):
         pos, neg = posterior.sum(), (1 - posterior).sum()
         hit = (posterior @ votes + 0.5) / (pos + 1)
@@ -113,7 +114,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = EM_ROUNDS) -> np.
         like = np.where(correlation > 0.3, np.minimum(correlation, 1), 0)
         np.fill_diagonal(like, 1)
         evidence = (votes * np.log(hit / false) / np.maximum(1, votes @ like)).sum(1)
-        evidence += silent * np.log((posterior @ silent + 0.5) / (pos + 1) * (neg + 1) / ((1 - posterior) @ silent + 0.5))
+        evidence += (1 - votes) @ (np.log((1 - hit) / (1 - false)) / like.sum(0))
         rate = np.clip(posterior.mean(), prior / 4, min(0.9, prior * 4))
         new = sigmoid(np.log(rate / (1 - rate)) + evidence)
         if np.abs(new - posterior).max() < 1e-4:

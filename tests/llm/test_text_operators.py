@@ -447,3 +447,53 @@ def test_components_of_a_long_path_take_few_rounds(spark, order, monkeypatch):
     assert got == {k: 0 for k in range(16000)} | {20000: 20000, 20001: 20000, 20002: 20000}
     assert rounds.count("move") < 20
     assert module.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_training_rows_and_bytes_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from sparrowmill.llm import linear
+
+    docs = documents(spark, [(k, f"text {k} " * 20, None) for k in range(40)] + [(3, "again and again", None)] * 500 + [(5, None, None)])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)] + [(7, 0, 1)], "doc_id long, quality int, toxic int")
+    every = linear.training_rows(docs, labels, "toxic", F.lit(True)).collect()
+    assert sorted(r["doc_id"] for r in every) == list(range(40)) and {r["label"] for r in every if r["doc_id"] == 7} == {1}
+    some = linear.training_rows(docs, labels, "toxic", F.lit(True), most_bytes=2000).collect()
+    assert 0 < sum(len(r["text"] or "") for r in some) <= 2000 and {r["doc_id"] for r in some} < set(range(40))
+    assert len(linear.training_rows(docs, labels, "toxic", F.lit(True), most=10).collect()) == 10
+
+
+def test_the_label_model_weighs_voters_by_their_accuracy():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.3
+    fires = lambda hit, false: (rng.random(4000) < np.where(truth, hit, false)).astype(float)
+    good, noise = [fires(0.6, 0.01) for _ in range(4)], [fires(0.06, 0.06) for _ in range(6)]
+    votes = np.stack([*good, *noise, noise[0], noise[0], noise[0]], 1)  # a noisy voter that stands there four times
+    model, plain = toxicity.label_model(votes, 0.3) >= 0.5, votes.any(1)
+    assert (model == truth).mean() > 0.95 and (plain == truth).mean() < 0.8
+
+
+def test_a_round_of_the_label_model_is_as_by_hand():
+    import math
+
+    import numpy as np
+
+    few = [[1, 0], [1, 0], [0, 1], [0, 0], [0, 0], [0, 0], [1, 1], [0, 0], [0, 1], [0, 0]]
+    p = [0.9 if any(v) else 0.02 for v in few]
+    pos, neg = sum(p), len(p) - sum(p)
+    hit = [(sum(q * v[k] for q, v in zip(p, few)) + 0.5) / (pos + 1) for k in (0, 1)]
+    false = [(sum((1 - q) * v[k] for q, v in zip(p, few)) + 0.05) / (neg + 1) for k in (0, 1)]
+    centred = [[v[k] - q * hit[k] - (1 - q) * false[k] for k in (0, 1)] for q, v in zip(p, few)]
+    both, one, two = (sum(c[a] * c[b] for c in centred) for a, b in ((0, 1), (0, 0), (1, 1)))
+    r = abs(both) / math.sqrt(one * two)
+    r = r if r > 0.3 else 0.0
+    rate = min(max(pos / len(p), 0.2 / 4), 0.8)
+    want = []
+    for v in few:
+        share = 1 + r * (sum(v) == 2)
+        x = math.log(rate / (1 - rate))
+        x += sum(math.log(hit[k] / false[k]) / share if v[k] else math.log((1 - hit[k]) / (1 - false[k])) / (1 + r) for k in (0, 1))
+        want.append(1 / (1 + math.exp(-x)))
+    assert np.allclose(toxicity.label_model(np.asarray(few, float), 0.2, rounds=1), want, atol=1e-6)
