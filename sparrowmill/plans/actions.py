@@ -171,7 +171,7 @@ case when hit then b end as lab_flagged from y left join fl using ({_IDS}) left
     "fraud_audit_appended": f"with {_F} {_AUDIT('round_value', 0.10, 120)} and a union all {_AUDIT('lab', 0.25, 120)} and b union all {_AUDIT('cluster', 0.20, 120)} and c",
     "fraud_records_named": f"with {_F}, t as (select * from sc where fraud_score >= 0.20 order by fraud_score desc, {_IDS} limit 100) select {_IDS}, t.fraud_score, flags, district, state, commodity, s_name as lab_name from t join er using ({_IDS}) left join supplier on lab_id = s_suppkey where not is_duplicate",
     "brand_estimates": f"""with {ER}, {chain._NODES}, {chain._EDGES}, {chain._LEVEL}, {', '.join(chain._step(k) for k in range(4))}, pr as (select brand as brand_name, count(*) as n_tests from ok where brand is not null and (fraud_score is null or fraud_score < {L.SUSPECT}) group by all)
-select node, 'Brand#' || (node - 10000000) as brand_name, round(estimate, 6) as estimate, round(confidence, 6)::double as confidence, case source when 'measured' then 'direct_test' when 'propagated' then 'propagated' else 'insufficient_data' end as inference_type,
+select node, 'Brand#' || (node - 10000000) as brand_name, round(estimate, 9) as estimate, round(confidence, 9)::double as confidence, case source when 'measured' then 'direct_test' when 'propagated' then 'propagated' else 'insufficient_data' end as inference_type,
 case source when 'measured' then 'Tested: based on direct enforcement records' else 'Inferred from supply chain data, no direct test on this product' end as label, n_tests
 from ({' union all '.join(f'select * from p{k}' for k in range(4))}) e left join pr on pr.brand_name = 'Brand#' || (node - 10000000) where node > 10000000""",
     "upstream_edges": f"""with recursive {chain._EDGES}, an as (select 10000011::bigint as node union select source from an join e on target = node)

@@ -43,7 +43,7 @@ def graph_ancestors(spark: SparkSession, d: str, node: int = 10000011) -> DataFr
 def graph_propagation(spark: SparkSession, d: str) -> DataFrame:
     all_nodes = written(nodes(spark, d), "nodes")
     out = graph.propagate(all_nodes, written(graph.clean_edges(edges(spark, d), all_nodes), "edges"))
-    return out.select("node", F.round("estimate", 6).alias("estimate"), F.round("confidence", 6).alias("confidence"), "source")
+    return out.select("node", F.round("estimate", 9).alias("estimate"), F.round("confidence", 9).alias("confidence"), "source")
 
 
 def upsert_aggregate(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +91,7 @@ def _step(k: int) -> str:
 ORACLES = {
     "graph_levels": f"with {ER}, {_NODES}, {_EDGES}, {_LEVEL} select node, level from lv",
     "graph_ancestors": f"with recursive {_EDGES}, a as (select 10000011::bigint as node, 0 as distance union select source, distance + 1 from a join e on target = node) select node, min(distance) as distance from a where distance > 0 group by node",
-    "graph_propagation": f"with {ER}, {_NODES}, {_EDGES}, {_LEVEL}, {', '.join(_step(k) for k in range(4))} select node, round(estimate, 6) as estimate, round(confidence, 6)::double as confidence, source from ({' union all '.join(f'select * from p{k}' for k in range(4))})",
+    "graph_propagation": f"with {ER}, {_NODES}, {_EDGES}, {_LEVEL}, {', '.join(_step(k) for k in range(4))} select node, round(estimate, 9) as estimate, round(confidence, 9)::double as confidence, source from ({' union all '.join(f'select * from p{k}' for k in range(4))})",
     "upsert_aggregate": f"""with {ER}, {AGG.replace('agg as', 'old as').replace('from ok where', f'from ok where not test_date >= {months_ago(12)} and')}, {AGG.replace('agg as', 'new as').replace('from ok where', f'from ok where test_date >= {months_ago(15)} and')}
 select coalesce(n.district_id, o.district_id) as district_id, coalesce(n.commodity, o.commodity) as commodity, coalesce(n.quarter, o.quarter) as quarter, coalesce(n.n_tests, o.n_tests) as n_tests, coalesce(n.fail_rate, o.fail_rate) as fail_rate,
 coalesce(n.risk_score, o.risk_score) as risk_score, coalesce(o.risk_score + 5, 0)::double as upper from old o full join new n on o.district_id = n.district_id and o.commodity = n.commodity and o.quarter = n.quarter""",
