@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparrowmill.llm import decontamination, packing, quality_classifier, quality_rules, secrets, sharding, simhash, substring_dedup, token_counts, toxicity
+from sparrowmill.llm import alignment, clustering, decontamination, jaccard, packing, quality_classifier, quality_rules, secrets, sharding, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secret_scan": secrets.query,
     "op9_quality_classifier": quality_classifier.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_tokenizer_alignment": alignment.query,
+    "op12_jaccard_join": jaccard.query,
+    "op13_centroid_clustering": clustering.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -22,4 +25,6 @@ ORACLES: dict[str, str] = {
     "op4_hash_tree_shards": sharding.ORACLE,
     "op8_secret_scan": secrets.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op12_jaccard_join": jaccard.ORACLE,
+    "op13_centroid_clustering": clustering.ORACLE,
 }
