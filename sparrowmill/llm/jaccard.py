@@ -7,15 +7,17 @@ with equal sets of n-grams are one row of the matrix.
    frequencies, by powers of two, are kept in a table of fixed size). By the size-derived
    bound two sets can only be similar enough if they share an n-gram of the
    first n - ceil(s * n) + 1 ones of each, so only these columns form candidates.
-2. Rows: in each column the row that has most columns in common with others is the
+2. Rows: columns of a few rows form all their pairs. In a longer one the row that has most columns in common with others is the
    column's centre; overlaps with it are counted for all rows of the column whose
    sizes allow a link. A group of near copies so needs a pair per row, not all pairs.
-3. Linked rows become components. A column whose rows are in one component has
+3. Linked rows become components. A longer column whose rows are in one component has
    nothing left to find; from the others the centre goes, and step 2 is repeated with
    the row most similar to it as centre, which is nearer to the middle of a group.
 4. What is left is multiplied out block by block: each block of a column's rows meets
-   each other block in a task of its own, which adds up overlaps over all n-grams,
-   drops pairs below the bound, and returns only links that join components.
+   each other block in a task of its own, which first counts the bits in which marks
+   differ. Where few pairs are left, these are counted as above; else the task is given
+   the sets, adds up overlaps over all n-grams, drops pairs below the bound, and returns
+   only links that join components.
 
 No pair of different sets that is similar enough is lost: it shares a column, and there it
 is compared with the centre, multiplied out, or already joined.
@@ -42,11 +44,15 @@ FREQUENT = 1 << 20
 SLOTS = 1 << 22
 #: Counts below this are all alike.
 RARE = 8
-#: Rounds of step 2 before columns are multiplied out; rows and n-grams of a block.
-CENTRES = 3
+#: Rounds with a centre before columns are multiplied out; rows and n-grams of a block.
+CENTRES = 2
+#: Columns of so many rows at most form all their pairs at once.
+FEW = 4
 BLOCK_ROWS = 1024
 BLOCK_GRAMS = 1 << 21
-_SIGNED = "doc_id long, set_id long, n long, grams array<long>"
+#: Bits of the filter that names the sets to be fetched.
+FETCH_BITS = 1 << 24
+_SIGNED = "doc_id long, set_id long, n long, marks array<long>, grams array<long>"
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,15 +74,26 @@ def _set_id(grams: np.ndarray) -> int:
     return int(mix(np.array([mix(grams.view(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(grams))])).view(np.int64)[0])
 
 
+def _marks(grams: np.ndarray) -> np.ndarray:
+    """Parities of the n-grams that fall on each of about half as many bits (a power of two, at least 64), as longs.
+
+    A set's bits xor another's are the parities of the n-grams that only one of them has, so
+    they are no more than those. A longer list folds onto a shorter one.
+    """
+    bits = 64 << max(0, (len(grams) // 128).bit_length())
+    odd = np.bincount((mix(grams.view(np.uint64) ^ _K) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def signed_documents(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, set_id (equal for equal sets), n and grams of each row."""
+    """doc_id, set_id (equal for equal sets), n, marks and grams of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             sets = gram_sets(batch.column("text").to_pylist(), width)
             n = np.fromiter(map(len, sets), np.int64, len(sets))
-            grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(sets), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array(n), grams], ["doc_id", "set_id", "n", "grams"])
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in x])]), pa.int32()), pa.array(np.concatenate(x), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array(n), listed([_marks(s) for s in sets]), listed(sets)], ["doc_id", "set_id", "n", "marks", "grams"])
 
     return map_texts(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), sign, _SIGNED)
 
@@ -146,9 +163,9 @@ def columns(signed: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """rows (gram, set_id, n) of columns with two rows or more, and how many such columns a set has."""
+    """rows (gram, set_id, n) of columns with two rows or more, with the rows of the column, and how many such columns a set has."""
     rows = written(rows, "columns")
-    several = written(rows.groupBy("gram").count().where("count > 1").select("gram"), "shared")
+    several = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "shared")
     kept = rows.join(several, "gram").withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("set_id")).cast("double"))
     kept = written(kept, "columns")
     drop_written(rows)
@@ -160,12 +177,60 @@ def _sizes_allow(a: str, b: str, percent: int) -> F.Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs (a, b), near (the part of their union that they share), and whether that is enough."""
+def _may(marks_a: F.Column, marks_b: F.Column, n_a: F.Column, n_b: F.Column, percent: int) -> F.Column:
+    """Whether as many n-grams as the marks tell apart leave two sets similar enough."""
+    size = F.least(F.size(marks_a), F.size(marks_b))
+    folded = lambda marks, i: F.aggregate(F.sequence(i, F.size(marks), size), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.element_at(marks, k)))
+    apart = F.aggregate(F.sequence(F.lit(1), size), F.lit(0), lambda acc, i: acc + F.bit_count(folded(marks_a, i).bitwiseXOR(folded(marks_b, i))))
+    return apart * (100 + percent) <= (n_a + n_b) * (100 - percent)
+
+
+def _likely(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) that sizes and marks allow to be similar enough."""
+    side = lambda k: marks.select(F.col("set_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("marks").alias(f"marks_{k}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    return met.where(_may(F.col("marks_a"), F.col("marks_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter, as FETCH_BITS bits in bytes, of the set_ids of ids; made of words, so that no more than its size comes to the driver."""
+    places = [F.shiftrightunsigned(F.xxhash64("set_id", F.lit(k)), 64 - (FETCH_BITS.bit_length() - 1)) for k in range(2)]
+    bits = ids.select(F.explode(F.array(*places)).alias("at"))
+    words = bits.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    held = words.toArrow()
+    out = np.zeros(FETCH_BITS // 64, np.int64)
+    out[held.column("word").to_numpy()] = held.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def _fetched(signed: DataFrame, ids: DataFrame) -> DataFrame:
+    """set_id, n, grams of the sets of ids (set_id), each once; a stored table. A filter keeps most others out of the shuffle."""
+    ids = written(ids.distinct(), "wanted")
+    bits = _filter_of(ids)
+    places = [F.shiftrightunsigned(F.xxhash64("set_id", F.lit(k)), 64 - (FETCH_BITS.bit_length() - 1)).alias(f"p{k}") for k in range(2)]
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for k in range(2):
+                at = batch.column(f"p{k}").to_numpy()
+                keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            yield batch.filter(pa.array(keep)).select(["set_id", "n", "grams"])
+
+    likely = map_texts(signed.where("n > 0").select("set_id", "n", "grams", *places), passing, "set_id long, n long, grams array<long>")
+    once = likely.groupBy("set_id").agg(F.first("n").alias("n"), F.first("grams").alias("grams")).join(ids, "set_id", "left_semi")
+    return written(once, "fetched")
+
+
+def _counted(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs (a, b), near (the part of their union that they share), and whether that is enough; a stored table."""
+    sets = _fetched(signed, pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")))
     side = lambda k: sets.select(F.col("set_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("grams").alias(f"grams_{k}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("grams_a", "grams_b")))
     union = F.col("n_a") + F.col("n_b") - F.col("both")
-    return met.select("a", "b", (F.col("both") / union).alias("near"), (F.col("both") * 100 >= union * percent).alias("linked"))
+    out = written(met.select("a", "b", (F.col("both") / union).alias("near"), (F.col("both") * 100 >= union * percent).alias("linked")), "counted")
+    drop_written(sets)
+    return out
 
 
 def product(grams: list[np.ndarray]) -> np.ndarray:
@@ -198,15 +263,8 @@ def product(grams: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _block_links(rows: pa.Table, percent: int) -> pa.Table:
-    """Links of a block pair that join components, no more than rows."""
-    table_ = rows.combine_chunks()
-    ids, labels, n = (table_.column(c).to_numpy() for c in ("set_id", "label", "n"))
-    grams = table_.column("grams").combine_chunks()
-    upto = np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
-    flat = grams.flatten().to_numpy()
-    overlap = product([flat[lo:hi] for lo, hi in zip(upto, upto[1:])]).astype(np.int64)
-    linked = (overlap * 100 >= (n[:, None] + n[None, :] - overlap) * percent) & (labels[:, None] != labels[None, :])
+def _joining(ids: np.ndarray, labels: np.ndarray, linked: np.ndarray) -> pa.Table:
+    """As many of the links as join all components of a block, no more than its rows."""
     root = {v: v for v in labels.tolist()}
 
     def find(v: int) -> int:
@@ -224,7 +282,50 @@ def _block_links(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def _multiplied(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _block_product(rows: pa.Table, percent: int) -> pa.Table:
+    """Links of a block pair that join components."""
+    rows = rows.combine_chunks()
+    ids, labels, n = (rows.column(c).to_numpy() for c in ("set_id", "label", "n"))
+    grams = rows.column("grams").combine_chunks()
+    upto = np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
+    flat = grams.flatten().to_numpy()
+    overlap = product([flat[lo:hi] for lo, hi in zip(upto, upto[1:])]).astype(np.int64)
+    return _joining(ids, labels, (overlap * 100 >= (n[:, None] + n[None, :] - overlap) * percent) & (labels[:, None] != labels[None, :]))
+
+
+def possible(n: np.ndarray, marks: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets sizes and marks allow to be similar enough, as a matrix."""
+    out = np.zeros((len(n), len(n)), bool)
+    widths = np.fromiter(map(len, marks), np.int64, len(n))
+    kinds = np.unique(widths)
+    for w in kinds.tolist():
+        for v in kinds[kinds <= w].tolist():
+            a, b = np.flatnonzero(widths == v), np.flatnonzero(widths == w)
+            x = np.stack([marks[k] for k in a]).view(np.uint64)  # of signed numbers numpy counts the absolute value's bits
+            y = np.bitwise_xor.reduce(np.stack([marks[k] for k in b]).view(np.uint64).reshape(len(b), w // v, v), axis=1)
+            for lo in range(0, len(a), 64):
+                own = a[lo : lo + 64]
+                apart = np.bitwise_count(x[lo : lo + 64, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+                small, large = np.minimum(n[own][:, None], n[b][None, :]), np.maximum(n[own][:, None], n[b][None, :])
+                near = (apart * (100 + percent) <= (small + large) * (100 - percent)) & (small * 100 >= large * percent)
+                out[np.ix_(own, b)] |= near
+                out[np.ix_(b, own)] |= near.T
+    return out
+
+
+def _block_pairs(rows: pa.Table, percent: int) -> pa.Table:
+    """The possible pairs of a block pair between components; of a block with more of them than four a row its number instead."""
+    rows = rows.combine_chunks()
+    ids, labels, n = (rows.column(c).to_numpy() for c in ("set_id", "label", "n"))
+    marks = [np.array(m, np.int64) for m in rows.column("marks").to_pylist()]
+    i, j = np.nonzero(np.triu(possible(n, marks, percent) & (labels[:, None] != labels[None, :])))
+    dense = len(i) > 4 * len(ids)
+    at = [None] if dense else range(len(i))
+    pick = lambda x, k: pa.array([None] if dense else x[k].tolist(), pa.int64())
+    return pa.table({"block": pa.array([rows.column("block")[0].as_py() if dense else None] * len(at), pa.string()), "a": pick(ids, i), "b": pick(ids, j)})
+
+
+def _multiplied(left: DataFrame, marks: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Links within the columns left (gram, set_id, n, label), found block by block."""
     per = left.groupBy("gram").agg(F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("who"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("size"))
     once = per.groupBy("who", "rows").agg(F.min(F.struct("gram", "size")).alias("g"))  # columns with the same rows count once
@@ -233,36 +334,51 @@ def _multiplied(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = F.pmod(F.xxhash64("set_id", F.lit(1)), "blocks").cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = left.join(chosen, "gram").withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "n", "label")
-    filled = written(dealt, "dealt").join(sets.select("set_id", "grams"), "set_id")
-    return filled.groupBy("gram", "i", "j").applyInArrow(lambda rows: _block_links(rows, percent), "a long, b long")
+    block = F.concat_ws("/", "gram", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = written(dealt.select(block.alias("block"), "set_id", "n", "label"), "dealt")
+    told = dealt.join(marks.select("set_id", "marks"), "set_id").groupBy("block").applyInArrow(lambda rows: _block_pairs(rows, percent), "block string, a long, b long")
+    told = written(told, "told")
+    links_ = _counted(written(told.where("block is null").select("a", "b").distinct(), "pairs"), signed, percent).where("linked").select("a", "b")
+    dense = written(dealt.join(told.where("block is not null").select("block"), "block"), "dense")
+    if dense.isEmpty():
+        return links_
+    filled = dense.join(_fetched(signed, dense.select("set_id")).select("set_id", "grams"), "set_id")
+    return links_.union(written(filled.groupBy("block").applyInArrow(lambda rows: _block_product(rows, percent), "a long, b long"), "links"))
 
 
 def links(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b: set_ids of different sets of signed (set_id, n, grams) that are similar enough; as many as join all of a component."""
+    """a, b: set_ids of different sets of signed (set_id, n, marks, grams) that are similar enough; as many as join all of a component."""
     rows = _shared(columns(signed, frequency_table(signed, percent), percent))
-    own = rows.select("set_id").distinct()
-    sets = written(signed.where("n > 0").join(own, "set_id").groupBy("set_id").agg(F.first("n").alias("n"), F.first("grams").alias("grams")), "sets")
-    found, labels, left = None, None, rows
-    for _ in range(CENTRES):
-        centre = left.groupBy("gram").agg(F.max(F.struct("met", F.xxhash64("set_id").alias("h"), F.col("set_id").alias("b"), F.col("n").alias("n_b"))).alias("c"))
-        centre = written(centre.select("gram", "c.b", "c.n_b"), "centres")
-        met = written(left.join(centre, "gram").where(F.col("set_id") != F.col("b")), "met")
-        apart = F.lit(True) if labels is None else F.col("label") != F.col("label_b")
-        if labels is not None:
-            met = met.join(labels.select(F.col("set_id").alias("b"), F.col("label").alias("label_b")), "b", "left").withColumn("label_b", F.coalesce("label_b", "b"))
-        pairs = written(met.where(_sizes_allow("n", "n_b", percent) & apart).select(F.col("set_id").alias("a"), "b").distinct(), "pairs")
-        counted = written(_counted(pairs, sets, percent), "links")
-        new = counted.where("linked").select("a", "b")
-        found = new if found is None else found.union(new)
-        labels = written(components(found).select(F.col("node").alias("set_id"), F.col("root").alias("label")), "labels")
-        rest = met.join(counted.select(F.col("a").alias("set_id"), "b", "near"), ["set_id", "b"], "left").select("gram", "set_id", "n", F.coalesce("near", F.lit(0.0)).alias("met")).join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-        rest = written(rest, "rest")
-        mixed = written(rest.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram"), "mixed")
-        left = written(rest.join(mixed, "gram"), "left")
+    marks = written(signed.where("n > 0").select("set_id", "n", "marks").groupBy("set_id").agg(F.first("n").alias("n"), F.first("marks").alias("marks")), "marks")
+    few = rows.where(F.col("rows") <= FEW).select("gram", "set_id", "n")
+    twice = few.join(few.select("gram", F.col("set_id").alias("b"), F.col("n").alias("n_b")), "gram").where(F.col("set_id") < F.col("b"))
+    met = written(twice.where(_sizes_allow("n", "n_b", percent)).select(F.col("set_id").alias("a"), "b").distinct(), "pairs")
+    found = _counted(written(_likely(met, marks, percent), "likely"), signed, percent).where("linked").select("a", "b")
+    drop_written(met)
+    left = written(rows.where(F.col("rows") > FEW).drop("rows"), "left")
+    for k in range(CENTRES):
         if left.isEmpty():
             return found
-    return found.union(written(_multiplied(left, sets, percent), "links"))
+        labels = written(components(found).select(F.col("node").alias("set_id"), F.col("root").alias("label")), "labels")
+        left = _mixed(left, labels)
+        centre = left.groupBy("gram").agg(F.max(F.struct("met", F.xxhash64("set_id").alias("h"), F.col("set_id").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))).alias("c"))
+        centre = written(centre.select("gram", "c.b", "c.label_b", "c.n_b"), "centres")
+        met = written(left.join(centre, "gram").where(F.col("set_id") != F.col("b")), "met")
+        wanted = met.where(_sizes_allow("n", "n_b", percent) & (F.col("label") != F.col("label_b"))).select(F.col("set_id").alias("a"), "b").distinct()
+        counted = _counted(written(_likely(wanted, marks, percent), "likely"), signed, percent)
+        found = found.union(counted.where("linked").select("a", "b"))
+        near = counted.select(F.col("a").alias("set_id"), "b", "near")
+        left = written(met.join(near, ["set_id", "b"], "left").select("gram", "set_id", "n", F.coalesce("near", F.lit(0.0)).alias("met")), "left")
+    labels = written(components(found).select(F.col("node").alias("set_id"), F.col("root").alias("label")), "labels")
+    left = _mixed(left, labels)
+    return found if left.isEmpty() else found.union(_multiplied(left, marks, signed, percent))
+
+
+def _mixed(left: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with label, of those columns whose rows aren't all in one component; a stored table."""
+    told = written(left.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "told")
+    mixed = written(told.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram"), "mixed")
+    return written(told.join(mixed, "gram"), "left")
 
 
 def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -138,8 +138,11 @@ def near_copies(seed, size=220):
     return texts
 
 
-@pytest.mark.parametrize("seed,centres,block", [(1, 3, 1024), (2, 1, 8), (3, 1, 3)])
-def test_jaccard_components(spark, monkeypatch, seed, centres, block):
+@pytest.mark.parametrize("seed,centres,block,frequent", [(1, 2, 1024, 1 << 20), (2, 0, 8, 1 << 20), (3, 1, 3, 3)])
+def test_jaccard_components(spark, monkeypatch, seed, centres, block, frequent):
+    if frequent == 3:  # any order of columns will do
+        monkeypatch.setattr(jaccard, "SLOTS", 64)
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "CENTRES", centres)
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
     rows = list(enumerate(near_copies(seed)))
@@ -172,7 +175,45 @@ def test_a_group_of_near_copies_makes_no_pairs_of_all(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_counted", lambda pairs, *rest: seen.append(pairs.count()) or counted(pairs, *rest))
     got = jaccard.jaccard_components(documents(spark, list(enumerate(texts)))).collect()
     assert {r["component_id"] for r in got} == {0}
-    assert len(seen) == 2 and sum(seen) < 6 * len(texts)
+    assert sum(seen) < 6 * len(texts)
+
+
+def test_a_dense_block_is_multiplied_out(spark, monkeypatch):
+    """Near copies of a text that isn't there itself, most of them not similar enough to each other, but to some."""
+    rng = random.Random(8)
+    base = [f"v{k}" for k in range(200)]
+    texts = []
+    for k in range(60):
+        copy = list(base)
+        for _ in range(2):
+            copy[rng.randrange(0, 200, 9)] = f"new{k}"
+        texts.append(" ".join(copy))
+    calls = []
+    product = jaccard._block_product
+    monkeypatch.setattr(jaccard, "_block_product", lambda *a: product(*a))
+    fetched = jaccard._fetched
+    monkeypatch.setattr(jaccard, "_fetched", lambda *a: calls.append(1) or fetched(*a))
+    monkeypatch.setattr(jaccard, "CENTRES", 0)
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    rows = list(enumerate(texts))
+    assert sorted(map(tuple, jaccard.jaccard_components(documents(spark, rows)).collect()), key=repr) == joined_by_hand(rows)
+    assert len(calls) == 3  # pairs of few, pairs of blocks, and sets for the dense ones
+
+
+def test_marks_never_exclude_a_similar_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n = int(rng.choice([1, 5, 40, 127, 128, 129, 300, 1500]))
+        base = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        sets = [base]
+        for _ in range(6):
+            gone = rng.random(len(base)) < rng.choice([0, 0.02, 0.05, 0.3])
+            sets.append(np.unique(np.concatenate([base[~gone], rng.integers(-(1 << 62), 1 << 62, int(rng.choice([0, 1, n // 20, n // 3])))])))
+        may = jaccard.possible(np.array([len(s) for s in sets]), [jaccard._marks(s) for s in sets], 90)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                both = len(np.intersect1d(a, b))
+                assert may[i, j] or not len(a) or 100 * both < 90 * (len(a) + len(b) - both)
 
 
 def test_products_of_blocks():
@@ -186,13 +227,6 @@ def test_products_of_blocks():
     assert (got == hand).all()
 
 
-def test_any_order_of_columns_finds_all(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "FREQUENT", 3)
-    monkeypatch.setattr(jaccard, "SLOTS", 64)
-    rows = list(enumerate(near_copies(6)))
-    assert sorted(map(tuple, jaccard.jaccard_components(documents(spark, rows)).collect()), key=repr) == joined_by_hand(rows)
-
-
 # -- centroid clustering -------------------------------------------------------
 
 
