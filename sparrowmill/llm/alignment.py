@@ -23,7 +23,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,9 @@ BATCH_CHARS = 4 << 20
 _VISIBLE = r"[\w!-/:-@\[-`{-~]"
 _CUT = re.compile(f"(?<={_VISIBLE}) (?={_VISIBLE})")
 _WHOLE = re.compile(r"(?!)")
+_ENDS_VISIBLE = re.compile(f"{_VISIBLE}(?:.*{_VISIBLE})?", re.DOTALL)
+#: So many pieces are put together again for one call of a tokenizer.
+TOGETHER = 256
 _SPACE = "▁"
 _STORED = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<int>, times array<int>, batch long, pairs array<long>, totals array<long>"
@@ -60,10 +63,21 @@ class Tokenizers:
     a_bytes: list[bytes]
     b_bytes: list[bytes]
     cut: re.Pattern
+    #: Each id of a before a comma, then before a bar, each of b before a comma, then before a semicolon.
+    written: list[str] = field(default_factory=list)
 
-    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        first = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
-        return first, self.b.encode(pieces, num_threads=1)
+    def __post_init__(self) -> None:
+        for size, marks in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")):
+            for mark in marks:
+                self.written += [f"{i}{mark}" for i in range(size)]
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of a and b of each text with a space before it, and whether both give its bytes back."""
+        first = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        second = self.b.encode(texts, num_threads=1)
+        said = [b" " + t.encode() for t in texts]
+        right = [b"".join(map(self.a_bytes.__getitem__, x)) == w == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, w in zip(first, second, said)]
+        return first, second, right
 
 
 @functools.lru_cache(maxsize=2)
@@ -113,34 +127,58 @@ class Pieces:
     first: np.ndarray
 
 
+def _encoded(t: Tokenizers, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of a and of b for all pieces, one after another in an order of their own, that order, and which pieces came right.
+
+    Pieces with visible ends are put together by spaces, where both tokenizers part them again.
+    """
+    whole = t.cut is _WHOLE
+    joined = [] if whole else [k for k, p in enumerate(pieces) if _ENDS_VISIBLE.fullmatch(p)]
+    blocks = [joined[lo : lo + TOGETHER] for lo in range(0, len(joined), TOGETHER)]
+    ids_a, ids_b, right = t.encode([" ".join(map(pieces.__getitem__, b)) for b in blocks])
+    alone = sorted(set(range(len(pieces))) - {k for b, r in zip(blocks, right) if r for k in b})
+    more_a, more_b, fine = t.encode([pieces[k] for k in alone])
+    ids_a, ids_b = ([x for x, r in zip([*u, *v], [*right, *fine]) if r] for u, v in ((ids_a, more_a), (ids_b, more_b)))
+    order = [k for b, r in zip(blocks, right) if r for k in b] + [k for k, r in zip(alone, fine) if r]
+    came_right = np.zeros(len(pieces), bool)
+    came_right[order] = True
+    flat = lambda x: np.fromiter((i for one in x for i in one), np.int64, sum(map(len, x)))
+    return flat(ids_a), flat(ids_b), np.array(order, np.int64), came_right
+
+
 def align(t: Tokenizers, pieces: list[str]) -> Pieces:
     """Aligned pieces, each with a space before it; right: both sides' bytes are the piece's (others have nothing)."""
-    ids_a, ids_b = t.encode(pieces)
-    size = len(pieces)
-    right = np.ones(size, bool)
-    for k, piece in enumerate(pieces):
-        said = b" " + piece.encode()
-        if b"".join(map(t.a_bytes.__getitem__, ids_a[k])) != said or b"".join(map(t.b_bytes.__getitem__, ids_b[k])) != said:
-            right[k], ids_a[k], ids_b[k] = False, [], []
-    n_a, n_b = (np.fromiter(map(len, x), np.int64, size) for x in (ids_a, ids_b))
-    all_a, all_b = (np.array([i for one in x for i in one], np.int64) for x in (ids_a, ids_b))
+    all_a, all_b, order, right = _encoded(t, pieces)
+    size = len(order)
+    ends = np.cumsum(np.fromiter((len(pieces[k].encode()) + 1 for k in order.tolist()), np.int64, size))
     width_a, width_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (t.a_bytes, t.b_bytes))
-    at_a, at_b, both = merge_ends(np.cumsum(width_a[all_a]), np.cumsum(width_b[all_b]))
-    owner = np.repeat(np.arange(size), n_a)[at_a]
-    ends_group = np.flatnonzero(both)
-    last_a, last_b = np.zeros(len(all_a), bool), np.zeros(len(all_b), bool)
-    last_a[at_a[ends_group]], last_b[at_b[ends_group]] = True, True
-    words_a = [f"{i}{'|' if last else ','}" for i, last in zip(all_a.tolist(), last_a.tolist())]
-    words_b = [f"{i}{';' if last else ','}" for i, last in zip(all_b.tolist(), last_b.tolist())]
-    texts, lo_a, lo_b = [], 0, 0
-    for hi_a, hi_b in zip((at_a[ends_group] + 1).tolist(), (at_b[ends_group] + 1).tolist()):
-        texts.append("".join(words_a[lo_a:hi_a]) + "".join(words_b[lo_b:hi_b]))
-        lo_a, lo_b = hi_a, hi_b
-    n_groups = np.bincount(owner[ends_group], minlength=size)
-    upto = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
-    groups = ["".join(texts[lo:hi]) for lo, hi in zip(upto, upto[1:])]
-    first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=size))])
-    return Pieces(right, n_a, n_b, n_groups, groups, (all_a[at_a] << 32) | all_b[at_b], first)
+    ends_a, ends_b = np.cumsum(width_a[all_a]), np.cumsum(width_b[all_b])
+    at_a, at_b, both = merge_ends(ends_a, ends_b)
+    owner = np.searchsorted(ends, ends_a[at_a] if len(at_a) else ends_a)
+    last = np.flatnonzero(both)  # the last stretch of each group
+    upto_a, upto_b = (np.concatenate([[0], x[last] + 1]) for x in (at_a, at_b))
+    # Ids as they are written: group by group, a's before b's.
+    code_a, code_b = all_a.copy(), all_b + 2 * len(width_a)
+    code_a[upto_a[1:] - 1] += len(width_a)
+    code_b[upto_b[1:] - 1] += len(width_b)
+    code = np.zeros(len(all_a) + len(all_b), np.int64)
+    code[np.arange(len(all_a)) + np.repeat(upto_b[:-1], np.diff(upto_a))] = code_a
+    code[np.arange(len(all_b)) + np.repeat(upto_a[1:], np.diff(upto_b))] = code_b
+    words = list(map(t.written.__getitem__, code.tolist()))
+    n_a, n_b = np.diff(np.searchsorted(ends_a, ends, "right"), prepend=0), np.diff(np.searchsorted(ends_b, ends, "right"), prepend=0)
+    upto = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+    texts = ["".join(words[lo:hi]) for lo, hi in zip(upto, upto[1:])]
+    # Back to the pieces' own order; those that didn't come right have nothing.
+    back = np.argsort(order, kind="stable")
+    n_links = np.bincount(owner, minlength=size)
+    began = np.cumsum(n_links) - n_links
+    spread = lambda x: np.bincount(order, weights=x, minlength=len(pieces)).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(spread(n_links))])
+    place = np.repeat(began[back], n_links[back]) + np.arange(n_links.sum()) - np.repeat(np.cumsum(n_links[back]) - n_links[back], n_links[back])
+    groups = [""] * len(pieces)
+    for k, text in zip(order.tolist(), texts):
+        groups[k] = text
+    return Pieces(right, spread(n_a), spread(n_b), spread(np.bincount(owner[last], minlength=size)), groups, ((all_a[at_a] << 32) | all_b[at_b])[place], first)
 
 
 def _spread(first: np.ndarray, which: np.ndarray) -> np.ndarray:
