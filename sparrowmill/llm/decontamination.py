@@ -14,9 +14,10 @@ one of MASKS finds, every item of 5 to 11 words with as many exchanged as the ru
 allows one that SHORT_MASKS find. Items of up to 4 words are found only where they
 are the whole text.
 
-A benchmark of up to BROADCAST_BYTES of text is sent to the executors as an index. A
-larger one meets the documents in a shuffled join of distinct seeds, and only pairs
-of text and item that share one are verified.
+The benchmark is sent to the executors as an index, in blocks of about BROADCAST_BYTES of
+text. Each block meets all documents in one pass and goes before the next one is sent, so
+memory is bounded at any size and the work is that of the blocks' sizes; items don't
+depend on each other, so blocks don't show in the results.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sparrowmill.llm.token_counts import map_texts, text_slices
 from sparrowmill.llm.wordhash import Words, mix, words_of
-from sparrowmill.storage import table, written
+from sparrowmill.storage import drop_written, table, written
 
 MASKS = ("11111", "1101011", "1110111", "11010101", "1011011", "110011001")
 SHORT_MASKS = ("1111", "11011", "10111", "11101")
@@ -234,14 +235,21 @@ def _index(block) -> SeedIndex:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
+    """Items with a word, each once; others match nothing."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return rows.where(F.col("text").rlike(r"[\p{L}\p{M}\p{N}]")).distinct()
 
 
-def _sent(items: DataFrame, most: int):
-    """The items as a broadcast, or None where their texts have more than so many bytes."""
-    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > most:
-        return None
-    return items.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.collect()])
+def _blocks(items: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Items with the number of their block, and how many blocks there are."""
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    n = max(1, -(-size // most))
+    return items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), n
+
+
+def _sent(items: DataFrame, block: int):
+    rows = items.where(F.col("block") == block)
+    return items.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows.collect()])
 
 
 def _table(names: list, hits: list[tuple]) -> list[pa.Array]:
@@ -249,44 +257,28 @@ def _table(names: list, hits: list[tuple]) -> list[pa.Array]:
     return [pa.array(c, pa.int64()) for c in cols]
 
 
-def _text_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key and each different seed of its text: of an item under the masks of its length, of a document under all."""
-    for batch in text_slices(batches):
-        words = _words(batch.column("text").to_pylist())
-        n, owner = np.diff(words.first), words.owner()
-        item = np.asarray(batch.column("item").to_pylist(), bool)
-        text, seed = [np.flatnonzero(_whole(words))], [_whole(words)[_whole(words) > 0]]
-        for (masks, salt), own in zip(_GROUPS, (n >= LONG, (n >= SHORT) & (n < LONG))):
-            s, place = _seeds(words, own | ~item, masks, salt)
-            text.append(owner[place])
-            seed.append(s)
-        pairs = np.unique(np.stack([np.concatenate(text).astype(np.uint64), np.concatenate(seed)]), axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(pairs[0].astype(np.int64))), pa.array(pairs[1].view(np.int64))], ["key", "seed"])
+def _found(rows: DataFrame, sent) -> DataFrame:
+    """The overlaps of rows (doc_id, text) with the items of a block."""
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(sent)
+        for batch in text_slices(batches):
+            hits = index.search(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(_table(batch.column("doc_id").to_pylist(), hits), _NAMES)
 
-def _pairs(rows: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """key (of a text), item_key of all that share a seed, and the items with item_key; both stored."""
-    items = written(items.withColumn("item_key", F.monotonically_increasing_id().cast("string")), "items")
-    seeds = lambda df, key, item: map_texts(df.select(F.col(key).alias("key"), "text", F.lit(item).alias("item")), _text_seeds, "key string, seed long")
-    of_items = written(seeds(items, "item_key", True).withColumnRenamed("key", "item_key"), "item-seeds")
-    met = seeds(rows, "key", False).join(of_items, "seed").select("key", "item_key").distinct()
-    return written(met, "pairs"), items
+    return map_texts(rows, find, SCHEMA)
 
 
-def _verified(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """The overlaps of rows (doc_id, key, text) with items, found by a join of seeds, and their key."""
-    met, items = _pairs(rows, items)
+def _without(documents: DataFrame, sent) -> DataFrame:
+    """documents less those that hold an item of a block."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(sent)
         for batch in text_slices(batches):
-            hits = []
-            for k, (text, item_id, item) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "item_id", "item")))):
-                hits += [(k, *rest) for _, *rest in SeedIndex([(item_id, item)]).search([text])]
-            key = batch.column("key").take(pa.array([k for k, *_ in hits], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*_table(batch.column("doc_id").to_pylist(), hits), key], [*_NAMES, "key"])
+            holds = {t for t, *_ in index.search(batch.column("text").to_pylist())}
+            yield batch.filter(pa.array([k not in holds for k in range(batch.num_rows)], pa.bool_()))
 
-    both = rows.join(met, "key").join(items.select("item_key", "item_id", F.col("text").alias("item")), "item_key")
-    return map_texts(both.select("doc_id", "key", "text", "item_id", "item"), verify, SCHEMA + ", key string")
+    return map_texts(documents, keep, documents.schema)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -297,39 +289,32 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_bytes: in
     with a null doc_id are reported with a null, and so are items with a null
     item_id, each text of them as an item of its own. Other columns aren't read.
     """
-    items = _items(benchmark)
-    sent = _sent(items, broadcast_bytes)
+    items, n = _blocks(_items(benchmark), broadcast_bytes)
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if sent is None:
-        return _verified(rows.withColumn("key", F.md5(F.coalesce("text", F.lit("")))), items).drop("key")
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(sent)
-        for batch in text_slices(batches):
-            hits = index.search(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(_table(batch.column("doc_id").to_pylist(), hits), _NAMES)
-
-    return map_texts(rows, find, SCHEMA)
+    if n == 1:
+        return _found(rows, _sent(items, 0))
+    items, out = written(items, "items"), None
+    for block in range(n):
+        sent = _sent(items, block)
+        part = written(_found(rows, sent), "overlaps")
+        sent.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """documents less those that hold an item, all columns as they are; null and empty texts stay."""
-    items = _items(benchmark)
-    sent = _sent(items, broadcast_bytes)
-    if sent is None:
-        key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-        boxed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), key.alias("key"))
-        keyed = boxed.select(F.lit(0).cast("long").alias("doc_id"), "key", F.col("row.text").cast("string").alias("text"))
-        gone = _verified(keyed, items).select("key").distinct()
-        return boxed.join(gone, "key", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(sent)
-        for batch in text_slices(batches):
-            holds = {t for t, *_ in index.search(batch.column("text").to_pylist())}
-            yield batch.filter(pa.array([k not in holds for k in range(batch.num_rows)], pa.bool_()))
-
-    return map_texts(documents, keep, documents.schema)
+    items, n = _blocks(_items(benchmark), broadcast_bytes)
+    if n == 1:
+        return _without(documents, _sent(items, 0))
+    items, left = written(items, "items"), documents
+    for block in range(n):
+        sent, before = _sent(items, block), left
+        left = written(_without(before, sent), "clean")
+        sent.destroy()
+        if block:
+            drop_written(before)
+    return left
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

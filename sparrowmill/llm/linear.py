@@ -40,10 +40,9 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, allowed:
     sizes = stored.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("h")).collect()
     total, kept = 0, []
     for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
-        total += r["n"]
-        if total > most_bytes:
-            break
-        kept.append(r["doc_id"])
+        if total + r["n"] <= most_bytes:  # one that doesn't fit is passed over
+            total += r["n"]
+            kept.append(r["doc_id"])
     return stored if len(kept) == len(sizes) else stored.where(F.col("doc_id").isin(kept))
 
 
