@@ -1,9 +1,9 @@
 """Quality rules: counts within a document, and how often its lines occur across documents.
 
 A line is hashed after lower-casing and closing up white space. For each host
-(the column source) the distinct texts that hold a line are counted; copies of
-one text count once. Lines found in more than max_texts of a host are removed,
-and a document of whose words less than min_left_percent stay is rejected.
+(the column source) the distinct documents that hold a line are counted. Lines
+found in more than max_documents of a host are removed, and a document of
+whose words less than min_left_percent stay is rejected.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from sparrowmill.llm.token_counts import map_texts, text_slices
 from sparrowmill.llm.wordhash import mix, windows, words_of
 from sparrowmill.storage import drop_written, table, written
 
-MAX_TEXTS = 50
+MAX_DOCUMENTS = 50
 MIN_LEFT_PERCENT = 30
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -94,21 +94,25 @@ def text_measures(documents: DataFrame) -> DataFrame:
     return map_texts(rows, measure, f"doc_id long, host string, text_key binary, {counts}, lines array<struct<line long, words long>>")
 
 
-def quality_rules(documents: DataFrame, max_texts: int = MAX_TEXTS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
+def quality_rules(documents: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
     """doc_id, the five counts, base_failed, kept, one row for each input row; also words_removed.
 
     Null texts count as empty and fail (no 20 words); a null source is the host "".
-    Repeated rows get the same verdict each and count as one text. Other columns
-    aren't read; an empty table gives no rows.
+    Repeated rows (equal doc_id and text) get the same verdict each and count as one
+    document; null ids count as one id. Other columns aren't read; an empty table gives no rows.
     """
     measured = written(text_measures(documents), "measures")
     lines = measured.select("host", "text_key", F.explode("lines").alias("x")).groupBy("host", "text_key", F.col("x.line").alias("line")).agg(F.min("x.words").alias("words"))
     lines = written(lines, "lines")
-    common = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_texts).select("host", "line")
+    documents_of = measured.select("host", "text_key", "doc_id").distinct().groupBy("host", "text_key").agg(F.count(F.lit(1)).alias("documents"))
+    documents_of = written(documents_of, "documents_of")
+    held = lines.join(documents_of, ["host", "text_key"]).groupBy("host", "line").agg(F.sum("documents").alias("n"))
+    common = held.where(F.col("n") > max_documents).select("host", "line")
     common = written(common, "common")  # stored, as a join can split a hot line or text only if no aggregate stands on its side
     gone = written(lines.join(common, ["host", "line"]).groupBy("host", "text_key").agg(F.sum("words").alias("words_removed")), "gone")
     drop_written(lines)
     drop_written(common)
+    drop_written(documents_of)
     judged = measured.drop("lines").join(gone, ["host", "text_key"], "left")
     removed = F.coalesce("words_removed", F.lit(0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -120,7 +124,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-#: max_texts and min_left_percent as above; lines by their normalised text.
+#: max_documents and min_left_percent as above; lines by their normalised text.
 ORACLE = f"""
 with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as text from documents),
 w as (select doc_id, host, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from d),
@@ -131,7 +135,7 @@ lines as (select doc_id, host, text, i, line, array_to_string(list_filter(regexp
   from (select doc_id, host, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from d)),
 worded as (select *, len(string_split(norm, ' '))::bigint as words from lines where norm <> ''),
 dups as (select doc_id, count(*) - count(distinct line) as n_dup_lines from worded group by doc_id),
-common as (select host, norm from worded group by host, norm having count(distinct text) > {MAX_TEXTS}),
+common as (select host, norm from worded group by host, norm having count(distinct (doc_id, text)) > {MAX_DOCUMENTS}),
 gone as (select doc_id, sum(words)::bigint as words_removed from worded join common using (host, norm) group by doc_id),
 win as (select doc_id, i, array_to_string(words[i:i + 7], ' ') as t from (select doc_id, words, unnest(range(1, n_words - 6)) as i from base where n_words >= 8)),
 rep as (select doc_id, t from win group by doc_id, t having count(*) > 1),
