@@ -195,14 +195,14 @@ def copies(documents: DataFrame) -> DataFrame:
     differ = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     differ = stored(differ, "differ")
     wanted = again.where(~later).join(differ, "anchor", "left_semi")
-    wanted = wanted.groupBy("doc", mark).agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))
+    wanted = wanted.groupBy("doc", mark).agg(F.collect_set(F.struct("anchor", "place")).alias("wanted"))  # a set: equal rows need what one of them needs
     checked = texts.select("doc", "mark", "text").join(wanted, ["doc", "mark"]).mapInArrow(_windows, "anchor long, window long, doc long, start long, mark long")
     checked = stored(checked, "windows")
     least = checked.groupBy("anchor", "window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     least = stored(least, "least")
     ends = checked.join(least, ["anchor", "window"]).where((F.col("doc") > F.col("first.doc")) | (F.col("start") > F.col("first.start")))
     both = copied.unionByName(ends.select("doc", "mark", "start", F.lit(1).cast("long").alias("count"), F.col("first.doc").alias("from_doc"), F.col("first.start").alias("from_start")))
-    out = written(both.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "count", "from_doc", "from_start")).alias("copies")), "copies")
+    out = written(both.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "count", "from_doc", "from_start")).alias("copies")), "copies")
     for t in made:
         drop_written(t)
     return out

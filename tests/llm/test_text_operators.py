@@ -56,6 +56,19 @@ def test_substring_dedup_with_odd_ids(spark):
     assert substring_dedup.substring_dedup(documents(spark, [])).count() == 0
 
 
+def test_many_equal_rows_cost_what_they_are(spark):
+    """The lists of copies are those of one row, however many rows are equal."""
+    import time
+
+    text = " ".join(f"w{k}" for k in range(2000))
+    rows = documents(spark, [(1, text, None)]).union(spark.range(5000).select(F.lit(None).cast("long"), F.lit(text), *[F.lit(None)] * 3, *[F.lit("clash")] * 2, F.lit(5), F.lit(1)))
+    began = time.time()
+    got = substring_dedup.substring_dedup(rows).groupBy("doc_id", "n_removed").count().collect()
+    assert {(r["doc_id"], r["n_removed"], r["count"]) for r in got} == {(1, 0, 1), (None, 2000, 5000)}
+    assert time.time() - began < 120
+    assert substring_dedup.copies(rows).select(F.max(F.size("copies"))).first()[0] < 2000
+
+
 def longest_by_hand(w, i, earlier):
     """The most words from word i on that stand anywhere in the texts before, or earlier in the same one."""
     best = 0
@@ -203,11 +216,13 @@ def test_lines_common_on_a_host_go(spark):
     own = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
     menu = " ".join(f"menu{j}" for j in range(80))
     rows = [(k, f"{own(k)}\n{menu.upper() if k % 2 else menu}", "h") for k in range(6)] + [(10, menu + "\n" + own(9), "other"), (11, None, None), (12, own(12), "h"), (12, own(12), "h"), (13, "", "h")]
-    got = {r["doc_id"]: (r["words_removed"], r["kept"]) for r in quality_rules.quality_rules(documents(spark, rows), max_texts=5).collect()}
+    got = {r["doc_id"]: (r["words_removed"], r["kept"]) for r in quality_rules.quality_rules(documents(spark, rows), max_documents=5).collect()}
     assert all(got[k] == (80, False) for k in range(6)) and got[10] == (0, True) and got[11] == (0, False) and got[12] == (0, True) and got[13] == (0, False)
-    assert all(r["kept"] for r in quality_rules.quality_rules(documents(spark, rows[:6]), max_texts=6).collect())
+    assert all(r["kept"] for r in quality_rules.quality_rules(documents(spark, rows[:6]), max_documents=6).collect())
     copies = documents(spark, [(k, rows[0][1], "h") for k in range(20)])
-    assert all(r["words_removed"] == 0 for r in quality_rules.quality_rules(copies, max_texts=5).collect())
+    assert all(r["words_removed"] == 110 for r in quality_rules.quality_rules(copies, max_documents=5).collect())
+    repeated = documents(spark, [(4, rows[0][1], "h")] * 20 + [(None, rows[0][1], "h")] * 20)
+    assert all(r["words_removed"] == 0 for r in quality_rules.quality_rules(repeated, max_documents=5).collect())
     assert quality_rules.quality_rules(documents(spark, [])).count() == 0
 
 
@@ -261,7 +276,7 @@ def test_masks_find_what_short_items_allow(n):
         assert any(not {p + o for o in decontamination._offsets(m)} & set(gone) for m in masks for p in range(n - len(m) + 1))
 
 
-@pytest.mark.parametrize("most", [1_000_000, 0])
+@pytest.mark.parametrize("most", [1_000_000, 700])
 def test_decontamination(spark, most):
     rng = random.Random(9)
     text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n))
@@ -283,6 +298,21 @@ def test_decontamination(spark, most):
     assert decontamination.contaminated(documents(spark, []), bench, most).count() == 0
 
 
+def test_a_large_benchmark_goes_in_blocks(spark):
+    """A phrase that all items and documents share forms no pairs of them; items without a word are never sent."""
+    rng = random.Random(2)
+    phrase = "a phrase of nine words that all of them"
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items = [(k, f"{text(20)} {phrase} {text(15)}") for k in range(400)] + [(1000 + k, "...") for k in range(500)]
+    rows = [(k, f"{text(30)} {phrase} {text(30)}", None) for k in range(400)] + [(1000 + k, f"{text(9)} {items[k][1]}", None) for k in range(0, 400, 20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    alone = decontamination.contaminated(documents(spark, rows), bench).collect()
+    parted = decontamination.contaminated(documents(spark, rows), bench, 20000).collect()
+    assert sorted(alone) == sorted(parted) and {(r["doc_id"] - 1000, r["item_id"]) for r in parted} == {(k, k) for k in range(0, 400, 20)}
+    assert decontamination._blocks(decontamination._items(bench), 20000)[1] > 3 and decontamination._items(bench).count() == 400
+    assert decontamination.clean_documents(documents(spark, rows), bench, 20000).count() == 400
+
+
 def overlaps_by_hand(doc, item):
     """For each shift with a stretch within the rule the most equal words of one."""
     least = min(12, -(-4 * len(item) // 5))
