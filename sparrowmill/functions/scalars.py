@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparrowmill.functions import dates
 from sparrowmill.functions import lookups as L
 
 
@@ -35,37 +36,15 @@ def parse_number(value: Column) -> Column:
     return F.regexp_replace(F.trim(value), ",", "")
 
 
-def date_shape(fmt: str) -> str:
-    """A pattern for texts of the shape of a date format: what doesn't fit it can't be such a date."""
-    parts = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]{3,}", "MMM": "[A-Za-z]{3}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
-    return "^" + re.sub("yyyy|yy|MMMM|MMM|HH|mm|ss|M|d", lambda m: parts[m[0]], fmt) + "$"
-
-
-def _first_date(text: Column, formats: tuple[str, ...]) -> Column:
-    """The date under the first format that fits. A text is parsed only under formats of its own shape, as each vain attempt is dear."""
-    tries = []
-    for fmt in formats:
-        parsed = F.try_to_date(text, fmt)
-        if fmt.endswith("yy") and not fmt.endswith("yyyy"):
-            parsed = F.when(F.year(parsed) >= 2069, F.add_months(parsed, -1200)).otherwise(parsed)
-        tries.append(F.when(text.rlike(date_shape(fmt)), parsed))
-    return F.coalesce(*tries)
-
-
 def parse_date(raw: Column) -> Column:
-    """The date under the first of DATE_FORMATS that fits; two-digit years from 69 on are of the last century."""
-    return _first_date(F.trim(raw), L.DATE_FORMATS)
+    """The date under the one of DATE_FORMATS that fits; two-digit years from 69 on are of the last century."""
+    return dates.parse_date(raw)
 
 
 def parse_date_loosely(raw: Column) -> Column:
-    """A struct of day and ambiguous: as parse_date, else under LOOSE_DATE_FORMATS, when ambiguous is true.
-
-    A weekday before and a zone after such a date are passed over.
-    """
-    strict = parse_date(raw)
-    bare = F.regexp_replace(F.trim(raw), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+|\s+(GMT|UTC|[A-Z]{3}|[+-]\d{4})$", "")
-    loose = _first_date(bare, L.LOOSE_DATE_FORMATS)
-    return F.struct(F.coalesce(strict, loose).alias("day"), F.when(strict.isNotNull(), date_is_ambiguous(raw)).otherwise(loose.isNotNull()).alias("ambiguous"))
+    """A struct of day and ambiguous: as parse_date, else as a general reader takes it, when ambiguous is true."""
+    strict, loose = dates.parse_date(raw), dates.parse_date_loosely(raw)
+    return F.struct(F.coalesce(strict, loose).alias("day"), F.when(strict.isNotNull(), date_is_ambiguous(raw)).otherwise(F.when(loose.isNotNull(), True).otherwise(date_is_ambiguous(raw))).alias("ambiguous"))
 
 
 def date_is_ambiguous(raw: Column) -> Column:
@@ -136,6 +115,11 @@ def quarter_season(label: Column) -> Column:
     return F.right(label, F.lit(1)).cast("int")
 
 
+def fail_rate(failed: Column, tests: Column) -> Column:
+    """The share of failures, four decimals."""
+    return F.round(failed.cast("decimal(18,0)") / tests.cast("decimal(18,0)"), 4)
+
+
 def dedup_hash(day: Column, lab: Column, commodity: Column, contaminant: Column, ppb: Column, district: Column) -> Column:
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     value = F.coalesce(ppb, F.lit(0.0)).cast("decimal(38,3)")
@@ -149,6 +133,13 @@ def confidence(tier1: Column, in_range: Column, ocr: Column, manual: Column) ->
     return F.greatest(F.lit(0).cast("decimal(4,3)"), F.least(F.lit(1).cast("decimal(4,3)"), total.cast("decimal(4,3)")))
 
 
+def confidence_parts(tier1: Column, in_range: Column, ocr: Column, manual: Column) -> Column:
+    """A map of what makes up a confidence: the base and each part that applies."""
+    applies = {"base": F.lit(True), "manual": manual, "tier1": tier1, "range": in_range, "low_ocr": ocr < L.OCR_LEAST}
+    whole = F.create_map(*[x for name, condition in applies.items() for x in (F.lit(name), F.when(condition, F.lit(L.CONFIDENCE[name])))])
+    return F.map_filter(whole, lambda _, v: v.isNotNull())
+
+
 def sort_tokens(text: Column) -> Column:
     """Lower-cased words in order, joined by a space."""
     return F.array_join(F.array_sort(F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: w != "")), " ")
@@ -180,12 +171,16 @@ def similarity(a: Column, b: Column) -> Column:
 
 def field_patterns() -> dict[str, str]:
     """Patterns of fields in running text, made of the vocabularies; the first group is the field, of a value the second its unit."""
-    flexible = lambda words: "|".join(re.sub(r"[\\ -]+", lambda _: r"[\s-]*", re.escape(w)) for w in sorted(set(words), key=lambda w: (-len(w), w)))
-    names = [n for n in L.CONTAMINANT_ALIASES if len(n) > 3 and n.isascii() and "(" not in n]
-    dates = sorted({date_shape(f)[1:-1].replace("[A-Za-z]{3,}", f"(?:{'|'.join(L.MONTHS)})").replace("[A-Za-z]{3}", f"(?:{'|'.join(m[:3] for m in L.MONTHS)})") for f in L.DATE_FORMATS}, key=lambda p: (-len(p), p))
+    flexible = lambda words: "|".join(r"[\s-]*".join(map(re.escape, re.split("[ -]", w))) for w in sorted(set(words), key=lambda w: (-len(w), w)))
+    # A toxin's letter and number belong to its name.
+    suffix = {"aflatoxin": r"(?:[\s-]?[bg][12]?|[\s-]?[12])?", "ochratoxin": r"[\s-]?a"}
+    findings = "|".join(flexible([w]) + suffix.get(w, "") for w in sorted(L.FINDING_WORDS, key=lambda w: (-len(w), w)))
+    stems = "|".join(m[:3] for m in L.MONTHS)
+    digits = lambda *sizes: "[/-]".join(rf"\d{{{n}}}" for n in sizes)
+    dates = [digits("1,2", "1,2", "2,4"), digits("4", "2", "2"), rf"(?:{stems})[a-z]*[\s,]+\d{{4}}"]
     units = "|".join(re.escape(u) for u in sorted(L.UNIT_TO_PPB, key=len, reverse=True))
     return {
-        "contaminant": rf"\b({flexible([*names, *L.FINDING_WORDS])})",
+        "contaminant": rf"({findings})",
         "value_unit": rf"(\d+(?:\.\d+)?)\s*({units})",
         "pass_fail": rf"\b({flexible(L.VERDICT_WORDS)})\b",
         "date": rf"\b({'|'.join(dates)})\b",

@@ -35,8 +35,9 @@ def without_confidence(records: DataFrame, disputes: DataFrame) -> DataFrame:
     return records.join(removed, "record_id", "left").withColumn("confidence_score", score).drop("_removed").select(*records.columns)
 
 
-def audit(submissions: DataFrame, reviews: DataFrame) -> DataFrame:
-    """at, action, dispute_id, metadata (JSON) of each submission and valid review."""
+def audit(submissions: DataFrame, reviews: DataFrame, brands: DataFrame) -> DataFrame:
+    """at, action, dispute_id, metadata (JSON) of each submission for a known brand and each valid review of one; others are refused before anything is written."""
+    submissions = submissions.join(brands.select("brand_id"), "brand_id", "left_semi")
     sent = submissions.select("at", F.lit("dispute_submitted").alias("action"), "dispute_id", F.to_json(F.struct("dispute_id", "brand_id")).alias("metadata"))
     valid = reviews.where(F.col("outcome").isin(*OUTCOMES)).join(submissions.select("dispute_id"), "dispute_id", "left_semi")
     return sent.unionByName(valid.select("at", F.lit("dispute_reviewed").alias("action"), "dispute_id", F.to_json(F.struct("dispute_id", "outcome")).alias("metadata")))

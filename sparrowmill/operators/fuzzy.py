@@ -6,25 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowmill.functions import scalars as S
+from sparrowmill.operators.similar import similar
 
 
 def canonicalise(rows: DataFrame, column: str, aliases: DataFrame, least: float) -> DataFrame:
     """rows with canonical and score (0 to 100; both null below least).
 
     aliases: rank, alias, canonical. Names are made distinct before anything is
-    compared. Exact ones (trimmed, lower-cased) are joined; only the rest meet all
-    aliases, a dictionary that is small beside the names. Ties go to the lower rank.
+    compared. Exact ones (trimmed, lower-cased) are joined; the rest meet the aliases
+    over an index of letter pairs (see similar). Ties go to the lower rank.
     """
     key = F.lower(F.trim(F.col(column)))
     names = rows.select(key.alias("_key")).where("_key is not null").distinct()
     exact = names.join(aliases.select(F.col("alias").alias("_key"), "canonical"), "_key").select("_key", "canonical", F.lit(100.0).alias("score"))
     open_ = names.join(aliases.select(F.col("alias").alias("_key")), "_key", "left_anti").withColumn("_sorted", S.sort_tokens(F.col("_key")))
-    letters = F.array_distinct(F.filter(F.split("_sorted", ""), lambda c: c != ""))
     ready = aliases.select("rank", "canonical", S.sort_tokens(F.col("alias")).alias("_alias"))
-    # lengths alone bound the similarity, so most pairs are never compared letter by letter
-    lo, hi = F.length("_sorted"), F.length("_alias")
-    near = 200.0 * F.least(lo, hi) / (lo + hi) >= least
-    scored = open_.join(ready, near & (F.size(letters) > 0)).select("_key", "canonical", "rank", S.similarity(F.col("_sorted"), F.col("_alias")).alias("score")).where(F.col("score") >= least)
-    best = scored.groupBy("_key").agg(F.max(F.struct("score", (-F.col("rank")).alias("r"), "canonical")).alias("b"))
+    pairs = similar(open_.select(F.col("_sorted").alias("a")), ready.select(F.col("_alias").alias("b")), least)
+    scored = open_.join(pairs, F.col("_sorted") == F.col("a")).join(ready, F.col("b") == F.col("_alias")).select("_key", "canonical", "rank", "score")
+    best = scored.groupBy("_key").agg(F.min(F.struct((-F.col("score")).alias("s"), "rank", "canonical", "score")).alias("b"))
     found = exact.unionByName(best.select("_key", "b.canonical", "b.score"))
     return rows.withColumn("_key", key).join(found, "_key", "left").drop("_key")

@@ -71,14 +71,22 @@ def brand_estimates(estimates: DataFrame) -> DataFrame:
     return estimates.select("node", "estimate", "confidence", kind.alias("inference_type"), label.alias("label"))
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, cap: float = 0.60) -> DataFrame:
-    """node, estimate, confidence, source (measured, propagated or none).
+#: The most that a node's own tests weigh against its predecessors, what each test adds to that, and to the confidence.
+OWN_MOST, OWN_EACH, SURE_EACH = 0.30, 0.03, 0.05
+
+
+def propagate(nodes: DataFrame, edges: DataFrame, cap: float = 0.60, blend: bool = False) -> DataFrame:
+    """node, estimate, confidence, source (measured, propagated, mixed or none).
 
     nodes: node, measured (mean, null if none), n_tests. A measured node keeps its
     mean with confidence min(0.90, cap + 0.03 * min(10, n)). Others take the mean of
     their predecessors' estimate times retention, weighed by confidence times link
     confidence, and the mean of those weights, at most cap. With a cycle anywhere
     no node gets an estimate.
+
+    blend: a measured node with estimated predecessors is mixed: its own mean weighs
+    min(OWN_MOST, OWN_EACH * n), their mean the rest, and its confidence is theirs
+    plus SURE_EACH * n, at most 0.90.
     """
     level = written(levels(nodes, edges), "levels")
     sure = (F.col("n_tests") > 0) & F.col("measured").isNotNull()
@@ -99,8 +107,17 @@ def propagate(nodes: DataFrame, edges: DataFrame, cap: float = 0.60) -> DataFram
             into = edges.join(before, "source").groupBy(F.col("target").alias("node")).agg(
                 F.sum(F.col("estimate") * F.col("retention") * weight).alias("pull"), F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("k")
             )
-            open_ = own.where(F.coalesce(~sure, F.lit(True))).select("node").join(into, "node", "left")
             has = F.coalesce(F.col("weight") > 0, F.lit(False))
+            if blend:
+                met = own.where(sure).select("node", "measured", "n_tests", belief.alias("belief")).join(into, "node", "left")
+                share = F.least(F.lit(OWN_MOST), OWN_EACH * F.col("n_tests"))
+                measured = met.select(
+                    "node",
+                    F.when(has, (1 - share) * F.col("pull") / F.col("weight") + share * F.col("measured")).otherwise(F.col("measured")).alias("estimate"),
+                    F.when(has, F.least(F.lit(0.90), F.col("weight") / F.col("k") + SURE_EACH * F.col("n_tests"))).otherwise(F.col("belief")).alias("confidence"),
+                    F.when(has, F.lit("mixed")).otherwise(F.lit("measured")).alias("source"),
+                )
+            open_ = own.where(F.coalesce(~sure, F.lit(True))).select("node").join(into, "node", "left")
             rest = open_.select(
                 "node",
                 F.when(has, F.col("pull") / F.col("weight")).alias("estimate"),

@@ -2,38 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sparrowmill.functions import lookups as L
 from sparrowmill.functions import scalars as S
-from sparrowmill.operators import fuzzy
+from sparrowmill.operators import fuzzy, places
 
 RAW = ("product_name", "contaminant", "value", "unit", "date", "state", "district", "lab", "pass_fail")
 
 
-def standardise(rows: DataFrame, aliases: DataFrame, limits: DataFrame, keep: list[str]) -> DataFrame:
+def standardise(rows: DataFrame, aliases: DataFrame, limits: DataFrame, keep: list[str], districts: DataFrame | None = None) -> DataFrame:
     """keep and the standard fields of rows, which have the columns RAW as text.
 
-    aliases: rank, alias, canonical. limits: contaminant, limit_ppb. Fields that
-    can't be read are null and named in errors.
+    aliases: rank, alias, canonical (see places.alias_dictionary). limits: contaminant, limit_ppb. districts: see
+    places.resolve_districts; without it districts are only trimmed. Dates in no listed format are read loosely and
+    count as ambiguous. Fields that can't be read are null and named in errors; a district that isn't found keeps its text.
     """
     named = fuzzy.canonicalise(rows, "contaminant", aliases, 80.0)
     known = named.join(limits.select(F.col("contaminant").alias("canonical"), "limit_ppb"), "canonical", "left")
-    ppb, day = S.unit_to_ppb(F.col("value"), F.col("unit")), S.parse_date(F.col("date"))
+    ppb, day = S.unit_to_ppb(F.col("value"), F.col("unit")), S.parse_date_loosely(F.col("date"))
     filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    read = known.withColumns({"_ppb": ppb, "_day": day, "_state": S.canonical_state(F.col("state"))})
     errors = F.array_compact(
         F.array(
             F.when(filled(F.col("contaminant")) & F.col("canonical").isNull(), F.lit("contaminant")),
-            F.when(filled(F.col("value")) & ppb.isNull(), F.lit("unit")),
-            F.when(filled(F.col("date")) & day.isNull(), F.lit("date")),
+            F.when(filled(F.col("value")) & F.col("_ppb").isNull(), F.lit("unit")),
+            F.when(filled(F.col("date")) & F.col("_day.day").isNull(), F.lit("date")),
         )
     )
-    return known.select(
-        *keep, F.lower(F.trim("product_name")).alias("commodity"), F.col("canonical").alias("contaminant"), F.col("score").alias("match_score"), ppb.alias("ppb"), "limit_ppb",
-        S.infer_pass_fail(S.normalise_pass_fail(F.col("pass_fail")), ppb, F.col("limit_ppb")).alias("pass_fail"), day.alias("test_date"), S.date_is_ambiguous(F.col("date")).alias("date_ambiguous"),
-        S.canonical_state(F.col("state")).alias("state"), F.trim("district").alias("district"), F.trim("lab").alias("lab"), errors.alias("errors"),
+    out = read.select(
+        *keep, F.lower(F.trim("product_name")).alias("commodity"), F.col("canonical").alias("contaminant"), F.col("score").alias("match_score"), F.col("_ppb").alias("ppb"), "limit_ppb",
+        S.infer_pass_fail(S.normalise_pass_fail(F.col("pass_fail")), F.col("_ppb"), F.col("limit_ppb")).alias("pass_fail"), F.col("_day.day").alias("test_date"), F.col("_day.ambiguous").alias("date_ambiguous"),
+        F.col("_state").alias("state"), F.trim("district").alias("district"), F.trim("lab").alias("lab"), errors.alias("errors"),
     )
+    if districts is None:
+        return out
+    found = places.resolve_districts(out, districts)
+    return found.select(*[F.col("district_name").alias("district") if c == "district" else c for c in out.columns], "district_id")
 
 
 def flag_duplicates(rows: DataFrame, history: DataFrame, order: list[str]) -> DataFrame:
@@ -46,27 +52,47 @@ def flag_duplicates(rows: DataFrame, history: DataFrame, order: list[str]) -> Da
     return flagged.drop("_seen")
 
 
-def score(rows: DataFrame, ocr: Column, manual: Column) -> DataFrame:
-    """rows with category, confidence and is_usable; the ranges are a dozen rows."""
+def lab_tiers(names: DataFrame, labs: DataFrame | None) -> DataFrame:
+    """name, tier of each different name: 1 by a keyword in it, else the tier of the laboratory (lab_id, lab_name, tier) with the lowest id whose name contains it."""
+    distinct = names.select("name").where(F.trim("name") != "").distinct().withColumn("_word", S.lab_tier(F.col("name")))
+    if labs is None:
+        return distinct.select("name", F.col("_word").alias("tier"))
+    found = labs_by_name(distinct.where("_word is null"), labs).join(labs.select("lab_id", F.col("tier").alias("_table")), "lab_id").select(F.col("name").alias("_n"), "_table")
+    return distinct.join(found, F.col("name") == F.col("_n"), "left").select("name", F.coalesce("_word", "_table").alias("tier"))
+
+
+def score(rows: DataFrame, ocr: Column, manual: Column, commodities: DataFrame | None = None, labs: DataFrame | None = None) -> DataFrame:
+    """rows with category, confidence, breakdown (what each part adds) and is_usable; the ranges are a dozen rows.
+
+    commodities (id, name, category, aliases) and labs (lab_id, lab_name, tier) are asked where words in a name decide nothing.
+    """
     spark = rows.sparkSession
     ranges = spark.createDataFrame([(c, g, lo, hi) for (c, g), (lo, hi) in L.TYPICAL_RANGES.items()], "contaminant string, category string, lo double, hi double")
-    known = rows.withColumn("category", S.commodity_category(F.col("commodity"))).join(ranges, ["contaminant", "category"], "left")
+    if commodities is None:
+        named = rows.withColumn("category", S.commodity_category(F.col("commodity")))
+    else:
+        found = places.categories_by_table(rows.select(F.col("commodity").alias("name")).distinct(), commodities)
+        named = rows.join(found.withColumnRenamed("name", "commodity"), "commodity", "left").select(*rows.columns, "category")
+    tiers = lab_tiers(rows.select(F.col("lab").alias("name")), labs)
+    known = named.join(ranges, ["contaminant", "category"], "left").join(tiers.select(F.col("name").alias("_lab"), "tier"), F.col("lab") == F.col("_lab"), "left")
     inside = F.coalesce(F.col("ppb").between(F.col("lo"), F.col("hi")), F.lit(False))
-    tier1 = F.coalesce(S.lab_tier(F.col("lab")) == 1, F.lit(False))
-    value = S.confidence(tier1, inside, ocr, manual)
-    return known.withColumn("confidence", value).withColumn("is_usable", value >= L.USABLE).drop("lo", "hi")
+    parts = (F.coalesce(F.col("tier") == 1, F.lit(False)), inside, ocr, manual)
+    value = S.confidence(*parts)
+    out = known.withColumn("confidence", value).withColumn("breakdown", S.confidence_parts(*parts)).withColumn("is_usable", value >= L.USABLE)
+    return out.select(*rows.columns, "category", "confidence", "breakdown", "is_usable")
 
 
 def append_facts(rows: DataFrame, path: str, as_of: str) -> tuple[int, int]:
     """Append rows with commodity, contaminant and value to the table at path, by year; the rest is skipped. Returns both counts.
 
-    A missing date is as_of. One job writes all, so a failed run leaves nothing.
+    A missing date is as_of. One job writes all and counts on the way, so a failed run leaves nothing.
     """
     ready = rows.withColumn("test_date", F.coalesce("test_date", F.lit(as_of).cast("date"))).withColumn("test_year", F.year("test_date"))
     good = F.col("commodity").isNotNull() & F.col("contaminant").isNotNull() & F.col("ppb").isNotNull()
-    counts = rows.agg(F.count_if(good).alias("in"), F.count_if(~good).alias("out")).first()
-    ready.where(good).write.mode("append").partitionBy("test_year").parquet(path)
-    return counts["in"], counts["out"]
+    counts = Observation()
+    counted = ready.observe(counts, F.count_if(good).alias("kept"), F.count_if(~good).alias("skipped"))
+    counted.where(good).write.mode("append").partitionBy("test_year").parquet(path)
+    return counts.get["kept"], counts.get["skipped"]
 
 
 def facts_since(table: DataFrame, day: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowmill.functions import scalars as S
+from sparrowmill.operators.similar import similar
 
 
 def resolve_districts(rows: DataFrame, districts: DataFrame, least: float = 75.0) -> DataFrame:
@@ -15,7 +16,8 @@ def resolve_districts(rows: DataFrame, districts: DataFrame, least: float = 75.0
     lower-cased, match exactly first (score 100; of several the highest id), then
     by token-sorted similarity of at least least (the highest, then the lowest id),
     each within the row's state where it has one. Names that match nothing keep their
-    text and get no id. Distinct names meet the dimension of districts, not facts.
+    text and get no id. Distinct names meet the dimension of districts, not facts,
+    over an index of letter pairs (see similar).
     """
     key, state = F.lower(F.trim("district")), F.trim("state")
     variants = districts.select("id", F.col("name").alias("_name"), F.col("state").alias("_in"), F.explode(F.concat(F.array("name"), F.coalesce("alternate_names", F.expr("cast(array() as array<string>)")))).alias("_variant"))
@@ -27,9 +29,9 @@ def resolve_districts(rows: DataFrame, districts: DataFrame, least: float = 75.0
     known = exact.select(F.col("_key").alias("k"), F.col("_state").alias("s"))
     rest = names.join(known, (F.col("_key") == F.col("k")) & F.col("_state").eqNullSafe(F.col("s")), "left_anti").withColumn("_sorted", S.sort_tokens(F.col("_key")))
     ready = variants.withColumn("_alias", S.sort_tokens(F.col("_variant")))
-    lo, hi = F.length("_sorted"), F.length("_alias")
-    near = (200.0 * F.least(lo, hi) / (lo + hi) >= least) & here
-    scored = rest.join(ready, near).select("_key", "_state", "id", "_name", S.similarity(F.col("_sorted"), F.col("_alias")).alias("score")).where(F.col("score") >= least)
+    pairs = similar(rest.select(F.col("_sorted").alias("a")), ready.select(F.col("_alias").alias("b")), least)
+    met = rest.join(pairs, F.col("_sorted") == F.col("a")).join(ready, (F.col("b") == F.col("_alias")) & here)
+    scored = met.select("_key", "_state", "id", "_name", "score")
     best = scored.groupBy("_key", "_state").agg(F.max(F.struct("score", (-F.col("id")).alias("r"), "id", "_name")).alias("b"))
     found = exact.unionByName(best.select("_key", "_state", "b.id", "b._name", "b.score"))
     found = found.select(F.col("_key").alias("k"), F.col("_state").alias("s"), F.col("id").alias("district_id"), F.col("_name").alias("_found"), F.col("score").alias("district_score"))
@@ -38,15 +40,18 @@ def resolve_districts(rows: DataFrame, districts: DataFrame, least: float = 75.0
 
 
 def alias_dictionary(fixed: DataFrame, table: DataFrame) -> DataFrame:
-    """rank, alias, canonical: fixed aliases (rank, alias, canonical), canonical names of the table (id, name, aliases) and its aliases; later ones overwrite."""
+    """rank, alias, canonical: fixed aliases (rank, alias, canonical), canonical names of the table (id, name, aliases) and its aliases; later ones overwrite.
+
+    rank is a struct by which aliases stand in the order of their first entry.
+    """
     own = F.array(F.struct(F.lit(0).alias("n"), F.col("name").alias("alias")))
     more = F.transform(F.coalesce("aliases", F.expr("cast(array() as array<string>)")), lambda a, n: F.struct((n + 1).alias("n"), a.alias("alias")))
     rows = table.select("id", F.col("name").alias("canonical"), F.explode(F.concat(own, more)).alias("a"))
     late = rows.select(F.lit(1).alias("part"), F.col("id").cast("long").alias("major"), F.col("a.n").alias("minor"), F.lower("a.alias").alias("alias"), "canonical")
     early = fixed.select(F.lit(0).alias("part"), F.col("rank").cast("long").alias("major"), F.lit(0).alias("minor"), F.lower("alias").alias("alias"), "canonical")
     place = F.struct("part", "major", "minor")
-    named = early.unionByName(late).groupBy("alias").agg(F.min(place).alias("first"), F.max_by("canonical", place).alias("canonical"))
-    return named.select("first", "alias", "canonical")
+    named = early.unionByName(late).groupBy("alias").agg(F.min(place).alias("rank"), F.max_by("canonical", place).alias("canonical"))
+    return named.select("rank", "alias", "canonical")
 
 
 def categories_by_table(names: DataFrame, commodities: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparrowmill.functions import lookups as L
 from sparrowmill.functions import scalars as S
-from sparrowmill.operators import disputes, fraud_pass, graph
+from sparrowmill.operators import access, disputes, fraud_pass, graph
 from sparrowmill.plans import chain, fraud
 from sparrowmill.plans.views import AS_OF, ER, facts, unsuspected, usable
 from sparrowmill.storage import table, written
@@ -60,7 +60,7 @@ def disputed_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dispute_audit(spark: SparkSession, d: str) -> DataFrame:
-    return disputes.audit(_submissions(spark, d), _reviews(spark, d))
+    return disputes.audit(_submissions(spark, d), _reviews(spark, d), _brands(spark, d))
 
 
 # -- a fraud pass ------------------------------------------------------------------
@@ -129,11 +129,9 @@ def upstream_edges(spark: SparkSession, d: str, node: int = 10000011) -> DataFra
     return graph.upstream(edges, node)
 
 
-def own_rows(spark: SparkSession, d: str, user: int = 42) -> DataFrame:
-    """What a user may see of a table with row-level security: a view of their own rows; without user, none."""
-    mine = table(spark, d, "orders").where(F.col("o_custkey") == F.lit(user))
-    mine.createOrReplaceTempView("own_orders")
-    return spark.table("own_orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+def own_rows(spark: SparkSession, d: str, user: int | None = 42) -> DataFrame:
+    """What a user may see of a table with row-level security: their own rows; without user, none."""
+    return access.visible(table(spark, d, "orders"), "o_custkey", user).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 QUERIES = {
@@ -162,8 +160,8 @@ ORACLES = {
     "disputes_of_brand": f"with {_DISPUTES} {_LISTED} where brand_id = 7",
     "brand_flags": f"with {_DISPUTES} select brand_id, count(*) as dispute_count, count(*) filter (status = 'pending') as n_open, count(*) filter (status = 'pending') > 0 as under_dispute from ds group by brand_id",
     "disputed_records": f"with {ER}, {_DISPUTES}, x as (select *, case when order_id in (select record_id from ds where status = 'resolved_removed') then 0 else confidence_score end as c from er) select {_IDS}, c::double as confidence_score, c >= {L.USABLE} as usable from x",
-    "dispute_audit": f"""with {_DISPUTES} select {_AT('sent')} as "at", 'dispute_submitted' as action, dispute_id, '{{"dispute_id":' || dispute_id || ',"brand_id":' || brand_id || '}}' as metadata from sb
-union all select {_AT('told')}, 'dispute_reviewed', dispute_id, '{{"dispute_id":' || dispute_id || ',"outcome":"' || outcome || '"}}' from rv where dispute_id in (select dispute_id from sb)""",
+    "dispute_audit": f"""with {_DISPUTES} select {_AT('sent')} as "at", 'dispute_submitted' as action, dispute_id, '{{"dispute_id":' || dispute_id || ',"brand_id":' || brand_id || '}}' as metadata from ds
+union all select {_AT('told')}, 'dispute_reviewed', dispute_id, '{{"dispute_id":' || dispute_id || ',"outcome":"' || outcome || '"}}' from rv where dispute_id in (select dispute_id from ds)""",
     "fraud_pass_written": f"""with {_F}, y as (select er.*, {_LAST(7)} and not is_duplicate as hit from er)
 select {_IDS}, case when hit then (a::int + b::int + c::int) else 0 end as n_flags, case when hit then sc.fraud_score else y.fraud_score::double end as fraud_score, case when hit then true end as geo_plausibility_ok, case when hit then a end as value_is_round,
 case when hit then b end as lab_flagged from y left join fl using ({_IDS}) left join sc using ({_IDS})""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparrowmill.functions import lookups as L
 from sparrowmill.functions import scalars as S
 from sparrowmill.operators import forest, ingest, places
+from sparrowmill.operators.similar import similar
 from sparrowmill.plans import risk, standard
 from sparrowmill.plans.standard import _CATEGORY, _K, _KEY, RAW, _q, raw
 from sparrowmill.plans.views import AS_OF, ER, facts
@@ -43,9 +44,16 @@ def districts_resolved(spark: SparkSession, d: str) -> DataFrame:
 
 def similarity_scores(spark: SparkSession, d: str) -> DataFrame:
     """Token-sorted similarity of each part's name to each alias of a contaminant."""
-    aliases = spark.createDataFrame([(a,) for a in L.CONTAMINANT_ALIASES], "alias string")
-    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    return names.join(aliases, F.length("alias") > 0).select("name", "alias", F.round(S.similarity(S.sort_tokens(F.col("name")), S.sort_tokens(F.col("alias"))), 6).alias("score"))
+    aliases = F.explode(F.array(*[F.lit(a) for a in L.CONTAMINANT_ALIASES]))
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("alias", aliases)
+    return names.select("name", "alias", F.round(S.similarity(S.sort_tokens(F.col("name")), S.sort_tokens(F.col("alias"))), 6).alias("score"))
+
+
+def names_alike(spark: SparkSession, d: str, least: float = 75.0) -> DataFrame:
+    """Names of parts that are like the name of a part with its type, by token-sorted similarity."""
+    part = table(spark, d, "part")
+    long = part.select(S.sort_tokens(F.concat_ws(" ", "p_name", "p_type")).alias("a"))
+    return similar(long, part.select(S.sort_tokens(F.col("p_name")).alias("b")), least).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def dates_loose(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +147,7 @@ def forest_figures(spark: SparkSession, d: str, folds: int = 3, trees: int = 20)
 QUERIES = {
     f.__name__: f
     for f in (
-        districts_resolved, similarity_scores, dates_loose, alias_dictionary, categories_by_table, listing_links, feed_of_country, landed_paths, entities_routed, page_confidence, pages_recognised, facts_stored, forest_figures,
+        districts_resolved, similarity_scores, names_alike, dates_loose, alias_dictionary, categories_by_table, listing_links, feed_of_country, landed_paths, entities_routed, page_confidence, pages_recognised, facts_stored, forest_figures,
     )
 }
 
@@ -168,6 +176,8 @@ m as (select * from e union all select * from g)
 select {_K}, r.district, r.state, m.id as district_id, coalesce(m.name, r.district) as district_name, m.score as district_score from r left join m on k = lower(trim(r.district)) and s is not distinct from nullif(r.state, '')""",
     "similarity_scores": f"""with n as (select distinct p_name as name from part), a(alias) as (values {', '.join(f'({_q(a)})' for a in L.CONTAMINANT_ALIASES)}),
 c as (select name, alias, {_SORTED('name')} as x, {_SORTED('alias')} as y from n, a) select name, alias, round({similarity_sql('x', 'y')}, 6) as score from c""",
+    "names_alike": f"""with x as (select distinct {_SORTED("p_name || ' ' || p_type")} as a from part), y as (select distinct {_SORTED('p_name')} as b from part),
+c as (select a, b, {similarity_sql('a', 'b')} as s from x, y) select a, b, round(s, 6) as score from c where s >= 75""",
     "dates_loose": f"""with {RAW} select {_K}, case when line = 2 then strftime({_DAY}, '%Y-%m-01') when line <= 5 then day end as parsed, case when line = 2 then month({_DAY}) <> 5 when line <= 3 then true when line = 5 then day({_DAY}) <= 12 and day({_DAY}) <> month({_DAY}) else false end as ambiguous from raw""",
     "alias_dictionary": f"""with a(n, alias, canonical) as (values {', '.join(f'({n}, {_q(a)}, {_q(c)})' for n, (a, c) in enumerate([*L.CONTAMINANT_ALIASES.items(), *((x.lower(), n) for _, n, xs in CONTAMINANT_TABLE for x in (n, *xs))]))})
 select alias, arg_max(canonical, n) as canonical from a group by alias""",

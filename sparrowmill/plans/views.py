@@ -73,7 +73,7 @@ def quarters(er: DataFrame) -> DataFrame:
     """Failure rate, tests and risk per district, commodity and quarter, from usable results that no fraud score excludes."""
     grouped = er.where(usable() & unsuspected()).groupBy("district_id", "commodity", S.quarter_label(F.col("test_date")).alias("quarter"))
     counted = grouped.agg(F.count(F.lit(1)).alias("n_tests"), F.count_if(F.col("pass_fail") == F.lit(False)).alias("n_failed"))
-    rate = F.round(F.col("n_failed").cast("decimal(18,0)") / F.col("n_tests").cast("decimal(18,0)"), 4)
+    rate = S.fail_rate(F.col("n_failed"), F.col("n_tests"))
     return counted.select("district_id", "commodity", "quarter", "n_tests", rate.cast("double").alias("fail_rate"), F.round(rate * 100, 2).cast("double").alias("risk_score"))
 
 
