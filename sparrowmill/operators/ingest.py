@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowmill.functions import lookups as L
 from sparrowmill.functions import scalars as S
 from sparrowmill.operators import fuzzy, places
+from sparrowmill.storage import drop_written, written
 
 RAW = ("product_name", "contaminant", "value", "unit", "date", "state", "district", "lab", "pass_fail")
 
@@ -85,14 +86,17 @@ def score(rows: DataFrame, ocr: Column, manual: Column, commodities: DataFrame |
 def append_facts(rows: DataFrame, path: str, as_of: str) -> tuple[int, int]:
     """Append rows with commodity, contaminant and value to the table at path, by year; the rest is skipped. Returns both counts.
 
-    A missing date is as_of. One job writes all and counts on the way, so a failed run leaves nothing.
+    A missing date is as_of. One job writes all, so a failed run leaves nothing. The batch is stored first: it is
+    computed once, and counting reads one column of it. (Metrics that Spark observes on the way would do, but a session that
+    has observed any can't run Spark's forests any more.)
     """
     ready = rows.withColumn("test_date", F.coalesce("test_date", F.lit(as_of).cast("date"))).withColumn("test_year", F.year("test_date"))
     good = F.col("commodity").isNotNull() & F.col("contaminant").isNotNull() & F.col("ppb").isNotNull()
-    counts = Observation()
-    counted = ready.observe(counts, F.count_if(good).alias("kept"), F.count_if(~good).alias("skipped"))
-    counted.where(good).write.mode("append").partitionBy("test_year").parquet(path)
-    return counts.get["kept"], counts.get["skipped"]
+    stored = written(ready.withColumn("_good", good), "batch")
+    counts = stored.agg(F.count_if("_good").alias("kept"), F.count_if(~F.col("_good")).alias("skipped")).first()
+    stored.where("_good").drop("_good").write.mode("append").partitionBy("test_year").parquet(path)
+    drop_written(stored)
+    return counts["kept"], counts["skipped"]
 
 
 def facts_since(table: DataFrame, day: str) -> DataFrame:
