@@ -101,5 +101,7 @@ def similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
         met = met.join(texts.select(F.col("text").alias(name), F.col("n").alias(f"n_{name}"), F.col("letters").alias(f"letters_{name}"), F.col("pairs").alias(f"pairs_{name}")), name)
     n, m = F.col("n_a"), F.col("n_b")
     likely = met.where(200.0 * F.size(F.array_intersect("letters_a", "letters_b")) >= least * (n + m) - 1e-9)
-    likely = likely.where(F.size(F.array_intersect("pairs_a", "pairs_b")) >= shared_pairs(n, m, least))
-    return likely.select("a", "b", S.similarity(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= least)
+    likely = likely.where(F.size(F.array_intersect("pairs_a", "pairs_b")) >= shared_pairs(n, m, least)).select("a", "b")
+    # Stored, as Spark would else compare letter by letter before it counts pairs; dealt over all tasks, as each row is dear.
+    dealt = written(likely.repartition(int(likely.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "likely")
+    return dealt.select("a", "b", S.similarity(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= least)

@@ -40,9 +40,19 @@ def graph_ancestors(spark: SparkSession, d: str, node: int = 10000011) -> DataFr
     return graph.ancestors(written(edges(spark, d), "edges"), node)
 
 
-def graph_propagation(spark: SparkSession, d: str) -> DataFrame:
+def graph_propagation(spark: SparkSession, d: str, blend: bool = False) -> DataFrame:
     all_nodes = written(nodes(spark, d), "nodes")
-    out = graph.propagate(all_nodes, written(graph.clean_edges(edges(spark, d), all_nodes), "edges"))
+    out = graph.propagate(all_nodes, written(graph.clean_edges(edges(spark, d), all_nodes), "edges"), blend=blend)
+    return out.select("node", F.round("estimate", 9).alias("estimate"), F.round("confidence", 9).alias("confidence"), "source")
+
+
+def graph_blended(spark: SparkSession, d: str) -> DataFrame:
+    """Brands are measured too, by results of their own, and every measured node with estimated predecessors is blended with them."""
+    er = facts(spark, d).where(usable() & F.col("brand").isNotNull() & (F.col("contaminant_id") == 1))
+    own = er.groupBy((F.substring_index("brand", "#", -1).cast("long") + 10000000).alias("node")).agg((F.sum(F.col("ppb").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("of_brand"), F.count(F.lit(1)).alias("n"))
+    base = nodes(spark, d).join(own, "node", "left")
+    all_nodes = written(base.select("node", F.coalesce("of_brand", "measured").alias("measured"), F.coalesce("n", "n_tests").alias("n_tests")), "nodes")
+    out = graph.propagate(all_nodes, written(graph.clean_edges(edges(spark, d), all_nodes), "edges"), blend=True)
     return out.select("node", F.round("estimate", 9).alias("estimate"), F.round("confidence", 9).alias("confidence"), "source")
 
 
@@ -69,7 +79,7 @@ def dispute_status(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("n_open", F.greatest(F.col("dispute_count") - F.col("n_resolved"), F.lit(0))).withColumn("under_dispute", F.col("dispute_count") > F.col("n_resolved"))
 
 
-QUERIES = {f.__name__: f for f in (graph_levels, graph_ancestors, graph_propagation, upsert_aggregate, insert_absent_keys, dispute_status)}
+QUERIES = {f.__name__: f for f in (graph_levels, graph_ancestors, graph_propagation, graph_blended, upsert_aggregate, insert_absent_keys, dispute_status)}
 
 _EDGES = """e0 as (select n_regionkey::bigint as source, (n_nationkey + 1000)::bigint as target from nation union all select (s_nationkey + 1000)::bigint, (s_suppkey + 10000)::bigint from supplier
   union all select distinct (l_suppkey + 10000)::bigint, split_part(p_brand, '#', 2)::bigint + 10000000 from lineitem join part on l_partkey = p_partkey),
@@ -88,10 +98,24 @@ def _step(k: int) -> str:
   case when n > 0 then 'measured' when w > 0 then 'propagated' else 'none' end as source from nd join lv using (node) left join ({into}) i on i.node = nd.node where level = {k})"""
 
 
+def _blended(k: int) -> str:
+    """As _step, but measured nodes with a prior are a mean of both."""
+    before = " union all ".join(f"select * from p{j}" for j in range(k))
+    into = f"select target as node, sum(estimate * retention * confidence * link) as pull, sum(confidence * link) as w, count(*) as k from e join ({before}) b on b.node = e.source where estimate is not null group by target" if k else "select null::bigint as node, null::double as pull, null::double as w, null::bigint as k"
+    share = f"least({graph.OWN_MOST}, {graph.OWN_EACH} * n)"
+    return f"""p{k} as (select nx.node, case when n > 0 and w > 0 then (1 - {share}) * pull / w + {share} * measured when n > 0 then measured when w > 0 then pull / w end as estimate,
+  case when n > 0 and w > 0 then least(0.90, w / k + {graph.SURE_EACH} * n) when n > 0 then least(0.90, 0.60 + 0.03 * least(10, n)) when w > 0 then least(0.60, w / k) else 0 end as confidence,
+  case when n > 0 and w > 0 then 'mixed' when n > 0 then 'measured' when w > 0 then 'propagated' else 'none' end as source from nx join lv using (node) left join ({into}) i on i.node = nx.node where level = {k})"""
+
+
+_OWN = """ow as (select split_part(brand, '#', 2)::bigint + 10000000 as node, sum(ppb::decimal(18,2))::double / count(*) as of_brand, count(*) as own from ok where brand is not null and contaminant_id = 1 group by all),
+nx as (select node, coalesce(of_brand, measured) as measured, coalesce(own, n) as n from nd left join ow using (node))"""
+
 ORACLES = {
     "graph_levels": f"with {ER}, {_NODES}, {_EDGES}, {_LEVEL} select node, level from lv",
     "graph_ancestors": f"with recursive {_EDGES}, a as (select 10000011::bigint as node, 0 as distance union select source, distance + 1 from a join e on target = node) select node, min(distance) as distance from a where distance > 0 group by node",
     "graph_propagation": f"with {ER}, {_NODES}, {_EDGES}, {_LEVEL}, {', '.join(_step(k) for k in range(4))} select node, round(estimate, 9) as estimate, round(confidence, 9)::double as confidence, source from ({' union all '.join(f'select * from p{k}' for k in range(4))})",
+    "graph_blended": f"with {ER}, {_NODES}, {_OWN}, {_EDGES}, {_LEVEL}, {', '.join(_blended(k) for k in range(4))} select node, round(estimate, 9) as estimate, round(confidence, 9)::double as confidence, source from ({' union all '.join(f'select * from p{k}' for k in range(4))})",
     "upsert_aggregate": f"""with {ER}, {AGG.replace('agg as', 'old as').replace('from ok where', f'from ok where not test_date >= {months_ago(12)} and')}, {AGG.replace('agg as', 'new as').replace('from ok where', f'from ok where test_date >= {months_ago(15)} and')}
 select coalesce(n.district_id, o.district_id) as district_id, coalesce(n.commodity, o.commodity) as commodity, coalesce(n.quarter, o.quarter) as quarter, coalesce(n.n_tests, o.n_tests) as n_tests, coalesce(n.fail_rate, o.fail_rate) as fail_rate,
 coalesce(n.risk_score, o.risk_score) as risk_score, coalesce(o.risk_score + 5, 0)::double as upper from old o full join new n on o.district_id = n.district_id and o.commodity = n.commodity and o.quarter = n.quarter""",

@@ -133,13 +133,13 @@ def facts_stored(spark: SparkSession, d: str) -> DataFrame:
     return ingest.facts_since(spark.read.parquet(path), "2000-06-01").select("order_id", "commodity", "contaminant", "ppb", F.col("test_date").cast("string").alias("test_date"), "amount")
 
 
-def forest_figures(spark: SparkSession, d: str, folds: int = 3, trees: int = 20) -> DataFrame:
+def forest_figures(spark: SparkSession, d: str, folds: int = 10, fold_trees: int = 200, trees: int = 300) -> DataFrame:
     """Figures of folds in time and the three most important features, of a forest that was saved and loaded."""
     rows = written(risk.risk_features(spark, d), "features")
     model, held = forest.fit(rows, ("AFRICA", "ASIA"), trees=trees)
     path = f"{shared_dir(spark)}/tables/forest-{uuid.uuid4().hex}"
     forest.save(model, path)
-    cv, top = forest.cross_validated(rows, folds, trees), forest.top_importances(forest.load(path))
+    cv, top = forest.cross_validated(rows, folds, fold_trees), forest.top_importances(forest.load(path))
     figures = [("cv_auc_mean", cv["auc_mean"]), ("cv_auc_std", cv["auc_std"]), *((f"held_out_{k}", v) for k, v in held.items()), *((f"importance_{n}", v) for n, v in top)]
     return spark.createDataFrame([(k, None if v is None else float(v)) for k, v in figures], "figure string, value double")
 
