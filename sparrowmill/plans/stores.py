@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparrowmill.operators.catalogue import AGE_GROUPS, DISPUTE_STATES, DISPUTE_TYPES, FRAUD_OUTCOMES, SOURCE_TYPES, constraints
 from sparrowmill.operators.constraints import broken
 from sparrowmill.operators.history import HashHistory
-from sparrowmill.plans.standard import _FOUND, _KEY, _hashed, _q
+from sparrowmill.plans.standard import _FOUND, _hashed, _q
 from sparrowmill.plans.views import AGG, ER, facts, unsuspected, usable
 from sparrowmill.storage import shared_dir, table, written
 from sparrowmill.streaming.aggregates import QuarterlyAggregates

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparrowmill.functions import lookups as L
 from sparrowmill.functions import scalars as S
-from sparrowmill.operators import ingest, places
+from sparrowmill.operators import ingest
 from sparrowmill.operators.entities import WORD, found_entities
-from sparrowmill.plans import names, runs, standard
-from sparrowmill.plans.standard import _CATEGORY, _K, _KEY, _PASS, _TIER, _UNIT, RAW, _q, raw
+from sparrowmill.plans import names, runs
+from sparrowmill.plans.standard import _K, _KEY, _TIER, _UNIT, RAW, _q, raw
 from sparrowmill.sources import formats, grid
 from sparrowmill.storage import table
 
