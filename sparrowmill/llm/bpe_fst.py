@@ -10,18 +10,21 @@ first time that they are met and kept in one dense table (a lazy subset
 construction), which is cleared when it outgrows MAX_STATES.
 
 Text is cut into chunks of equal length that all advance in lockstep, one numpy
-gather a byte. What a chunk does is a map from entry state to exit state. Runs
-between white space are shorter than a chunk, so in each chunk the transducer is
-back in its start state somewhere: the map's exit is the same for every entry, and
-only the bytes up to that place (the head) depend on the entry. Composing such
-maps gives the later one's exit; their prefix scan is therefore a shift by one
-chunk, after which all heads are run in lockstep, each from its own entry state.
-
-The alphabet is ASCII and the Latin letters below U+0180. These go to the tokenizers
-library itself, one run between white space at a time, as white space ends every
-word and the rest of the text isn't touched by that: runs with other characters or
-the strings of special tokens, and runs of LONG or more characters. So does a
-piece of text that asks for more than NEW_STATES states, such as one of random letters.
+gather a byte. What a chunk does is a map from entry state to exit state. Where a
+word ends in a chunk, the transducer is back in its start state there: the map is
+constant, and only the bytes up to that place (the head) depend on the entry. Inside
+a longer word a chunk's map is made for the entries that can reach it, which are the
+exits of the map before it and a guess; encodings soon fall into step, so these are
+few. The maps are then composed by a prefix scan that doubles its windows, which gives
+each chunk's own entry state, and all heads are run in lockstep from there.
+
+The alphabet is every assigned character, but for controls and private use, that was
+of the same kind (letter, number, white space, other) in Unicode 3.2, and so is in the
+library's tables, of whichever version they are. Runs between white space that hold
+another character or the string of a special token go to the tokenizers library
+itself, as white space ends every word and the rest of the text isn't touched by that.
+So does a piece of text that asks for more than NEW_STATES states, such as one of
+random letters; it leaves no states behind.
 """
 
 from __future__ import annotations
@@ -36,12 +39,13 @@ import numpy as np
 END = 256
 SPACE = 512
 CHUNK = 256
-LONG = 64
 PIECE_BYTES = 3 << 19
 MAX_STATES = 150_000
 NEW_STATES = 50_000
-_WHITE = "\t\n\x0b\x0c\r \xa0"
-_PLAIN = re.compile("[\t-\r -~\xa0-įı-ž]*")
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_GAP = re.compile(f"[{_WHITE}]")
+#: code points beyond these have no letters of Unicode 3.2
+_PLANES = 0x30000
 _CLASS_SPACE, _CLASS_LETTER, _CLASS_NUMBER, _CLASS_OTHER = range(4)
 
 
@@ -56,17 +60,42 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
+def _kind(c: str, version) -> int:
+    if c in _WHITE:
+        return _CLASS_SPACE
+    return {"L": _CLASS_LETTER, "N": _CLASS_NUMBER}.get(version.category(c)[0], _CLASS_OTHER)
+
+
+@lru_cache(maxsize=1)
 def _class_table() -> np.ndarray:
-    table = np.full(0x800, _CLASS_OTHER, np.uint8)
-    for cp in range(0x180):
-        kind = unicodedata.category(chr(cp))[0]
-        if chr(cp) in _WHITE:
-            table[cp] = _CLASS_SPACE
-        elif kind == "L":
-            table[cp] = _CLASS_LETTER
-        elif kind == "N":
-            table[cp] = _CLASS_NUMBER
-    return table
+    return np.fromiter((_kind(chr(cp), unicodedata) for cp in range(_PLANES)), np.uint8, _PLANES)
+
+
+@lru_cache(maxsize=1)
+def alphabet() -> str:
+    """The transducer's characters, as the inside of a character class."""
+    old = unicodedata.ucd_3_2_0
+
+    def belongs(c: str) -> bool:
+        if c in _WHITE:
+            return True
+        if unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs"):
+            return False
+        return all(_kind(x, unicodedata) == _kind(x, old) for x in c + c.lower())
+
+    ranges: list[list[int]] = []
+    for cp in range(_PLANES):
+        if belongs(chr(cp)):
+            if ranges and ranges[-1][1] == cp - 1:
+                ranges[-1][1] = cp
+            else:
+                ranges.append([cp, cp])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+def _lower(text: str) -> str:
+    """Lower case letter by letter: a sigma that ends a word is like any other."""
+    return text.replace("Σ", "σ").lower()
 
 
 def _entry(node: int, last: int, rel: int) -> int:
@@ -116,9 +145,8 @@ class BpeTransducer:
             if spelled and self._merged(spelled) == [i]:
                 self._insert(spelled, i)
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
-        odd = "[^\t-\r -~\xa0-įı-ž]"
-        solid = f"[^{_WHITE}]*"
-        self.escape = re.compile(f"{solid}(?:{'|'.join([odd, *special])}){solid}|[^{_WHITE}]{{{LONG},}}")
+        self.escape = re.compile("|".join([f"[^{alphabet()}]", *special]))
+        self.plain = re.compile(f"[{alphabet()}]*")
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.classes = _class_table()
         self._valid = lru_cache(maxsize=1 << 16)(self._pair_stands)
@@ -178,6 +206,17 @@ class BpeTransducer:
         self.last_token = np.full(MAX_STATES + NEW_STATES, -1, np.int32)
         self.most = len(self.table)
 
+    def _forget(self, mark: int) -> None:
+        """Drop the states from number mark on, and the moves to them."""
+        for key in self.states[mark:]:
+            del self.number[key]
+        del self.states[mark:]
+        moves = [k for k, s in enumerate(self.symbol_list) if s < 256]
+        kept = self.table[:mark, moves]
+        kept[kept >> 8 >= mark] = 0
+        self.table[:mark, moves] = kept
+        self.table[mark:] = 0
+
     def _widen(self, cols: int) -> None:
         new = np.zeros((len(self.table), cols), np.int32)
         new[:, : self.table.shape[1]] = self.table
@@ -248,8 +287,12 @@ class BpeTransducer:
         n = len(data)
         lead = (data & 0xC0) != 0x80
         cp = data.astype(np.int32)
-        two = np.flatnonzero(data >= 0xC0)
-        cp[two] = (cp[two] & 31) << 6 | cp[two + 1] & 63
+        for least, mask, more in ((0xC0, 31, 1), (0xE0, 15, 2), (0xF0, 7, 3)):
+            at = np.flatnonzero(data >= least)
+            point = cp[at] * 0 + (data[at] & mask)
+            for k in range(1, more + 1):
+                point = point << 6 | data[at + k] & 63
+            cp[at] = point
         chars = np.flatnonzero(lead)
         kind = self.classes[cp[chars]]
         point = cp[chars]
@@ -274,8 +317,8 @@ class BpeTransducer:
         out = data.astype(np.int32)
         out[last_byte[ends_char]] += 256
         white = kind == _CLASS_SPACE
-        out[chars[white]] = SPACE
-        out[last_byte[white]] = SPACE
+        for k in range(3):
+            out[np.minimum(chars[white] + k, last_byte[white])] = SPACE
         return out
 
     # -- running -----------------------------------------------------------
@@ -297,8 +340,9 @@ class BpeTransducer:
         reset = np.ones(lanes * CHUNK, bool)
         reset[:n] = resets
         reset = reset.reshape(lanes, CHUNK)
-        head = reset.argmax(1) + 1  # every chunk has a reset
-        head[0] = 0  # the first chunk starts in the start state
+        solid = ~reset.any(1)
+        head = np.where(solid, CHUNK, reset.argmax(1) + 1)
+        head[0], solid[0] = 0, False  # the first chunk starts in the start state
         own = sym.reshape(lanes, CHUNK)
         column = np.arange(CHUNK)
         masked = np.where(column < head[:, None], blank, own).T.copy()
@@ -312,7 +356,7 @@ class BpeTransducer:
             deltas[t] = (v & 255) - 128
             state = np.where(ends_word[masked[t]], 0, v >> 8)
         lane = np.flatnonzero(head > 0)
-        entry = state[lane - 1]  # the prefix scan of the chunks' maps
+        entry = self._exits(state, solid, own, ends_word)[lane - 1]
         for t in range(int(head.max(initial=0))):
             live = head[lane] > t
             lane, entry = lane[live], entry[live]
@@ -340,6 +384,47 @@ class BpeTransducer:
             token = self.last_token[states[ends + 1]]
         return flat, at, raw
 
+    def _exits(self, exits: np.ndarray, solid: np.ndarray, own: np.ndarray, ends_word: np.ndarray) -> np.ndarray:
+        """Exit states of all chunks: the prefix scan of the chunks' maps.
+
+        exits holds those of constant maps; solid marks the other chunks.
+        """
+        lanes = np.flatnonzero(solid)
+        if not len(lanes):
+            return exits
+        first = ~solid[lanes - 1]
+        states = np.int64(len(self.table))
+        asked = lanes * states + np.where(first, exits[lanes - 1], 0)  # the guess: a word begins here
+        pairs, results = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        while len(asked):  # until each map knows all exits of the one before
+            lane, state = asked // states, asked % states
+            for t in range(CHUNK):
+                symbol = own[lane, t]
+                state = np.where(ends_word[symbol], 0, self._look(state, symbol) >> 8)
+            pairs, results = np.concatenate([pairs, asked]), np.concatenate([results, state])
+            order = np.argsort(pairs)
+            pairs, results = pairs[order], results[order]
+            on = np.append(solid, False)[lane + 1]
+            asked = np.setdiff1d((lane[on] + 1) * states + state[on], pairs)
+
+        # maps by number: of an entry in the own chunk's list to one in the next chunk's
+        begin = np.searchsorted(pairs, lanes * states)
+        row = np.searchsorted(lanes, pairs // states)
+        goes_on = np.append(~first[1:], False)
+        maps = np.zeros((len(lanes), int(np.bincount(row).max())), np.int32)
+        on = goes_on[row]
+        after = np.searchsorted(pairs, (pairs[on] // states + 1) * states + results[on])
+        maps[row[on], (np.arange(len(pairs)) - begin[row])[on]] = after - begin[row[on] + 1]
+        low = np.arange(len(lanes))
+        run = np.maximum.accumulate(np.where(first, low, 0))
+        while (short := np.flatnonzero(low > run)).size:
+            left = low[short] - 1
+            maps[short], low[short] = np.take_along_axis(maps[short], maps[left], 1), low[left]
+        entry = np.where(first, 0, np.roll(maps[:, 0], 1))
+        out = exits.copy()
+        out[lanes] = results[begin + entry]
+        return out
+
     def _items(self, texts: list[str | None]) -> tuple[list[bytes], list[int], list[tuple[int, int, str]]]:
         """Byte strings to run with their text's number, and runs for the library with their place."""
         items, owner, escapes = [], [], []
@@ -347,10 +432,9 @@ class BpeTransducer:
         def run(text: str, k: int) -> None:
             at = 0
             while at < len(text):
-                end = at + PIECE_BYTES // 2
-                if end < len(text):  # a run between white space is shorter than LONG
-                    end = next(i + 1 for i in range(end, end - LONG - 1, -1) if text[i] in _WHITE)
-                items.append(text[at:end].lower().encode())
+                gap = _GAP.search(text, at + PIECE_BYTES // 2)
+                end = gap.end() if gap else len(text)
+                items.append(_lower(text[at:end]).encode())
                 owner.append(k)
                 at = end
 
@@ -359,25 +443,26 @@ class BpeTransducer:
                 continue
             if not text.isascii():
                 text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
-            plain = _PLAIN.fullmatch(text) or (text.isascii() and not self._has_control(text))
-            if plain and max(map(len, text.split()), default=0) < LONG and not any(s in text for s in self.special):
+            if self.plain.fullmatch(text) and not any(s in text for s in self.special):
                 run(text, k)
                 continue
             at = 0
             for m in self.escape.finditer(text):
-                run(text[at : m.start()], k)
-                escapes.append((len(items), k, m[0]))
-                at = m.end()
+                if m.start() < at:
+                    continue
+                begin = m.start()
+                while begin > at and text[begin - 1] not in _WHITE:
+                    begin -= 1
+                run(text[at:begin], k)
+                gap = _GAP.search(text, m.end())
+                at = gap.start() if gap else len(text)
+                escapes.append((len(items), k, text[begin:at]))
             run(text[at:], k)
         return items, owner, escapes
 
     def _library_ids(self, text: str) -> np.ndarray:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.int32)
 
-    @staticmethod
-    def _has_control(text: str) -> bool:
-        return not _PLAIN.fullmatch(text)
-
     def _pieces(self, items: list[bytes]):
         """Items in groups of bounded size, joined by a space."""
         lo = 0
@@ -397,6 +482,7 @@ class BpeTransducer:
             try:
                 deltas, _, _ = self._run(data, False)
             except _TooManyStates:
+                self._forget(self.most - NEW_STATES)
                 own = [len(self._library_ids(x.decode())) for x in items[lo:hi]]
             else:
                 totals = np.concatenate([[0], np.cumsum(deltas, dtype=np.int64)])
@@ -415,6 +501,7 @@ class BpeTransducer:
             try:
                 _, at, _ = self._run(data, True)
             except _TooManyStates:
+                self._forget(self.most - NEW_STATES)
                 at = None
             begin = 0
             for j in range(lo, hi):

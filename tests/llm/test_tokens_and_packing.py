@@ -67,6 +67,59 @@ def test_long_words_and_random_letters_are_bounded(fst):
     assert len(fst.states) <= module.MAX_STATES + module.NEW_STATES == len(fst.table)
 
 
+SCRIPTS = [
+    "Все люди рождаются свободными и равными в своём достоинстве и правах. ",
+    "Όλοι οι άνθρωποι γεννιούνται ΕΛΕΎΘΕΡΟΙ ΚΑΙ ΊΣΟΙΣ στην αξιοπρέπεια ",
+    "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता प्राप्त है। ",
+    "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心\u3000并应以兄弟关系的精神相对待",
+    "すべての人間は、生まれながらにして自由であり",
+    "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق ",
+    "모든 인간은 태어날 때부터 자유로우며 🙂 ",
+]
+
+
+def long_runs():
+    rng = np.random.default_rng(7)
+    mixed = "".join(rng.choice(list(SCRIPTS[3].replace("\u3000", "")), 30_000))
+    return [mixed, "的" * 20_000, "a" * 50_000, "ab" * 9_999 + "c", "-" * 7001 + "=-" * 4000, "х" * 3001 + " да", "1" * 3000, "".join(rng.choice(list("abc"), 5000))]
+
+
+def test_scripts_and_long_runs_stay_in_the_transducer(fst, monkeypatch):
+    texts = [t * 30 for t in SCRIPTS] + long_runs()
+    want = [library(fst, t) for t in texts]
+    monkeypatch.setattr(fst, "_library_ids", lambda text: pytest.fail(f"{len(text)} characters for the library"))
+    assert [x.tolist() for x in fst.ids(texts)] == want
+    assert fst.counts(texts).tolist() == [len(w) for w in want]
+
+
+def test_the_scan_of_maps_gives_what_one_chunk_gives(fst, monkeypatch):
+    import sparrowmill.llm.bpe_fst as module
+
+    texts = [t[:2000] for t in long_runs()] + SCRIPTS
+    for chunk in (3, 8, 4096):
+        monkeypatch.setattr(module, "CHUNK", chunk)
+        assert [x.tolist() for x in fst.ids(texts)] == [library(fst, t) for t in texts]
+
+
+def test_every_character_of_the_alphabet(fst):
+    import re
+
+    import sparrowmill.llm.bpe_fst as module
+
+    inside = re.compile(f"[{module.alphabet()}]")
+    chars = [c for c in map(chr, range(0x30000)) if inside.match(c)]
+    assert len(chars) > 100_000
+    own = BpeTransducer(PATH)
+    texts = [" ".join(f"a{c}1{c}{c}.{c}'s x{c}" for c in chars[k : k + 200]) for k in range(0, len(chars), 200)]
+    want = [library(fst, t) for t in texts]
+    assert [x.tolist() for x in own.ids(texts)] == want
+
+
+def test_controls_and_new_letters_go_to_the_library(fst):
+    texts = ["ab\x1ccd " * 3, "ok \u1c90\u1c91" + "z" * 90 + " end", "\U000f0000 x", "\u180e1 a" * 5]
+    assert [x.tolist() for x in fst.ids(texts)] == [library(fst, t) for t in texts]
+
+
 def test_texts_longer_than_a_piece_are_cut_at_white_space(fst, monkeypatch):
     import sparrowmill.llm.bpe_fst as module
 
