@@ -202,6 +202,27 @@ def test_links_count_the_gap_and_long_texts_are_cut_right(spark):
     assert clean[2] == f"https://a.b/c{' ' * 201}[SECRET]"
 
 
+def test_mail_addresses_are_whole(spark):
+    import random
+    import re
+    import time
+
+    rng = random.Random(4)
+    long = "".join(rng.choices("abcXYZ019._%+-", k=5000))
+    near = " token=abcdefgh"
+    texts = [f"{long}@host.org{near}", f"a@b.com1x@y.org{near}", f"a@b.comfoo@c.de{near}", f"@x.com a@@b.com c@d.e.fg9h@i.jk{near}", "q" * 2_000_000 + near]
+    texts += ["".join(rng.choices(["a", "b@", "@", ".com", ".", "c1", " "], k=40)) + near for _ in range(200)]
+    began = time.time()
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_scan(documents(spark, [(k, t, None) for k, t in enumerate(texts)])).collect()}
+    assert time.time() - began < 60
+    plain = re.compile("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]{1,253}\\.[A-Za-z]{2,63}")
+    for k, text in enumerate(texts):
+        want = [] if k == 4 else [f"mail:{m.start()}:{m.end()}" for m in plain.finditer(text)]
+        key = text.index("token=")
+        want = [w for w in want if key - int(w.rpartition(":")[2]) <= secrets.SCOPE]
+        assert [s for s in got[k].split(",") if s.startswith("mail")] == want, text[:200]
+
+
 def test_secret_scan_sql(same_as_sql):
     same_as_sql(secrets.query, secrets.ORACLE)
 
