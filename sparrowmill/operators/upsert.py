@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrowmill.storage import written
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], updated: list[str], defaults: dict[str, object]) -> DataFrame:
     """Rows of either table by key (nulls equal); columns in updated from new where there, all others from old, else their default."""
@@ -25,13 +27,24 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], updated: list[str],
     return joined.select(*out)
 
 
-def insert_absent(old: DataFrame, names: DataFrame, key: str, id_column: str) -> DataFrame:
-    """old and each new name once, with ids after the largest of old, in order of name.
+def in_order(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """rows with a gapless number from 1 in order of key, in as many tasks as there are ranges.
 
-    The ids of a dimension's new names are a running number over one small sorted
-    run; facts never pass through it.
+    Ranges are stored, as another run might cut them elsewhere; only their sizes are summed in one place.
+    Nulls come first; equal keys are numbered in any order.
     """
+    ranged = rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id())
+    stored = written(ranged, "ranges")
+    sizes = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return stored.withColumn(number, own).join(F.broadcast(starts), "_range").withColumn(number, F.col(number) + F.col("_before")).drop("_range", "_before")
+
+
+def insert_absent(old: DataFrame, names: DataFrame, key: str, id_column: str) -> DataFrame:
+    """old and each new name once, with ids after the largest of old, in order of name."""
     fresh = names.select(key).where(F.col(key).isNotNull()).distinct().join(old.select(key), key, "left_anti")
     top = old.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top"))
-    numbered = fresh.withColumn("_k", F.row_number().over(Window.orderBy(key))).join(F.broadcast(top))
+    numbered = in_order(fresh, key, "_k").join(F.broadcast(top))
     return old.select(id_column, key).unionByName(numbered.select((F.col("_top") + F.col("_k")).cast(old.schema[id_column].dataType).alias(id_column), key))

@@ -74,11 +74,17 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
     return facts(spark, d).withColumn("parsed_at", F.date_add("test_date", 2)).withColumns(old)
 
 
-def _passed(spark: SparkSession, d: str, days: int) -> tuple[DataFrame, DataFrame]:
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """What the pass finds for every result, stored, as passes over different days read it."""
+    return written(fraud._scored(spark, d).select(*_ID, "flags", "bad_lab"), "scored")
+
+
+def _passed(spark: SparkSession, d: str, days: int, scored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """All results, and those of the last days with what the pass found."""
     stored = _stored(spark, d)
+    scored = fraud._scored(spark, d) if scored is None else scored
     chosen = fraud_pass.selected(stored, "order_id", None, AS_OF, days)
-    found = fraud._scored(spark, d).select(*_ID, "flags", "bad_lab").join(chosen.select(*_ID, "ppb"), _ID)
+    found = scored.select(*_ID, "flags", "bad_lab").join(chosen.select(*_ID, "ppb"), _ID)
     score = F.aggregate("flags", F.lit(0).cast("decimal(6,2)"), lambda acc, f: (acc + f["score"].cast("decimal(4,2)")).cast("decimal(6,2)"))
     new = found.select(*_ID, F.col("flags").alias("fraud_flags"), F.least(score, F.lit(1).cast("decimal(6,2)")).cast("double").alias("fraud_score"), F.lit(True).alias("geo_plausibility_ok"), S.is_round(F.col("ppb") / 4).alias("value_is_round"), F.coalesce("bad_lab", F.lit(False)).alias("lab_flagged"))
     return stored, new
@@ -100,7 +106,8 @@ def fraud_audit_appended(spark: SparkSession, d: str, days: int = 60) -> DataFra
     """The audit after passes over the last days and, twice, over all twice as many."""
     key = _ID
     none = spark.createDataFrame([], "order_id long, contaminant_id int, part_id long, lab_id long, amount double, flag_type string, score double")
-    first, all_ = _passed(spark, d, days)[1], _passed(spark, d, 2 * days)[1]
+    scored = _scored(spark, d)
+    first, all_ = _passed(spark, d, days, scored)[1], _passed(spark, d, 2 * days, scored)[1]
     once = fraud_pass.append_audit(none, first, key)
     return fraud_pass.append_audit(fraud_pass.append_audit(once, all_, key), all_, key)
 

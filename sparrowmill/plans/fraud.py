@@ -13,9 +13,13 @@ from sparrowmill.storage import table
 WINDOW_MONTHS, LEAST_TESTS = 24, 5
 
 
-def _digits(value: Column) -> list[Column]:
-    digit = S.first_digit(value)
-    return [F.count_if(digit == k).alias(f"d{k}") for k in range(1, 10)]
+def _with_digit(er: DataFrame) -> DataFrame:
+    """The first digit as a column of its own, so that nine counts find it once."""
+    return er.withColumn("digit", S.first_digit(F.col("amount")))
+
+
+def _digits() -> list[Column]:
+    return [F.count_if(F.col("digit") == k).alias(f"d{k}") for k in range(1, 10)]
 
 
 def _chi2(n: Column) -> Column:
@@ -29,7 +33,7 @@ def _n_digits() -> Column:
 
 
 def benford_digits(spark: SparkSession, d: str) -> DataFrame:
-    return facts(spark, d).where(usable()).groupBy("lab_id", "commodity").agg(*_digits(F.col("amount")))
+    return _with_digit(facts(spark, d).where(usable())).groupBy("lab_id", "commodity").agg(*_digits())
 
 
 def benford_chi2(spark: SparkSession, d: str) -> DataFrame:
@@ -47,8 +51,8 @@ def round_fraction(spark: SparkSession, d: str) -> DataFrame:
 def _lab_groups(er: DataFrame) -> DataFrame:
     passed = F.coalesce(F.col("pass_fail"), F.lit(False))
     recent = er.where(usable() & since(WINDOW_MONTHS))
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(passed).alias("n_pass"), F.count_if(S.is_round(F.col("amount"))).alias("n_round"), *_digits(F.col("amount"))]
-    return recent.groupBy("lab_id", "commodity", "state").agg(*aggs)
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(passed).alias("n_pass"), F.count_if(S.is_round(F.col("amount"))).alias("n_round"), *_digits()]
+    return _with_digit(recent).groupBy("lab_id", "commodity", "state").agg(*aggs)
 
 
 def lab_state_zscore(spark: SparkSession, d: str) -> DataFrame:

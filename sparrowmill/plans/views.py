@@ -25,17 +25,19 @@ CONTAMINANTS = ("aflatoxin_b1", "lead", "cadmium", "arsenic_inorganic", "pestici
 def facts(spark: SparkSession, sf_dir: str, flags: bool = True) -> DataFrame:
     """Test results. flags: with is_duplicate, which costs a shuffle by key; leave it out where it isn't read.
 
-    Dimensions join by broadcast or shuffle as Spark finds from their sizes.
+    Dimensions join by broadcast or shuffle as Spark finds from their sizes. Lines meet their
+    orders before the window: a shuffle by order serves both, and as an order has one district,
+    which is named among the window's keys, filters on districts go down to the scan of customers.
     """
     t = lambda name: table(spark, sf_dir, name)
     part = t("part").select("p_partkey", F.col("p_type").alias("commodity"), F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("brand"))
     place = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("district"), F.col("r_name").alias("state"))
     tested = t("orders").select("o_orderkey", "o_custkey").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    lines = t("lineitem")
+    lines = t("lineitem").join(tested, F.col("l_orderkey") == F.col("o_orderkey"))
     if flags:
-        order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+        order = Window.partitionBy("l_orderkey", "l_linenumber", "c_nationkey").orderBy("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
         lines = lines.withColumn("is_duplicate", F.row_number().over(order) > 1)
-    joined = lines.join(tested, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(place, F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(place, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("contaminant_id"),

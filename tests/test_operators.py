@@ -46,6 +46,33 @@ def test_insert_absent(spark):
     assert {tuple(r) for r in got.collect()} == {(3, "x"), (4, "w"), (5, "y")}
 
 
+def test_numbers_in_order_over_many_ranges(spark):
+    import random
+
+    names = [f"{n:06x}" for n in random.Random(5).sample(range(1 << 20), 5000)] + [None, "", "same", "same"]
+    rows = spark.createDataFrame([(n, "clash") for n in names], "name string, _n string").repartition(7)
+    got = sorted((r["id"], r["name"], r["_n"]) for r in upsert.in_order(rows, "name", "id").collect())
+    assert [g[0] for g in got] == list(range(1, len(names) + 1))
+    assert [g[1] for g in got] == [None, *sorted(names[:5000] + names[5001:])] and {g[2] for g in got} == {"clash"}
+    assert upsert.in_order(spark.createDataFrame([], "name string"), "name", "id").count() == 0
+
+
+def test_a_district_is_sought_at_the_customers(spark, small):
+    from sparrowmill.plans import views
+
+    own = views.facts(spark, small).where((F.col("district_id") == 1) & ~F.col("is_duplicate"))
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window") :]
+    assert "c_nationkey" in window and "(c_nationkey" in window[window.index("Filter") :]
+    shuffled = views.facts(spark, small).where(~F.col("is_duplicate")).select("order_id", "is_duplicate", "amount")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = shuffled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("hashpartitioning(l_orderkey") == 1
+
+
 def test_fuzzy_names(spark):
     aliases = spark.createDataFrame([(0, "aflatoxin b1", "af"), (1, "lead", "pb"), (2, "cadmium", "cd")], "rank int, alias string, canonical string")
     rows = spark.createDataFrame([(" Lead ",), ("b1 aflatoxn",), ("leed",), ("",), (None,), ("cadmum",)], "name string")
