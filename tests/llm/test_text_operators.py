@@ -1,8 +1,11 @@
+import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -438,6 +441,87 @@ def test_classifiers_on_held_out_rows(spark, small):
     assert held_out(spark, sf, toxicity, "toxic") >= 0.9
 
 
+class PlainFtrl:
+    """Follow-the-regularised-leader over a dictionary, one number at a time."""
+
+    def __init__(self, size, alpha, beta, l1, l2):
+        self.size, self.alpha, self.beta, self.l1, self.l2, self.z, self.n = size, alpha, beta, l1, l2, {}, {}
+
+    def weight(self, f):
+        z, l1 = self.z.get(f, 0.0), 0.0 if f == self.size else self.l1
+        if abs(z) <= l1:
+            return 0.0
+        return -(z - math.copysign(l1, z)) / ((self.beta + math.sqrt(self.n.get(f, 0.0))) / self.alpha + self.l2)
+
+    def learn(self, index, value, target, importance=1.0):
+        row = [*zip([f if isinstance(f, tuple) else int(f) for f in index], map(float, value)), (self.size, 1.0)]
+        w = {f: self.weight(f) for f, _ in row}
+        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[f] * x for f, x in row)))))
+        for f, x in row:
+            g, n = importance * (p - target) * x, self.n.get(f, 0.0)
+            self.z[f] = self.z.get(f, 0.0) + g - (math.sqrt(n + g * g) - math.sqrt(n)) / self.alpha * w[f]
+            self.n[f] = n + g * g
+
+    def weights(self):
+        out = np.zeros(self.size, np.float32)
+        for f in self.z:
+            if f != self.size:
+                out[f] = self.weight(f)
+        return out, self.weight(self.size)
+
+
+def plain_form(word):
+    kinds = ["A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "a" if "a" <= c <= "z" or c > "\x7f" else c for c in word]
+    return "".join(k for k, before in zip(kinds, ["", *kinds]) if k != before)
+
+
+def plain_features(text):
+    """Counts of words, forms and pairs of neighbours, by their own text instead of a hash."""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+    lower, form = [w.translate({c: c + 32 for c in range(65, 91)}) for w in words], [plain_form(w) for w in words]
+    found = [("w", w) for w in lower] + [("f", f) for f in form]
+    found += [("ww", "equal") if a == b else ("ww", a, b) for a, b in zip(lower, lower[1:])] + [("ff", a, b) for a, b in zip(form, form[1:])]
+    return collections.Counter(found), len(words)
+
+
+def test_quality_scores_are_those_of_a_plain_learner(spark):
+    rng = random.Random(23)
+    good, bad = ["The", "river", "falls", "in", "1999,", "Ünder"], ["CLICK", "here!!!", "$$$", "buy", "Buy", "now"]
+    texts = {k: " \n".join(rng.choice(good if rng.random() < (0.8 if k % 2 else 0.2) else bad) for _ in range(rng.randint(1, 25))) for k in range(1, 161)}
+    texts |= {161: None, 162: "", 163: "river"}
+    labels = {k: (k % 2 if rng.random() < 0.95 else 1 - k % 2) for k in texts}
+    model = PlainFtrl(("bias",), alpha=2.0, beta=0.05, l1=0.02, l2=0.001)
+    order = sorted((k for k in texts if zlib.crc32(str(k).encode()) % 5), key=lambda k: (k * 0x9E3779B97F4A7C15 & 0xFFFFFFFF, k))
+    shares = {}
+    for k, t in texts.items():
+        count, n = plain_features(t)
+        shares[k] = ([*count], [c / max(1, n) for c in count.values()])
+    for _ in range(4):
+        for k in order:
+            model.learn(*shares[k], labels[k])
+    docs = documents(spark, [(k, t, None) for k, t in texts.items()])
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.quality_scores(docs, spark.createDataFrame([(k, y, 0) for k, y in labels.items()], "doc_id long, quality int, toxic int")).collect()}
+    for k, (found, share) in shares.items():
+        total = model.weight(("bias",)) + sum(model.weight(f) * x for f, x in zip(found, share))
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-total)), abs=2e-3), texts[k]
+    assert max(got.values()) > 0.7 and min(got.values()) < 0.3
+
+
+def test_toxicity_scores_are_those_of_a_plain_learner(spark, monkeypatch):
+    rng = random.Random(29)
+    words, bad = [f"word{chr(97 + k)}" for k in range(15)], ["idiot", "scum", "moron"]
+    texts = {k: " ".join(rng.choice(words) for _ in range(12)) + (" " + " ".join(rng.sample(bad, 2)) if k % 4 == 0 else "") for k in range(200)} | {200: None, 201: "idiot idiot scum"}
+    docs = documents(spark, [(k, t, None) for k, t in texts.items()])
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(200)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "Ftrl", PlainFtrl)
+    weights, bias = toxicity.train(docs, labels)
+    for k, text in texts.items():
+        total = bias + sum(float(weights[f]) for f in set(toxicity.features([text])[0].tolist()))
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-4), text
+    assert got[201] > 0.7 > got[200]
+
+
 @pytest.mark.parametrize("module", [quality_classifier, toxicity])
 def test_classifiers_with_odd_rows(spark, module):
     score = module.quality_scores if module is quality_classifier else module.toxicity_scores
