@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparrowmill.functions import scalars as S
+from sparrowmill.operators import features
 from sparrowmill.plans.views import AGG, COMMODITIES, ER, facts, months_ago, quarters, since, usable
 from sparrowmill.storage import table
 
@@ -110,7 +111,21 @@ def risk_features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (agg_district_quarter, latest_aggregate, district_events_topk, brand_events_topk, alerts_topk, heatmap_latest, market_gaps, insurance_profile, search_union, brand_profile, risk_features)}
+def _measured_districts(spark: SparkSession, d: str) -> DataFrame:
+    """Districts with water (here the largest balance of their customers) and industry (their suppliers), each unknown in some."""
+    t = lambda name: table(spark, d, name)
+    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("district_id"), F.col("r_name").alias("state"))
+    water = t("customer").where("c_nationkey % 3 > 0").groupBy(F.col("c_nationkey").alias("district_id")).agg((F.max("c_acctbal") / 100).alias("wqi"))
+    industry = t("supplier").where("s_nationkey % 4 > 0").groupBy(F.col("s_nationkey").alias("district_id")).agg(F.count(F.lit(1)).cast("double").alias("industry"))
+    return places.join(water, "district_id", "left").join(industry, "district_id", "left")
+
+
+def features_imputed(spark: SparkSession, d: str) -> DataFrame:
+    """Training features with stand-ins for what isn't known of a district; nothing is known of densities."""
+    return features.training_features(quarters(facts(spark, d)), _measured_districts(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (agg_district_quarter, latest_aggregate, district_events_topk, brand_events_topk, alerts_topk, heatmap_latest, market_gaps, insurance_profile, search_union, brand_profile, risk_features, features_imputed)}
 
 _EV = "order_id, contaminant_id, part_id, lab_id, test_date::varchar as test_date, ppb, pass_fail, confidence_score::double as confidence_score"
 _BY = "test_date desc, order_id, contaminant_id, part_id, lab_id"
@@ -141,4 +156,12 @@ select district_id, commodity, quarter, state, n_tests, fail_rate,
 coalesce(fail_rate::decimal(10,4) - lag(fail_rate) over (partition by district_id, commodity order by quarter)::decimal(10,4), 0)::double as slope,
 sum(fail_rate::decimal(10,4)) over (partition by state, commodity, quarter)::double / count(*) over (partition by state, commodity, quarter) as state_rate,
 right(quarter, 1)::int as season, 50.0::double as wqi, 500.0::double as density, (fail_rate > 0)::int as label from b""",
+    "features_imputed": f"""with {ER}, {AGG}, w as (select c_nationkey as district_id, max(c_acctbal) / 100 as wqi from customer where c_nationkey % 3 > 0 group by all),
+i as (select s_nationkey as district_id, count(*)::double as industry from supplier where s_nationkey % 4 > 0 group by all),
+b as (select agg.*, r_name as state from agg join nation on district_id = n_nationkey join region on n_regionkey = r_regionkey where n_tests >= 3)
+select district_id, commodity, quarter, state, n_tests, fail_rate,
+coalesce(fail_rate::decimal(10,4) - lag(fail_rate) over (partition by district_id, commodity order by quarter)::decimal(10,4), 0)::double as slope,
+coalesce(sum(fail_rate::decimal(10,4)) over (partition by state, commodity, quarter)::double / count(fail_rate) over (partition by state, commodity, quarter), fail_rate) as state_rate,
+right(quarter, 1)::int as season, coalesce(wqi, 50) as wqi, coalesce(industry, 50) as industry, 500.0::double as density, (coalesce(fail_rate, 0) > 0)::int as label
+from b left join w using (district_id) left join i using (district_id)""",
 }

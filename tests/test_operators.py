@@ -73,6 +73,21 @@ def test_a_district_is_sought_at_the_customers(spark, small):
     assert plan.count("hashpartitioning(l_orderkey") == 1
 
 
+def test_gaps_in_features_are_filled(spark):
+    from sparrowmill.operators import features
+
+    aggregates = [(1, "a", "2024-Q1", 5, 0.2), (1, "a", "2024-Q2", 4, 0.5), (2, "a", "2024-Q2", 3, 0.1), (2, "a", "2024-Q3", 3, None), (1, "b", "2024-Q1", 2, 1.0), (3, "a", "2024-Q4", 9, 0.0), (9, "a", "2024-Q1", 9, 0.3)]
+    rows = spark.createDataFrame(aggregates, "district_id int, commodity string, quarter string, n_tests int, fail_rate double")
+    districts = spark.createDataFrame([(1, "n", 61.5, None), (2, "n", None, 12.0), (3, None, float("nan"), 0.0)], "district_id int, state string, wqi double, industry double")
+    got = {(r["district_id"], r["quarter"]): r for r in features.training_features(rows, districts).collect()}
+    assert set(got) == {(1, "2024-Q1"), (1, "2024-Q2"), (2, "2024-Q2"), (2, "2024-Q3"), (3, "2024-Q4")}
+    assert [got[1, q]["slope"] for q in ("2024-Q1", "2024-Q2")] == [0.0, pytest.approx(0.3)] and got[2, "2024-Q3"]["slope"] == 0.0
+    assert got[1, "2024-Q2"]["state_rate"] == pytest.approx(0.3) == got[2, "2024-Q2"]["state_rate"] and got[2, "2024-Q3"]["state_rate"] is None
+    assert [(r["wqi"], r["industry"], r["density"]) for r in (got[1, "2024-Q1"], got[2, "2024-Q2"], got[3, "2024-Q4"])] == [(61.5, 50.0, 500.0), (50.0, 12.0, 500.0), (50.0, 0.0, 500.0)]
+    assert [got[k]["label"] for k in ((1, "2024-Q1"), (2, "2024-Q3"), (3, "2024-Q4"))] == [1, 0, 0]
+    assert features.training_features(rows.limit(0), districts).count() == 0
+
+
 def test_fuzzy_names(spark):
     aliases = spark.createDataFrame([(0, "aflatoxin b1", "af"), (1, "lead", "pb"), (2, "cadmium", "cd")], "rank int, alias string, canonical string")
     rows = spark.createDataFrame([(" Lead ",), ("b1 aflatoxn",), ("leed",), ("",), (None,), ("cadmum",)], "name string")
