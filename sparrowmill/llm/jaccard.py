@@ -50,6 +50,9 @@ CENTRES = 2
 FEW = 4
 BLOCK_ROWS = 1024
 BLOCK_GRAMS = 1 << 21
+#: Bytes of text signed at once and rows whose columns are chosen at once: what a batch takes lives on in the worker, in 16 and more bytes a byte of text.
+SIGN_CHARS = 1 << 18
+CHOOSE_ROWS = 250
 #: Bits of the filter that names the sets to be fetched.
 FETCH_BITS = 1 << 24
 _SIGNED = "doc_id long, set_id long, n long, marks array<long>, grams array<long>"
@@ -89,7 +92,7 @@ def signed_documents(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, set_id (equal for equal sets), n, marks and grams of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, chars=SIGN_CHARS):
             sets = gram_sets(batch.column("text").to_pylist(), width)
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             listed = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in x])]), pa.int32()), pa.array(np.concatenate(x), pa.int64()))
@@ -143,7 +146,7 @@ def columns(signed: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
     """gram, set_id, n: the first columns of each different set, rare ones first."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, CHOOSE_ROWS) for whole in batches for lo in range(0, whole.num_rows, CHOOSE_ROWS)):
             own = batch.column("grams")
             grams, n = own.flatten().to_numpy(), own.value_lengths().to_numpy().astype(np.int64)
             a, b = (levels[s] for s in _slots(grams, len(levels)))
@@ -204,20 +207,21 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
 
 def _fetched(signed: DataFrame, ids: DataFrame) -> DataFrame:
-    """set_id, n, grams of the sets of ids (set_id), each once; a stored table. A filter keeps most others out of the shuffle."""
+    """set_id, n, grams of the sets of ids (set_id), each once; a stored table.
+
+    A filter keeps most others out of the shuffle. Only places in it go to Python, as sets
+    of all rows would fill Arrow buffers on both sides of the pipe.
+    """
     ids = written(ids.distinct(), "wanted")
     bits = _filter_of(ids)
-    places = [F.shiftrightunsigned(F.xxhash64("set_id", F.lit(k)), 64 - (FETCH_BITS.bit_length() - 1)).alias(f"p{k}") for k in range(2)]
+    places = [F.shiftrightunsigned(F.xxhash64("set_id", F.lit(k)), 64 - (FETCH_BITS.bit_length() - 1)) for k in range(2)]
 
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for k in range(2):
-                at = batch.column(f"p{k}").to_numpy()
-                keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            yield batch.filter(pa.array(keep)).select(["set_id", "n", "grams"])
+    @F.arrow_udf("boolean")
+    def passing(first: pa.Array, second: pa.Array) -> pa.Array:
+        held = lambda at: bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
+        return pa.array((held(first.to_numpy()) & held(second.to_numpy())).astype(bool))
 
-    likely = map_texts(signed.where("n > 0").select("set_id", "n", "grams", *places), passing, "set_id long, n long, grams array<long>")
+    likely = signed.where("n > 0").select("set_id", "n", "grams").where(passing(*places))
     once = likely.groupBy("set_id").agg(F.first("n").alias("n"), F.first("grams").alias("grams")).join(ids, "set_id", "left_semi")
     return written(once, "fetched")
 
@@ -242,11 +246,11 @@ def product(grams: list[np.ndarray]) -> np.ndarray:
     held = np.bincount(column)
     total = np.zeros((size, size), np.float32)
     dense = np.flatnonzero(held > max(4, size // 16))
-    for lo in range(0, len(dense), 4096):
+    for lo in range(0, len(dense), 1024):
         number = np.full(len(held), -1)
-        number[dense[lo : lo + 4096]] = np.arange(len(dense[lo : lo + 4096]))
+        number[dense[lo : lo + 1024]] = np.arange(len(dense[lo : lo + 1024]))
         inside = number[column] >= 0
-        x = np.zeros((size, len(dense[lo : lo + 4096])), np.float32)
+        x = np.zeros((size, len(dense[lo : lo + 1024])), np.float32)
         x[row[inside], number[column[inside]]] = 1
         total += x @ x.T
     thin = (held > 1) & (held <= max(4, size // 16))
@@ -289,8 +293,13 @@ def _block_product(rows: pa.Table, percent: int) -> pa.Table:
     grams = rows.column("grams").combine_chunks()
     upto = np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
     flat = grams.flatten().to_numpy()
-    overlap = product([flat[lo:hi] for lo, hi in zip(upto, upto[1:])]).astype(np.int64)
-    return _joining(ids, labels, (overlap * 100 >= (n[:, None] + n[None, :] - overlap) * percent) & (labels[:, None] != labels[None, :]))
+    total = product([flat[lo:hi] for lo, hi in zip(upto, upto[1:])])
+    linked = labels[:, None] != labels[None, :]
+    for lo in range(0, len(ids), 128):
+        own = slice(lo, lo + 128)
+        overlap = total[own].astype(np.int64)
+        linked[own] &= overlap * 100 >= (n[own, None] + n[None, :] - overlap) * percent
+    return _joining(ids, labels, linked)
 
 
 def possible(n: np.ndarray, marks: list[np.ndarray], percent: int) -> np.ndarray:

@@ -216,6 +216,34 @@ def test_marks_never_exclude_a_similar_pair():
                 assert may[i, j] or not len(a) or 100 * both < 90 * (len(a) + len(b) - both)
 
 
+def test_batches_of_sets_are_small(spark, monkeypatch):
+    """What a worker holds of 2 MB of text, and what it passes on at once, follows SIGN_CHARS and CHOOSE_ROWS."""
+    import pyarrow as pa
+
+    passed = []
+    monkeypatch.setattr(jaccard, "map_texts", lambda rows, function, schema: passed.append(function) or spark.createDataFrame([], schema))
+    signed = jaccard.signed_documents(documents(spark, [(0, "a")]))
+    jaccard.columns(signed, np.zeros(64, np.uint8), 90)
+    sign, choose = passed
+    texts = [" ".join(f"w{k}x{i}" for i in range(300)) for k in range(1000)]
+    out = list(sign(iter([pa.record_batch({"doc_id": pa.array(range(1000)), "text": pa.array(texts)})])))
+    assert sum(b.num_rows for b in out) == 1000 and max(b.nbytes for b in out) < 1 << 20
+    whole = pa.Table.from_batches(out).select(["set_id", "n", "grams"]).combine_chunks().to_batches()
+    chosen = list(choose(iter(whole)))
+    assert sum(b.num_rows for b in chosen) == 1000 and max(b.num_rows for b in chosen) <= 250
+    assert [v for b in chosen for v in b.column("grams").to_pylist()] == [g[:jaccard.prefix(len(g), 90)] for g in whole[0].column("grams").to_pylist()]
+
+
+def test_sets_are_fetched_without_a_way_through_python(spark, monkeypatch):
+    texts = [" ".join(f"w{k}x{i}" for i in range(k + 1)) for k in range(40)]
+    signed = jaccard.written(jaccard.signed_documents(documents(spark, list(enumerate([*texts, *texts, None])))), "sets")
+    ids = signed.where("doc_id % 3 = 1").select("set_id")
+    monkeypatch.setattr(jaccard, "map_texts", None)
+    got = jaccard._fetched(signed, ids)
+    asked = {r["set_id"] for r in ids.collect()}
+    assert sorted((r["set_id"], r["n"], tuple(r["grams"])) for r in got.collect()) == sorted({(r["set_id"], r["n"], tuple(r["grams"])) for r in signed.where("n > 0").collect() if r["set_id"] in asked})
+
+
 def test_products_of_blocks():
     rng = np.random.default_rng(0)
     grams = [np.unique(rng.integers(0, m, k)) for m, k in [(30, 20), (50, 10), (1000, 200), (40, 25), (3, 3)] * 30]
