@@ -7,6 +7,7 @@ look-up tells where each part stands, and one date is built from the parts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column
@@ -16,7 +17,6 @@ from sparrowmill.functions import lookups as L
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 ZONES = ("gmt", "utc", "ist", "est", "edt", "cst", "cdt", "mst", "mdt", "pst", "pdt", "bst", "cet", "cest", "z")
-_SEPARATORS = r"[ ,./-]+"
 
 
 def listed_shapes() -> dict[str, str]:
@@ -44,41 +44,70 @@ def loose_shapes() -> dict[str, str]:
 
 
 def _lookup(pairs: dict[str, object], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair]), key)
+    return F.try_element_at(F.create_map(*[x if isinstance(x, Column) else F.lit(x) for pair in pairs.items() for x in pair]), key)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is found once a row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def _tidy(raw: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(raw, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(raw, r"\s{2,}|[^\S ]", " ")))
 
 
 def _shape(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "0123456789", "9" * 10), "[a-z]+", "a")
 
 
-def _dated(text: Column, shapes: dict[str, str]) -> Column:
-    """The date of a tidy text under the order that its shape has; null for other shapes and for days that don't exist."""
-    order = _lookup(shapes, _shape(text))
-    parts = F.split(text, _SEPARATORS)
-    months = {name: k for k, month in enumerate(L.MONTHS, 1) for name in (month.lower(), month[:3].lower())}
-    full = {month.lower(): k for k, month in enumerate(L.MONTHS, 1)}
-    built = None
-    for o in sorted(set(shapes.values())):
-        part = {letter: F.get(parts, k) for k, letter in enumerate(o)}
-        year = part["y"] if "y" in part else F.concat(F.when(part["s"] >= "69", "19").otherwise("20"), part["s"])
-        month = part["m"] if "m" in part else (_lookup(months, part["n"]) if "n" in part else _lookup(full, part["N"])).cast("string")
-        date = F.concat(year, F.lit("-"), month, F.lit("-"), part.get("d", F.lit("1")))
-        built = F.when(order == o, date) if built is None else built.when(order == o, date)
-    return F.try_to_date(built, "yyyy-M-d")
+def _places(order: str, listed: bool) -> Column:
+    """Where year, month and day stand among the parts of a text (no day: null), whether the form is a listed one, and whether that takes only a month's full name."""
+    at = {{"s": "y", "n": "m", "N": "m"}.get(letter, letter): k for k, letter in enumerate(order)}
+    return F.struct(F.lit(at["y"]).alias("y"), F.lit(at["m"]).alias("m"), F.lit(at.get("d")).cast("int").alias("d"), F.lit(listed).alias("listed"), F.lit("N" in order).alias("full"))
+
+
+def _dated(text: Column, at: Column) -> Column:
+    """A struct of day (null for one that doesn't exist) and listed, of a tidy text with its places."""
+    months = {name: str(k) for k, month in enumerate(L.MONTHS, 1) for name in (month.lower(), month[:3].lower())}
+    full = sorted(month.lower() for month in L.MONTHS)
+
+    def built(parts: Column) -> Column:
+        year, month = F.get(parts, at["y"]), F.get(parts, at["m"])
+        century = F.when(F.length(year) > 2, "").when(year >= "69", "19").otherwise("20")
+        day = F.coalesce(F.get(parts, at["d"]), F.lit("1"))
+        date = F.concat(century, year, F.lit("-"), F.coalesce(_lookup(months, month), month), F.lit("-"), day).try_cast("date")
+        return F.struct(date.alias("day"), (at["listed"] & (~at["full"] | month.isin(*full))).alias("listed"))
+
+    # In every form that is read, parts stand apart by one separator, or by a comma and a space.
+    return let(F.split(F.translate(text, "./-,", "   "), " "), built)
 
 
 def parse_date(raw: Column) -> Column:
     """The date of a text in one of the listed formats; two-digit years from 69 on are of the last century."""
-    return _dated(_tidy(raw), listed_shapes())
+    places = {shape: _places(order, True) for shape, order in listed_shapes().items()}
+    found = lambda text: let(_lookup(places, _shape(text)), lambda at: F.when(at.isNotNull(), _dated(text, at)))
+    return let(let(_tidy(raw), found), lambda f: F.when(f["listed"], f["day"]))
 
 
-def parse_date_loosely(raw: Column) -> Column:
-    """The date of a text that is in no listed format: a weekday before, a time and zone after, and the endings of ordinals are passed over."""
+def _bare(text: Column) -> Column:
+    """A tidy text without a weekday before, a time and zone after, and the endings of ordinals."""
     days = "|".join(sorted({d[:n] for d in WEEKDAYS for n in (3, 9)}, key=lambda d: (-len(d), d)))
     zone = rf"(?: ?(?:{'|'.join(ZONES)}|[+-][0-9]{{2}}:?[0-9]{{2}}))?"
-    bare = F.regexp_replace(_tidy(raw), rf"^(?:{days}),? |(?:[ t]|, )[0-9]{{1,2}}:[0-9]{{2}}(?::[0-9]{{2}}(?:[.][0-9]+)?)?(?: ?[ap]m)?{zone}$", "")
-    return _dated(F.regexp_replace(bare, r"\b([0-9]{1,2})(?:st|nd|rd|th)\b", "$1"), loose_shapes())
+    bare = F.regexp_replace(text, rf"^(?:{days}),? |(?:[ t]|, )[0-9]{{1,2}}:[0-9]{{2}}(?::[0-9]{{2}}(?:[.][0-9]+)?)?(?: ?[ap]m)?{zone}$", "")
+    return F.regexp_replace(bare, r"\b([0-9]{1,2})(?:st|nd|rd|th)\b", "$1")
+
+
+def read_date(raw: Column) -> Column:
+    """A struct of day and listed: as parse_date, else as a general reader takes it; null where nothing is read.
+
+    A shape has one order for both readers, so a text is taken apart once. No text with a loose shape has
+    anything that bare texts leave out, but weekdays in a month's place, which are no date either way.
+    """
+    loose = {shape: _places(order, False) for shape, order in loose_shapes().items()}
+    both = loose | {shape: _places(order, True) for shape, order in listed_shapes().items()}
+
+    def found(text: Column, places: dict[str, Column], otherwise: Callable[[Column], Column] | None = None) -> Column:
+        dated = lambda at: F.when(at.isNotNull(), _dated(text, at))
+        return let(_lookup(places, _shape(text)), dated if otherwise is None else lambda at: dated(at).otherwise(otherwise(text)))
+
+    return let(_tidy(raw), lambda text: found(text, both, lambda t: let(_bare(t), lambda b: found(b, loose))))

@@ -43,16 +43,14 @@ def parse_date(raw: Column) -> Column:
 
 def parse_date_loosely(raw: Column) -> Column:
     """A struct of day and ambiguous: as parse_date, else as a general reader takes it, when ambiguous is true."""
-    strict, loose = dates.parse_date(raw), dates.parse_date_loosely(raw)
-    return F.struct(F.coalesce(strict, loose).alias("day"), F.when(strict.isNotNull(), date_is_ambiguous(raw)).otherwise(F.when(loose.isNotNull(), True).otherwise(date_is_ambiguous(raw))).alias("ambiguous"))
+    stated = date_is_ambiguous(raw)
+    return dates.let(dates.read_date(raw), lambda f: F.struct(f["day"].alias("day"), ((f["day"].isNotNull() & ~f["listed"]).eqNullSafe(True) | stated).alias("ambiguous")))
 
 
 def date_is_ambiguous(raw: Column) -> Column:
     """Day and month could be exchanged: both from 1 to 12, and different."""
-    a = F.regexp_extract(F.coalesce(F.trim(raw), F.lit("")), r"^(\d{1,2})[/-](\d{1,2})[/-]", 1)
-    b = F.regexp_extract(F.coalesce(F.trim(raw), F.lit("")), r"^(\d{1,2})[/-](\d{1,2})[/-]", 2)
-    x, y = a.try_cast("int"), b.try_cast("int")
-    return F.coalesce(x.between(1, 12) & y.between(1, 12) & (x != y), F.lit(False))
+    one, other = r"(?:0?([1-9])|(1[0-2]))[/-]", r"(?:0?[1-9]|1[0-2])[/-]"
+    return F.coalesce(F.trim(raw).rlike(rf"^{one}(?!(?:0?\1|\2)[/-]){other}"), F.lit(False))
 
 
 def normalise_pass_fail(raw: Column) -> Column:

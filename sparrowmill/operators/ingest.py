@@ -20,8 +20,7 @@ def standardise(rows: DataFrame, aliases: DataFrame, limits: DataFrame, keep: li
     places.resolve_districts; without it districts are only trimmed. Dates in no listed format are read loosely and
     count as ambiguous. Fields that can't be read are null and named in errors; a district that isn't found keeps its text.
     """
-    named = fuzzy.canonicalise(rows, "contaminant", aliases, 80.0)
-    known = named.join(limits.select(F.col("contaminant").alias("canonical"), "limit_ppb"), "canonical", "left")
+    known = fuzzy.canonicalise(rows, "contaminant", aliases, 80.0, limits.select(F.col("contaminant").alias("canonical"), "limit_ppb"))
     ppb, day = S.unit_to_ppb(F.col("value"), F.col("unit")), S.parse_date_loosely(F.col("date"))
     filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
     read = known.withColumns({"_ppb": ppb, "_day": day, "_state": S.canonical_state(F.col("state"))})

@@ -57,7 +57,7 @@ def names_alike(spark: SparkSession, d: str, least: float = 75.0) -> DataFrame:
 
 
 def dates_loose(spark: SparkSession, d: str) -> DataFrame:
-    shown = F.element_at(F.array(*[F.date_format("day", f) for f in _LOOSE]), F.col("line"))
+    shown = standard.written_day("day", _LOOSE, F.col("line"))
     found = raw(spark, d).withColumn("day", F.col("day").cast("date")).select(*[c if c != "day" else F.col("day").cast("string").alias("day") for c in _KEY], S.parse_date_loosely(shown).alias("f"))
     return found.select(*_KEY, F.col("f.day").cast("string").alias("parsed"), F.col("f.ambiguous").alias("ambiguous"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparrowmill.functions import scalars as S
 from sparrowmill.operators.entities import Automaton, found_entities, leftmost
+from sparrowmill.plans import runs
 from sparrowmill.sources import formats
 
 
@@ -79,3 +80,19 @@ def test_fields_of_sentences(spark):
     got = formats.text_fields(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()
     said = {r["text"]: (r["contaminant"], r["value"], r["unit"], r["date"]) for r in got}
     assert said == texts
+
+
+def planned(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_not_shuffled_for_their_names(spark, small):
+    """Names that were found are few and stored, so rows meet them by broadcast; sizes that Spark doesn't know would shuffle all rows by a few hot names."""
+    plan = planned(runs.standardised_records(spark, small))
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_a_date_is_taken_apart_once(spark):
+    """However often day and ambiguity are read: the look-up by shape stands once in the plan, once more for bare texts."""
+    read = spark.createDataFrame([("5 May 2020",)], "d string").select(S.parse_date_loosely(F.col("d")).alias("f")).select("f.day", "f.ambiguous", F.col("f.day").isNull().alias("none"))
+    assert planned(read).count("[a-z]+") <= 2
