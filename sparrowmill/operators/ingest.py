@@ -54,9 +54,10 @@ def flag_duplicates(rows: DataFrame, history: DataFrame, order: list[str]) -> Da
 
 def lab_tiers(names: DataFrame, labs: DataFrame | None) -> DataFrame:
     """name, tier of each different name: 1 by a keyword in it, else the tier of the laboratory (lab_id, lab_name, tier) with the lowest id whose name contains it."""
-    distinct = names.select("name").where(F.trim("name") != "").distinct().withColumn("_word", S.lab_tier(F.col("name")))
+    distinct = names.select("name").where(F.trim("name") != "").distinct()
     if labs is None:
-        return distinct.select("name", F.col("_word").alias("tier"))
+        return distinct.select("name", S.lab_tier(F.col("name")).alias("tier"))
+    distinct = written(distinct, "labs").withColumn("_word", S.lab_tier(F.col("name")))
     found = labs_by_name(distinct.where("_word is null"), labs).join(labs.select("lab_id", F.col("tier").alias("_table")), "lab_id").select(F.col("name").alias("_n"), "_table")
     return distinct.join(found, F.col("name") == F.col("_n"), "left").select("name", F.coalesce("_word", "_table").alias("tier"))
 
@@ -71,10 +72,12 @@ def score(rows: DataFrame, ocr: Column, manual: Column, commodities: DataFrame |
     if commodities is None:
         named = rows.withColumn("category", S.commodity_category(F.col("commodity")))
     else:
-        found = places.categories_by_table(rows.select(F.col("commodity").alias("name")).distinct(), commodities)
+        goods = written(rows.select(F.col("commodity").alias("name")).distinct(), "names")
+        found = written(places.categories_by_table(goods, commodities), "categories")
         named = rows.join(found.withColumnRenamed("name", "commodity"), "commodity", "left").select(*rows.columns, "category")
-    tiers = lab_tiers(rows.select(F.col("lab").alias("name")), labs)
-    known = named.join(ranges, ["contaminant", "category"], "left").join(tiers.select(F.col("name").alias("_lab"), "tier"), F.col("lab") == F.col("_lab"), "left")
+    # What is found for names is stored, so that Spark knows its size and needn't shuffle rows by a few hot names.
+    tiers = written(lab_tiers(rows.select(F.col("lab").alias("name")), labs), "tiers")
+    known = named.join(F.broadcast(ranges), ["contaminant", "category"], "left").join(tiers.select(F.col("name").alias("_lab"), "tier"), F.col("lab") == F.col("_lab"), "left")
     inside = F.coalesce(F.col("ppb").between(F.col("lo"), F.col("hi")), F.lit(False))
     parts = (F.coalesce(F.col("tier") == 1, F.lit(False)), inside, ocr, manual)
     value = S.confidence(*parts)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparrowmill.functions import scalars as S
 from sparrowmill.operators.similar import similar
+from sparrowmill.storage import written
 
 
 def resolve_districts(rows: DataFrame, districts: DataFrame, least: float = 75.0) -> DataFrame:
@@ -17,12 +18,12 @@ def resolve_districts(rows: DataFrame, districts: DataFrame, least: float = 75.0
     by token-sorted similarity of at least least (the highest, then the lowest id),
     each within the row's state where it has one. Names that match nothing keep their
     text and get no id. Distinct names meet the dimension of districts, not facts,
-    over an index of letter pairs (see similar).
+    over an index of letter pairs (see similar); they and what is found are stored (see fuzzy.canonicalise).
     """
     key, state = F.lower(F.trim("district")), F.trim("state")
     variants = districts.select("id", F.col("name").alias("_name"), F.col("state").alias("_in"), F.explode(F.concat(F.array("name"), F.coalesce("alternate_names", F.expr("cast(array() as array<string>)")))).alias("_variant"))
     variants = variants.select("id", "_name", "_in", F.lower(F.trim("_variant")).alias("_variant")).where("_variant <> ''")
-    names = rows.select(key.alias("_key"), F.nullif(state, F.lit("")).alias("_state")).where("_key <> ''").distinct()
+    names = written(rows.select(key.alias("_key"), F.nullif(state, F.lit("")).alias("_state")).where("_key <> ''").distinct(), "places")
     here = F.col("_state").isNull() | (F.col("_state") == F.col("_in"))
     exact = names.join(variants, (F.col("_key") == F.col("_variant")) & here).groupBy("_key", "_state").agg(F.max(F.struct("id", "_name")).alias("b"))
     exact = exact.select("_key", "_state", "b.id", F.col("b._name").alias("_name"), F.lit(100.0).alias("score"))
@@ -34,7 +35,7 @@ def resolve_districts(rows: DataFrame, districts: DataFrame, least: float = 75.0
     scored = met.select("_key", "_state", "id", "_name", "score")
     best = scored.groupBy("_key", "_state").agg(F.max(F.struct("score", (-F.col("id")).alias("r"), "id", "_name")).alias("b"))
     found = exact.unionByName(best.select("_key", "_state", "b.id", "b._name", "b.score"))
-    found = found.select(F.col("_key").alias("k"), F.col("_state").alias("s"), F.col("id").alias("district_id"), F.col("_name").alias("_found"), F.col("score").alias("district_score"))
+    found = written(found.select(F.col("_key").alias("k"), F.col("_state").alias("s"), F.col("id").alias("district_id"), F.col("_name").alias("_found"), F.col("score").alias("district_score")), "places")
     joined = rows.withColumn("_key", key).withColumn("_state", F.nullif(state, F.lit(""))).join(found, (F.col("_key") == F.col("k")) & F.col("_state").eqNullSafe(F.col("s")), "left")
     return joined.select(*rows.columns, "district_id", F.coalesce("_found", "district").alias("district_name"), "district_score")
 
@@ -56,9 +57,9 @@ def alias_dictionary(fixed: DataFrame, table: DataFrame) -> DataFrame:
 
 def categories_by_table(names: DataFrame, commodities: DataFrame) -> DataFrame:
     """names (name) with category: by words in the name, else of the commodity (id, name, category, aliases) with the lowest id whose name contains it or that has it as an alias."""
-    distinct = names.select("name").where(F.trim("name") != "").distinct().withColumn("_word", S.commodity_category(F.col("name")))
+    distinct = written(names.select("name").where(F.trim("name") != "").distinct(), "names").withColumn("_word", S.commodity_category(F.col("name")))
     open_ = distinct.where("_word is null").select(F.col("name").alias("_n"))
     hit = F.ilike("c.name", F.concat(F.lit("%"), F.lower(F.trim("_n")), F.lit("%"))) | F.array_contains("c.aliases", F.col("_n"))
     found = open_.join(commodities.alias("c"), hit).groupBy("_n").agg(F.min(F.struct("c.id", "c.category")).alias("b")).select("_n", F.col("b.category").alias("_table"))
-    known = distinct.select("name", "_word").join(found, F.col("name") == F.col("_n"), "left").select("name", F.coalesce("_word", "_table").alias("category"))
+    known = written(distinct.select("name", "_word").join(found, F.col("name") == F.col("_n"), "left").select("name", F.coalesce("_word", "_table").alias("category")), "categories")
     return names.join(known, "name", "left")

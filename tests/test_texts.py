@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparrowmill.functions import scalars as S
 from sparrowmill.operators.entities import Automaton, found_entities, leftmost
-from sparrowmill.plans import runs
+from sparrowmill.plans import runs, texts as plans_of_texts
 from sparrowmill.sources import formats
 
 
@@ -96,3 +96,8 @@ def test_a_date_is_taken_apart_once(spark):
     """However often day and ambiguity are read: the look-up by shape stands once in the plan, once more for bare texts."""
     read = spark.createDataFrame([("5 May 2020",)], "d string").select(S.parse_date_loosely(F.col("d")).alias("f")).select("f.day", "f.ambiguous", F.col("f.day").isNull().alias("none"))
     assert planned(read).count("[a-z]+") <= 2
+
+
+def test_a_whole_ingest_shuffles_no_rows(spark, small):
+    plan = planned(plans_of_texts.ingest_resolved(spark, small))
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
