@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparrowmill.functions import scalars as S
 from sparrowmill.operators.entities import Automaton, found_entities, leftmost
 from sparrowmill.plans import runs, texts as plans_of_texts
-from sparrowmill.sources import formats
+from sparrowmill.sources import formats, grid
 
 
 def found_by_hand(words, patterns):
@@ -101,3 +101,57 @@ def test_a_date_is_taken_apart_once(spark):
 def test_a_whole_ingest_shuffles_no_rows(spark, small):
     plan = planned(plans_of_texts.ingest_resolved(spark, small))
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_tables_of_words_over_many_batches(spark):
+    """Pages that end and go on across Arrow batches, ties in place, overlapping words: the same in one batch and in many, together and shuffled, and by hand."""
+    dice = random.Random(5)
+    words = [(f"u{p // 7}" if p % 7 else None, p % 3, x, x + dice.randint(0, 40), y, y + dice.randint(1, 12), dice.choice("abcé𝄞"))
+             for p in range(60) for _ in range(dice.choice((0, 1, 5, 40, 300))) for x, y in [(dice.randint(0, 30) * 10.0, dice.randint(0, 60) * 8.0)]]
+    names = ["source_url", "page", "x0", "x1", "y0", "y1", "word"]
+    frame = spark.createDataFrame([(*w[:2], *map(float, w[2:6]), w[6]) for w in words], "source_url string, page int, x0 double, x1 double, y0 double, y1 double, word string")
+    by_page = {}
+    for w in words:
+        by_page.setdefault(w[:2], []).append(dict(zip(names, w)))
+    expected = {(*p, n): rows for p, some in by_page.items() for n, rows in enumerate(tables_by_hand(some, 8.0), 1)}
+    read = lambda f: {(r["source_url"], r["page"], r["table_no"]): r["rows"] for r in f.collect()}
+    assert len(expected) > 20 and read(grid.tables_of_words(frame, 8.0)) == expected
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set(key, "13")
+        assert read(grid.tables_of_words(frame.coalesce(1).sortWithinPartitions("source_url", "page"), 8.0, together=True)) == expected
+    finally:
+        spark.conf.set(key, before)
+
+
+def islands_by_hand(rows, lo, hi, gap, *order):
+    out, reach = [], None
+    for r in sorted(rows, key=lambda r: tuple(r[k] for k in order)):
+        if reach is None or r[lo] >= reach + gap:
+            out.append([])
+        out[-1].append(r)
+        reach = r[hi] if reach is None else max(reach, r[hi])
+    return out
+
+
+def tables_by_hand(words, gap):
+    tables, open_ = [], False
+    for n, line in enumerate(islands_by_hand(words, "y0", "y1", 0.0, "y0", "y1", "x0", "word")):
+        tabular = len(islands_by_hand(line, "x0", "x1", gap, "x0", "x1", "word")) > 1
+        if tabular and not open_:
+            tables.append([])
+        if tabular:
+            tables[-1] += [w | {"line": n} for w in line]
+        open_ = tabular
+    out = []
+    for table in tables:
+        cells = islands_by_hand(table, "x0", "x1", gap, "x0", "x1", "line", "word")
+        text = lambda cell, n: " ".join(w["word"] for w in sorted((w for w in cell if w["line"] == n), key=lambda w: (w["x0"], w["y0"], w["word"])))
+        out.append([[text(c, n) for c in cells] for n in sorted({w["line"] for w in table})])
+    return out
+
+
+def test_lines_not_words_are_shuffled_for_tables(spark, small):
+    """One shuffle, of what lines are made of, where words were shuffled and sorted time and again."""
+    plan = planned(plans_of_texts.grid_tables(spark, small))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Join" not in plan
