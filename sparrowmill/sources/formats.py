@@ -81,8 +81,11 @@ def text_fields(texts: DataFrame, column: str) -> DataFrame:
     """texts with the first contaminant, value, unit, verdict, date, state and laboratory found in a column of running text."""
     patterns = S.field_patterns()
     find = lambda name, group=1: F.nullif(F.regexp_extract(column, "(?iu)" + patterns[name], group), F.lit(""))
-    return texts.select(
-        "*", find("contaminant").alias("contaminant"), find("value_unit").alias("value"), find("value_unit", 2).alias("unit"), find("pass_fail").alias("verdict"),
+    # A value and its unit are found once; digits end where the unit or white space begins.
+    placed = texts.withColumn("_measured", find("value_unit", 0))
+    number = r"^\d+(?:\.\d+)?"
+    return placed.select(
+        *texts.columns, find("contaminant").alias("contaminant"), F.regexp_substr("_measured", F.lit(number)).alias("value"), F.regexp_replace("_measured", rf"{number}\s*", "").alias("unit"), find("pass_fail").alias("verdict"),
         find("date").alias("date"), find("state").alias("state"), find("lab_id").alias("lab_id"),
     )
 

@@ -155,3 +155,22 @@ def test_lines_not_words_are_shuffled_for_tables(spark, small):
     """One shuffle, of what lines are made of, where words were shuffled and sorted time and again."""
     plan = planned(plans_of_texts.grid_tables(spark, small))
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Join" not in plan
+
+
+def test_patterns_by_first_letter_find_the_same(spark):
+    """Against the alternatives joined by |, in texts with letters that fold to others and alternatives that are parts of others."""
+    dice = random.Random(9)
+    words = ["kerala", "Kerala", "punjab", "pun", "Sikkim", "ſikkim", "Ikon", "ıkon", "İkon", "goa", "GOAT", "x", "é", "1", "pun jab"]
+    frame = spark.createDataFrame([("".join(dice.choice(words) + dice.choice(["", " ", "-", "é"]) for _ in range(dice.randint(0, 6))),) for _ in range(800)], "t string")
+    listed = ["pun", "Punjab", "kerala", "Sikkim", "ikon", r"goat?", "kera"]
+    for before, after in (("", ""), (r"\b", r"\b")):
+        plain, grouped = rf"(?iu){before}({'|'.join(listed)}){after}", "(?iu)" + S.by_first_letter(listed, before) + after
+        got = frame.select("t", *[F.regexp_extract_all("t", F.lit(p), F.lit(1)).alias(n) for n, p in (("a", plain), ("b", grouped))]).collect()
+        assert sum(len(r["a"]) for r in got) > 500 and [r["a"] for r in got] == [r["b"] for r in got]
+
+
+def test_a_value_and_its_unit_are_found_once(spark):
+    texts = spark.createDataFrame([("1.5% of 20 ppb",), ("12.5 µG/KG",), ("3.ppm 4\tng/g",), ("7 of 8",), (None,)], "text string")
+    found = formats.text_fields(texts, "text")
+    assert planned(found.select("value", "unit")).count("ppt") == 1
+    assert [(r["value"], r["unit"]) for r in found.collect()] == [("1.5", "%"), ("12.5", "µG/KG"), ("4", "ng/g"), (None, None), (None, None)]
